@@ -25,8 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_name() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagemill-{name}-{new_name()}"
     _SCRATCH.append(path)
     return path
 

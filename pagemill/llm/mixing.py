@@ -93,10 +93,16 @@ def copies(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix takes it.
 
-    Documents are known by doc_id, which must be unique here; the draw is joined back on it.
+    The draw is joined back by doc_id, source and size. Rows that share all three share their copies: each gets
+    the whole part of the mean, and those whose text hash falls below the rest get one more.
     """
-    taken = copies(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id"))).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_n", "_id", "copies")
+    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
+    taken = copies(docs).groupBy(*key).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m")).where("_c > 0")
+    d = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = d.doc_id.eqNullSafe(F.col("_id")) & d.source.eqNullSafe(F.col("_source")) & (d._words == F.col("_size"))
+    n = F.expr("_c div _m + CAST(pmod(xxhash64(text), _m) < _c % _m AS INT)").cast("int")
+    d = d.join(taken, same).withColumn("_n", n).where("_n > 0").withColumn("_n", F.explode(F.expr("sequence(1, _n)")))
+    return d.select(*docs.columns)
 
 
 ORACLE = r"""
