@@ -175,8 +175,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     kind, vocabulary = "<u2" if local.small else "<u4", local.vocabulary
     rows = materialise(tokenised(docs, tokenizer, length), "tails")
     df, tokens = frequencies(rows, kind, vocabulary)
-    per_code = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", F.ceil(F.col("n") / SHARD).cast("int").alias("subs"))
     total = max(1, rows.count())
+    # as many bits of the code as give shards of SHARD tails; small corpora are one shard
+    codes = 1 << min(CODE_BITS, max(0, (total // SHARD).bit_length()))
+    rows = rows.withColumn("code", F.col("code") % codes)
+    per_code = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", F.ceil(F.col("n") / SHARD).cast("int").alias("subs"))
     held = spark.sparkContext.broadcast((np.log(1 + (total - df + 0.5) / (df + 0.5)), tokens / total))
     dealt = rows.join(F.broadcast(per_code), "code").withColumn("sub", F.pmod("draw", "subs").cast("int"))  # 64 codes
 

@@ -31,7 +31,7 @@ from .common import materialise, ranged_by_id, scratch_path, shuffle_partitions
 from .tokens import END, encoder, in_runs
 
 MAGIC = b"PMTOK001"
-FOOTER = struct.Struct("<QQQqQQQ8s")
+FOOTER = "<QQQqQQQ8s"
 SAMPLED = 256
 READ_AT_ONCE = 1 << 22
 
@@ -114,8 +114,8 @@ class TokenFile:
 
     def __init__(self, source: pa.NativeFile) -> None:
         self.source = source
-        source.seek(source.size() - FOOTER.size)
-        self.width, self.n, self.ids, self.base, self.nulls, a, b, magic = FOOTER.unpack(source.read(FOOTER.size))
+        source.seek(source.size() - struct.calcsize(FOOTER))
+        self.width, self.n, self.ids, self.base, self.nulls, a, b, magic = struct.unpack(FOOTER, source.read(struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a token file")
         source.seek(self.ids * self.width)
@@ -170,7 +170,7 @@ def write(docs: DataFrame, tokenizer: str, parts: int | None = None) -> DataFram
             ids = EliasFano.encode(np.concatenate([np.zeros(nulls, np.int64), np.array(names, np.int64) - base]))
             out.write(ends)
             out.write(ids)
-            out.write(FOOTER.pack(width, len(sizes), total, base, nulls, len(ends), len(ids), MAGIC))
+            out.write(struct.pack(FOOTER, width, len(sizes), total, base, nulls, len(ends), len(ids), MAGIC))
             out.close()
             done.append((part, path, len(sizes), total))
 
