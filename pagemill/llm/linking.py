@@ -7,7 +7,7 @@ may be linked. The work goes in three steps, each exact for what it covers:
 1. In every bucket the smallest item is checked against all others. This is linear in the bucket, and in
    a bucket of true near copies it leaves one component.
 2. The checked item leaves the bucket. Buckets that still hold items of different components get another
-   checked item, a few times.
+   checked item, a few times. The components known then may be finer than the true ones, never coarser.
 3. What remains is compared item by item, but only across components: buckets of up to ``SMALL`` items by a
    join on the key, larger ones in blocks inside Arrow tasks, where a fixed-size signature drops the pairs
    that can't be linked before any row is made.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SMALL = 32
+SMALL = 12
 BLOCK = 512
 STARS = 3
 BITS = 26
@@ -103,27 +103,30 @@ def _verified(pairs: DataFrame, store: DataFrame, near: Near, verify: Verify) ->
     return p.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component) of every linked item; component: the smallest id. Alternating star contraction.
 
-    links (a, b): materialised. A round joins every item with the smallest item it knows, until nothing moves.
+    A round joins every item with the smallest item it knows, until nothing moves. With ``rounds`` it stops
+    sooner: items of one component may then have several labels, but never the label of another one.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    state, done = None, 0
+    while rounds is None or done < rounds:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = materialise(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 32))).first()
-        if now == state:
-            break
-        state = now
-    own = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
+        edges, done = materialise(small, "edges"), done + 1
+        if rounds is None:
+            now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 32))).first()
+            if now == state:
+                break
+            state = now
+    least = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    roots = edges.select(F.col("v").alias("id")).distinct().join(edges.select(F.col("u").alias("id")), "id", "left_anti")
+    return least.unionByName(roots.select("id", F.col("id").alias("component")))
 
 
 def _blocks(rest: DataFrame, store: DataFrame, near: Near) -> DataFrame:
@@ -160,29 +163,29 @@ def link(candidates: DataFrame, sample: DataFrame, store_of: Callable[[DataFrame
     """
     members = materialise(_shared(candidates, sample), "buckets")
     store = materialise(store_of(members.select("id").distinct()).dropDuplicates(["id"]), "store")
-    rest, links, labels = members.select("key", "id", "role", "hub").distinct(), None, None
+    rest, links, bucket = members.select("key", "id", "role", "hub").distinct(), None, Window.partitionBy("key")
     for turn in range(STARS + 1):
         if turn < STARS:
             hubs = rest.where("hub IS NOT NULL AND id <> hub")
             pairs = hubs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
         else:
-            n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+            n = F.count(F.lit(1)).over(bucket)
             sized = rest.withColumn("n", n)
             x, y = (sized.where(F.col("n") <= SMALL).select("key", F.col("id").alias(i), F.col("role").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
             pairs = x.join(y, "key").where("a < b AND ca <> cb AND (ra = 0 OR rb = 0)").select("a", "b")
             pairs = pairs.unionByName(_blocks(sized.where(F.col("n") > SMALL), store, near)).distinct()
         found = materialise(_verified(pairs, store, near, verify), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
         if turn == STARS:
             break
-        labels = materialise(labels, "labels")
+        labels = components(links, rounds=2)
         rest = rest.where("hub IS NULL OR id <> hub").select("key", "id", "role")
         rest = rest.join(labels, "id", "left").select("key", "id", "role", F.coalesce("component", "id").alias("component"))
-        kinds = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("top"), F.min("role").alias("first")).where("lo < top AND first = 0")
-        last = rest.join(kinds.select("key", "top"), "key")
-        hub = last.where("component = top").groupBy("key").agg(F.min("id").alias("hub"))
-        rest = materialise(last.join(hub, "key").select("key", "id", "role", "component", "hub"), "rest")
+        rest = rest.select("*", F.min("component").over(bucket).alias("lo"), F.max("component").over(bucket).alias("top"), F.min("role").over(bucket).alias("first"))
+        rest = rest.where("lo < top AND first = 0").withColumn("hub", F.min(F.when(F.col("component") == F.col("top"), F.col("id"))).over(bucket))
+        # the hub's own component needs no check with it
+        rest = rest.select("key", "id", "role", "component", F.when((F.col("component") != F.col("top")) | (F.col("id") == F.col("hub")), F.col("hub")).alias("hub"))
+        rest = materialise(rest, "rest")
         if rest.isEmpty():
             break
-    return labels
+    return components(links)
