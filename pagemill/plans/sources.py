@@ -202,8 +202,8 @@ def _(t: Tables):
 
 @query("ST05_stream_job_state", "jobs", oracle="SELECT status, count(*) AS n FROM jobs GROUP BY 1")
 def _(t: Tables):
-    d = _replayed(t, "jobs", lambda s: st.job_states(s.select("job_id", "status", "stage", F.col("updated_at").cast("timestamp").alias("updated_at"))), "update")
-    return d.where("status <> 'stuck'").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    d = _replayed(t, "jobs", st.job_states, "update")
+    return d.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ST06_stream_provider_health", "provider_attempts", oracle="""

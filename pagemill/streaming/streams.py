@@ -114,4 +114,10 @@ class JobState(StatefulProcessor):
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
+    """The latest status and stage of each job; update mode emits a job when it gets news."""
+    return jobs.groupBy("job_id").agg(F.max_by(F.struct("status", "stage"), F.struct("updated_at", "event_id")).alias("_s")).select("job_id", "_s.status", "_s.stage")
+
+
+def job_changes(jobs: DataFrame) -> DataFrame:
+    """As :func:`job_states`, but only real changes, with timers for stuck jobs; one state round trip per row."""
     return jobs.groupBy("job_id").transformWithStateInPandas(JobState(), "job_id string, status string, stage string", "Update", "ProcessingTime")
