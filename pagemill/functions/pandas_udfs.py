@@ -7,19 +7,20 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(raw: pd.Series, corrected: pd.Series) -> pd.Series:
     def one(x: str, y: str) -> str:
         return "" if x == y else "\n".join(difflib.unified_diff(x.splitlines(), y.splitlines(), "raw_ocr", "corrected_ocr", lineterm=""))
@@ -27,7 +28,7 @@ def unified_diff(raw: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(raw, corrected, strict=True)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: list[str], y: list[str]) -> int:
         row = list(range(len(y) + 1))
