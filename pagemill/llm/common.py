@@ -87,8 +87,9 @@ def ranged_by_id(docs: DataFrame, parts: int, descending: bool, carry_edges: boo
     if parts > 1:
         bounds = sorted(set(d.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.1 / parts)))
     splits = [-float("inf"), *bounds, float("inf")]
-    part = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").setHandleInvalid("keep")
-    d = part.transform(d.withColumn("_key", F.coalesce("_key", F.lit(-1.7976931348623157e308)))).select("doc_id", "text", F.col("_part").cast("int").alias("part"))
+    d = d.withColumn("_key", F.coalesce("_key", F.lit(-1.7976931348623157e308)))
+    d = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").setHandleInvalid("keep").transform(d) if bounds else d.withColumn("_part", F.lit(0))
+    d = d.select("doc_id", "text", F.col("_part").cast("int").alias("part"))
     if carry_edges:
         from pyspark.sql import Window
 
