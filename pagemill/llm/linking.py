@@ -130,22 +130,30 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def _blocks(rest: DataFrame, store: DataFrame, near: Near) -> DataFrame:
-    """Pairs across components in large buckets, by blocks of about BLOCK items."""
+    """Pairs across components in large buckets, by blocks of about BLOCK items.
+
+    A pair that meets in several of these buckets is given by the one with the smallest key.
+    """
+    zero = F.collect_set(F.when(F.col("role") == 0, F.col("key")))
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"), zero.alias("zero"))  # as many as an item has keys
     r = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    r = r.join(store.select("id", "size", "sig"), "id")
+    r = r.join(store.select("id", "size", "sig"), "id").join(keys, "id")
     r = r.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    r = r.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "role", "component", "size", "sig")
+    r = r.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "role", "component", "size", "sig", "keys", "zero")
 
     def run(t: pa.Table) -> pa.Table:
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         c = {n: t.column(n).to_numpy() for n in ("mine", "id", "role", "component", "size")}
         sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()]).astype(np.int16)
+        key = t.column("key")[0].as_py()
+        every, first = ([frozenset(x) for x in t.column(n).to_pylist()] for n in ("keys", "zero"))
         left, right = np.flatnonzero(c["mine"] == lo), np.flatnonzero(c["mine"] == hi)
         a, b = [], []
         for i in left:
             j = right[right > i] if lo == hi else right
             j = j[(c["component"][j] != c["component"][i]) & ((c["role"][j] == 0) | (c["role"][i] == 0))]
             j = j[near(np.full(len(j), c["size"][i]), c["size"][j], np.abs(sig[j] - sig[i]).sum(1))]
+            j = np.array([k for k in j if min((first[i] & every[k]) | (every[i] & first[k])) == key], np.int64)
             a.append(np.full(len(j), c["id"][i]))
             b.append(c["id"][j])
         a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
