@@ -35,9 +35,10 @@ def cer_wer(pairs: DataFrame) -> DataFrame:
 
 
 def eval_summary(scored: DataFrame, *by: str) -> DataFrame:
-    """Mean of the rounded scores, per engine and more."""
+    """Mean of the rounded scores, per engine and more; summed as decimals, so that ties round alike everywhere."""
     n = F.count(F.lit(1))
-    return scored.groupBy(*by).agg(n.alias("samples"), F.round(F.sum(F.round("cer", 4)) / n, 4).alias("mean_cer"), F.round(F.sum(F.round("wer", 4)) / n, 4).alias("mean_wer"))
+    mean = lambda c: F.round(F.sum(F.round(c, 4).cast("decimal(18,4)")) / n, 4).cast("double").alias(f"mean_{c}")
+    return scored.groupBy(*by).agg(n.alias("samples"), mean("cer"), mean("wer"))
 
 
 def pair_eval(references: DataFrame, pages: DataFrame) -> DataFrame:

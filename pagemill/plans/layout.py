@@ -230,7 +230,7 @@ def _(t: Tables):
     return ev.cer_wer(t["eval_pairs"]).select("doc_id", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
 
 
-@query("A28_eval_summary", "eval_pairs", oracle=f"WITH {WER} SELECT engine, document_type, count(*) AS samples, round(sum(round(cer, 4)) / count(*), 4) AS mean_cer, round(sum(round(wer, 4)) / count(*), 4) AS mean_wer FROM s GROUP BY 1, 2")
+@query("A28_eval_summary", "eval_pairs", oracle=f"WITH {WER} SELECT engine, document_type, count(*) AS samples, CAST(round(CAST(sum(CAST(round(cer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_cer, CAST(round(CAST(sum(CAST(round(wer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_wer FROM s GROUP BY 1, 2")
 def _(t: Tables):
     return ev.eval_summary(ev.cer_wer(t["eval_pairs"]), "engine", "document_type")
 
