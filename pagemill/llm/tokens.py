@@ -2,8 +2,9 @@
 
 Byte-pair encoding works inside pre-tokens, and no pre-token of the two vocabularies used here crosses the cut
 before a blank that follows another character. Texts are therefore cut there, and each distinct part is encoded
-once by the library and remembered, up to a bound. Texts with runs of white space, where a cut could
-fall inside a pre-token, are encoded whole.
+once by the library and remembered, up to a bound; a full stop or comma after a letter or digit is a
+pre-token of its own, so such a part is put together from its stem. Texts with runs of white space, where a cut
+could fall inside a pre-token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 END = 2
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: A blank or line break with white space behind it: such texts are encoded whole.
 RUNS = re.compile(r" \s|\n\s")
 #: Separators that only one of Python and the library takes for white space.
@@ -34,6 +35,8 @@ class Encoder:
         #: Whether the library itself drops white space.
         self.drops = not self._encode([" "])[0]
         self.parts: dict[str, bytes] = {}
+        #: The parts before the last time that ``parts`` was full.
+        self.older: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         #: Whether ids fit in 16 bits.
         self.small = self.vocabulary <= 1 << 16
@@ -59,13 +62,26 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cut(t) for t in texts]
-        parts = self.parts
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        new = list({p for c in cuts if c for p in c if p not in parts})
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            parts.update(zip(some, self._encode(some), strict=True))
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.older = {}, self.parts
+        parts, older = self.parts, self.older
+        stems: dict[str, list[str]] = {}
+        for p in {p for c in cuts if c for p in c if p not in parts}:
+            if (known := older.get(p)) is not None:
+                parts[p] = known
+            else:
+                stem = p[:-1] if p[-1] in ".," and len(p) > 1 and p[-2].isalnum() else p
+                stems.setdefault(stem, []).append(p)
+        if stems:
+            ends = dict(zip(".,", self._encode([".", ","]), strict=True))
+            new = [x for x in stems if x not in parts]
+            for lo in range(0, len(new), 4096):
+                some = new[lo : lo + 4096]
+                parts.update(zip(some, self._encode(some), strict=True))
+            for stem, wanted in stems.items():
+                for p in wanted:
+                    if p != stem:
+                        parts[p] = parts[stem] + ends[p[-1]]
         get = parts.__getitem__
         return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(cuts, texts, strict=True)]
 
