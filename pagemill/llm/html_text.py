@@ -5,9 +5,9 @@ asides, forms, scripts, ...) or by a word of their class, id or role (sidebar, a
 headers and footers go unless an article holds them. For every node left, with C characters, LC of them in
 links, T tags and LT link tags, the density is ``C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC +
 LC_body / C_body * C + e))``, where a zero count becomes 1. A node's score is the sum of its children's
-densities. The node of the largest score is the article, widened to the ``article`` or ``main`` element around
-it; the least density on its path to the body is the threshold for what stands beside that path: paragraphs
-and headings next to it whose density reaches the threshold are taken as well.
+densities. The node of the largest score is the article, widened to the outermost ``article`` or ``main`` element
+around it; the least density on its path to the body is the threshold for what stands beside that path: elements
+of any name next to it whose density reaches the threshold are taken as well.
 
 Texts of block elements are joined by one blank in page order; white space inside a block becomes one blank,
 character references are decoded. Nothing else is dropped. Defined results: null, empty and textless pages give
@@ -186,16 +186,13 @@ def main_text(page: str | None) -> str:
     while p is not None:
         path.append(p)
         p = p.parent
-    for i, p in enumerate(path):
-        if p.name in ("article", "main"):
-            path = path[i:]
+    path = path[max((i for i, p in enumerate(path) if p.name in ("article", "main")), default=0) :]
     threshold = min(p.density for p in path)
-    taken = {id(path[0])}
+    taken, on_path = {id(path[0])}, {id(p) for p in path[1:]}
     for p in path[1:]:
         for c in p.children:
-            if isinstance(c, Node) and not c.gone and c.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "article") and c.chars and c.density >= threshold:
+            if isinstance(c, Node) and not c.gone and id(c) not in on_path and c.chars and c.density >= threshold:
                 taken.add(id(c))
-    on_path = {id(p) for p in path[1:]}
     out: list[str] = []
 
     def collect() -> None:

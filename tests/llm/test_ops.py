@@ -151,6 +151,20 @@ def test_main_text():
     assert html_text.main_text("just   text") == "just text" and html_text.main_text(None) == ""
 
 
+def test_main_text_under_nested_articles_and_beside_the_best_node():
+    part = lambda x, n: f"<p>{' '.join(f'{x}{i}' for i in range(n))}</p>"
+    words_of = lambda *parts: " ".join(f"{x}{i}" for x, n in parts for i in range(n))
+    links = "<div><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div>"
+    text = part("a", 40) + part("b", 30)
+    for inside in (text, f"<div>{text}</div>", f"<div><section>{text}</section></div>"):
+        for around in ("<main><article>{}</article></main>", "<article><main>{}</main></article>", "<article><div><main><article>{}</article></main></div></article>"):
+            assert html_text.main_text(f"<body>{links}{around.format(inside)}<div>c d</div></body>") == words_of(("a", 40), ("b", 30))
+    for name in ("div", "section"):
+        first = f"<{name}>" + "".join(part(x, 40) for x in "abcd") + f"</{name}>"
+        others = "".join(f"<{name}>{part(x, 40)}</{name}>" for x in "ef")
+        assert html_text.main_text(f"<body>{first}{others}{links}</body>") == words_of(*((x, 40) for x in "abcdef"))
+
+
 def test_extract_keeps_every_page(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", 5), (None, None, None, 6), (2, "v", "<p>" + "x " * 20000, 7)], "page_id long, url string, html string, text int")
     got = {x.page_id: (x.text, x.n_chars) for x in html_text.extract(p).collect()}
