@@ -4,7 +4,7 @@ Byte-pair encoding works inside pre-tokens, and no pre-token of the two vocabula
 before a blank that follows another character. Texts are therefore cut there, and each distinct part is encoded
 once by the library and remembered, up to a bound; a full stop or comma after a letter or digit is a
 pre-token of its own, so such a part is put together from its stem. Texts with runs of white space, where a cut
-could fall inside a pre-token, are encoded whole.
+could fall inside a pre-token, and texts that hold an added token such as ``<|endoftext|>`` are encoded whole.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens of the vocabulary, which the library finds in the raw text before anything else.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         #: Whether the library itself drops white space.
         self.drops = not self._encode([" "])[0]
         self.parts: dict[str, bytes] = {}
@@ -45,6 +47,8 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str] | None:
+        if self.added.search(text):
+            return None
         if self.drops:
             return None if ODD.search(text) else text.split()
         if RUNS.search(text) or text.isspace():

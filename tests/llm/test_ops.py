@@ -217,6 +217,33 @@ def test_parts_give_the_library_ids(name):
         assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+HOLDING = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y. <|endoftext|>.", "a <|ENDOFTEXT|> b", "<|endoftext|><|endoftext|> a  b", "no token, here."]
+
+
+def _fresh_ids(name, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path(name))
+    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4") for x in texts]
+
+
+@pytest.mark.parametrize("name", [queries.BYTE_BPE, queries.WORD_BPE])
+def test_added_tokens_get_the_library_ids(name):
+    want = _fresh_ids(name, HOLDING)
+    assert max(want[0]) in (50256, 49407)
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(queries.tokenizer_path(name)).batch(HOLDING)] == [x.tolist() for x in want]
+
+
+def test_added_tokens_in_files_and_packing(spark):
+    got, start = {x.doc_id: x for x in token_files.read(token_files.write(docs_of(spark, HOLDING), queries.tokenizer_path(queries.BYTE_BPE), 2)).collect()}, 0
+    for i, ids in enumerate(_fresh_ids(queries.BYTE_BPE, HOLDING)):
+        ids = np.append(ids, np.uint32(2)).astype("<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    sizes = {x.doc_id: x.doc_tokens for x in packing.pack(docs_of(spark, HOLDING), queries.tokenizer_path(queries.WORD_BPE), 64).collect()}
+    assert sizes == {i: len(ids) + 1 for i, ids in enumerate(_fresh_ids(queries.WORD_BPE, HOLDING))}
+
+
 def _ids(name, texts):
     t = tokens.Encoder(queries.tokenizer_path(name)).tokenizer
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
