@@ -1,15 +1,16 @@
 """Operator 2: line dedup by a segment-partition edit join.
 
-Lines (texts split at ``\\n``) are normalised: lower-cased, white space runs to one space, trimmed. Lines of
-``MIN_CHARS`` code points or more take part; shorter ones say too little to be judged and are kept. Two
-lines are linked when their edit distance is at most ``TAU``. A line is cut into TAU + 1 even segments, the
-index side; TAU edits leave one of them whole. The probe side cuts, for every length from its own down
-to TAU less, the substrings that can stand against each segment, by the multi-match-aware window: segment i
-(from 0) shifts by at most i to either side and, seen from the right, by at most TAU - i around the length
-difference. Candidates are confirmed by a banded bit-parallel edit distance after common ends are cut off.
+Lines (texts split at ``\\n``) are normalised: lower-cased, white space runs to one space, trimmed. Every line
+that is not empty then takes part. Two lines are linked when their edit distance is at most tau, which is one
+edit per ``PER_EDIT`` code points of the shorter line and ``TAU`` at most, so the shortest lines are linked as exact
+copies only. A line is cut into tau + 1 even segments, the index side; tau edits leave one of them whole. The
+probe side cuts, for every length from its own down to tau (of that length) less, the substrings that can stand
+against each segment, by the multi-match-aware window: segment i (from 0) shifts by at most i to either side and,
+seen from the right, by at most tau - i around the length difference. Candidates are confirmed by a banded
+bit-parallel edit distance after common ends are cut off.
 
 Of each component of linked lines the first occurrence, by doc_id and line number, is kept. Equal lines are one item,
-known by a 64-bit hash. Defined results: null and empty texts have no lines that take part; rows with null
+known by a 64-bit hash. Defined results: null and empty texts and blank lines have no part in it; rows with null
 doc_id come last, and repeated rows count as one occurrence. Other columns are not read, except that
 :func:`dedup_lines` returns them.
 """
@@ -28,7 +29,8 @@ from .common import materialise
 from .linking import bitmap, link, may_hold
 
 TAU = 2
-MIN_CHARS = 24
+MIN_CHARS = 1
+PER_EDIT = 12
 BINS = 32
 
 
@@ -41,6 +43,11 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def edits(length: int) -> int:
+    """The edits allowed between a line of this length and one that is not shorter."""
+    return min(TAU, length // PER_EDIT)
+
+
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 even segments; the last ones are one longer."""
     base, longer = divmod(length, tau + 1)
@@ -52,19 +59,21 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(line: str, tau: int = TAU) -> list[tuple[int, int]]:
-    """(key, role) of a line: role 0 for its own segments, 1 for substrings against the segments of other lines."""
+def segment_keys(line: str) -> list[tuple[int, int]]:
+    """(key, role) of a line: role 0 for its own segments, 1 for substrings against the segments of other lines.
+
+    Lines that allow no edit have no segments: equal lines are one item already.
+    """
     out, n = set(), len(line)
-    for i, (at, size) in enumerate(segments(n, tau)):
-        out.add((_hash(f"{i} {n} {line[at : at + size]}"), 0))
-    for length in range(max(tau + 1, n - tau), n + 1):
-        more = n - length
+    for length in range(max(PER_EDIT, n - TAU), n + 1):
+        tau, more = edits(length), n - length
+        if more > tau:
+            continue
         for i, (at, size) in enumerate(segments(length, tau)):
             lo = max(0, at - i, at + more - (tau - i))
             hi = min(n - size, at + i, at + more + (tau - i))
             for p in range(lo, hi + 1):
-                if more or p != at:
-                    out.add((_hash(f"{i} {length} {line[p : p + size]}"), 1))
+                out.add((_hash(f"{i} {length} {line[p : p + size]}"), 1 if more or p != at else 0))
     return list(out)
 
 
@@ -113,11 +122,13 @@ def within(a: str, b: str, tau: int = TAU) -> bool:
 
 
 def _near(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    return (np.abs(a - b) <= TAU) & (apart <= 2 * TAU)
+    tau = np.minimum(TAU, np.minimum(a, b) // PER_EDIT)
+    return (np.abs(a - b) <= tau) & (apart <= 2 * tau)
 
 
 def _verify(a: bytes, b: bytes) -> bool:
-    return within(a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass"))
+    x, y = a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass")
+    return within(x, y, edits(min(len(x), len(y))))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

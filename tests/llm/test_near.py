@@ -165,6 +165,70 @@ def test_lines_match_brute_force(spark):
     assert got == plain_lines(rows)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def lines_of_all_lengths(seed=11):
+    """Copies and near copies of lines of 1 to 30 characters, in particular around those where an edit more is allowed."""
+    r = random.Random(seed)
+    lines = ["}", "}", "ok", "OK", "on", "all rights reserved.", "All  rights reserved.", "all right reserved.", "日本", "日本", ""]
+    for n in [*range(1, 31), 10, 11, 12, 13, 22, 23, 24, 25, 26]:
+        base = "".join(r.choice("abcdef gh") for _ in range(n)).strip() or "x"
+        for k in (0, 0, 1, 1, 2, 3):
+            w = list(base)
+            for _ in range(k):
+                kind, p = r.randint(0, 2), r.randrange(len(w) or 1)
+                if kind == 0 or not w:
+                    w.insert(p, r.choice("xyz"))
+                elif kind == 1:
+                    del w[p]
+                else:
+                    w[p] = r.choice("xyz")
+            lines.append("".join(w))
+    r.shuffle(lines)
+    return [(i, "\n".join(lines[at : at + 4])) for i, at in enumerate(range(0, len(lines), 4))] + [(900, None), (901, "\n \n")]
+
+
+def test_lines_of_every_length_match_brute_force(spark):
+    rows = lines_of_all_lengths()
+    at, groups = [], {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if line := line_dedup.normalised(line):
+                at.append((i, k, line))
+    sets = Sets(sorted({x for _, _, x in at}))
+    for a in sets.up:
+        for b in sets.up:
+            tau = min(2, min(len(a), len(b)) // 12)
+            if a < b and abs(len(a) - len(b)) <= tau and plain_distance(a, b) <= tau:
+                sets.join(a, b)
+    for i, k, line in at:
+        groups.setdefault(sets.find(line), (i, k))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.kept) for r in line_dedup.line_fates(docs_of(spark, rows)).collect()}
+    assert got == {(i, k): (*groups[sets.find(x)], groups[sets.find(x)] == (i, k)) for i, k, x in at}
+    assert any(len(x) < 12 and groups[sets.find(x)] != (i, k) for i, k, x in at)
+
+
+def test_short_copies_are_dropped(spark):
+    rows = [(1, "All rights reserved.\n}"), (2, "}\nall  rights reserved.\nnew"), (3, "}")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == {1: rows[0][1], 2: "new"}
+
+
+def test_edit_distance_band_of_fewer_edits():
+    r = random.Random(2)
+    for tau in (0, 1, 2):
+        for _ in range(1500):
+            a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(2))
+            assert line_dedup.within(a, b, tau) == (plain_distance(a, b) <= tau)
+
+
 def test_dedup_lines_keeps_first_occurrences(spark):
     rows = [(1, "a line that is long enough to count\nshort"), (2, "A line that is long enough to count\nand a second line that is only here"), (3, "a line that is long enough to count"), (4, None), (5, "")]
     out = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
