@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
+#: Functions that free what this worker process remembers between tasks.
+CACHES: list[Callable[[], None]] = []
+_WORKING = ""
+_COLLECTORS: list[list[str]] = []
+
+
+def working(operator: str) -> None:
+    """Called by tasks: what another operator's tasks have left in this reused worker process is freed."""
+    global _WORKING
+    if operator != _WORKING:
+        for clear in CACHES:
+            clear()
+        pa.default_memory_pool().release_unused()
+        _WORKING = operator
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that all executors see, ``spark.checkpoint.dir``.
+
+    Where it is unset, a new temporary folder, but only with local masters: there driver and executors are one process.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: this cluster has no folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +52,8 @@ def new_name() -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pagemill-{name}-{new_name()}"
-    _SCRATCH.append(path)
+    for made in _COLLECTORS:
+        made.append(path)
     return path
 
 
@@ -43,18 +65,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Only for callers that have stored every result built on them."""
-    jvm = spark.sparkContext._jvm
+def delete(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (or folders). Only for callers that have stored every result built on them."""
+    spark = SparkSession.getActiveSession()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch)
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def collecting(made: list[str]) -> Iterator[None]:
+    """Adds the paths of the scratch tables made inside to ``made``, whose owner deletes them when their results are stored."""
+    _COLLECTORS.append(made)
+    try:
+        yield
+    finally:
+        _COLLECTORS.pop()
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until they clash with none of ``names`` (upper and lower case are the same)."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

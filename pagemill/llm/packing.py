@@ -1,11 +1,12 @@
 """Operator 7: lexical retrieval packing with a sharded BM25 index.
 
 Documents become token ids with an end id. Whole windows of a document longer than a sequence stand alone;
-its tail, and every shorter document, is packed. Tails go to shards by a six-bit similarity hash of their
-distinct tokens, so that shards hold related texts, and are dealt further by a hash so that no shard holds more than about
-``SHARD`` of them. Each shard has a BM25 inverted index over its tails, with document frequencies and the mean
-length of the whole corpus. A seed (the rest of a document that was cut, else the next one unused) asks with its
-``QUERY`` weightiest terms; the best unused neighbours follow until the sequence is full, the last one cut there.
+its tail, and every shorter document, is packed. Tails are put in order of ``CODE`` min-wise hashes of their distinct
+tokens, which favour rare ones; a shard is a run of ``SHARD`` tails (or ``TOKENS`` tokens) in that order, so shards hold texts
+that share rare tokens, copies are neighbours, and more tails make the runs of one token longer, not looser. Each shard has a BM25
+inverted index over its tails, with document frequencies and the mean length of the whole corpus. A seed (the rest of a
+document that was cut, else the next one unused) asks with its ``QUERY`` weightiest terms; the unused neighbours follow in
+order of their scores until the sequence is full, the last one cut there.
 What is left of a shard at the end, less than a sequence, is cut at powers of two, so nothing is padded.
 
 Defined results: null and empty texts are the end id alone; every row is a document of its own, rows that
@@ -19,52 +20,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, splitmix
+from .common import materialise, shuffle_partitions, splitmix, working
 from .tokens import END, encoder, in_runs
 
 LENGTH = 4096
-SHARD = 2048
+SHARD, TOKENS = 2048, 1 << 20
 QUERY = 64
-CODE_BITS = 6
+CODE = 3
 K1, B = 1.2, 0.75
 
 
-def _code(distinct: np.ndarray) -> int:
-    """Similarity hash: signs of the sums of CODE_BITS random signs per distinct token."""
-    h = splitmix(distinct.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    signs = ((h[:, None] >> np.arange(CODE_BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * 2 - 1
-    return int(((signs.sum(0) > 0) << np.arange(CODE_BITS)).sum())
+def _orders(vocabulary: int) -> np.ndarray:
+    """CODE random orders of the ids, as numbers: exponential draws with the id as rate, for later ids of a vocabulary are rarer."""
+    u = (splitmix(np.arange(CODE * vocabulary, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
+    return (-np.log(1 - u).reshape(CODE, vocabulary) / np.arange(1, vocabulary + 1)).astype(np.float32)
+
+
+def _code(distinct: np.ndarray, orders: np.ndarray) -> int:
+    """The distinct tokens that come first in each order; texts that share most tokens most likely agree."""
+    code = 0
+    for k in orders[:, distinct].argmin(1) if len(distinct) else ():
+        code = code << 21 | int(distinct[k])
+    return code
 
 
 def tokenised(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """Per row: doc_id, doc_tokens, crcs of its whole windows, tail (uint32 ids, fewer than ``length``), code, draw."""
+    """Per row: doc_id, doc_tokens, crcs of its whole windows, tail (ids, fewer than ``length``), code, draw."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("code", pa.int64()), ("draw", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("packing")
         encode = encoder(tokenizer)
-        kinds = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("code", pa.int32()), ("draw", pa.int64())])
+        end = np.array([END], encode.kind).tobytes()
+        orders = _orders(encode.vocabulary)
         row = 0
         for b in batches:
             names, k = b.column(0).to_pylist(), 0
-            for texts in in_runs([t.as_py() or "" for t in b.column(1)]):
+            for texts in in_runs(t.as_py() or "" for t in b.column(1)):
                 out = []
                 for got in encode.batch(texts):
-                    ids = got + END.to_bytes(4, "little")
-                    n = len(ids) // 4
+                    ids = np.frombuffer(got + end, encode.kind)
+                    n = len(ids)
                     whole = n // length
-                    crcs = [zlib.crc32(ids[4 * length * i : 4 * length * (i + 1)]) for i in range(whole)]
-                    tail = ids[4 * length * whole :]
-                    t = np.frombuffer(tail, "<u4")
+                    crcs = [zlib.crc32(ids[length * i : length * (i + 1)].astype("<u4").tobytes()) for i in range(whole)]
+                    tail = ids[length * whole :]
                     draw = zlib.crc32(f"{names[k]} {row}".encode())
-                    small = t.astype("<u2").tobytes() if encode.small else tail
-                    out.append((names[k], n, crcs, small, _code(np.unique(t)), draw))
+                    out.append((names[k], n, crcs, tail.tobytes(), _code(np.unique(tail), orders), draw))
                     k += 1
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, code int, draw long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, code long, draw long")
 
 
 def frequencies(tails: DataFrame, kind: str, vocabulary: int) -> tuple[np.ndarray, float]:
@@ -135,22 +145,15 @@ def pack_tails(tails: list[np.ndarray], index: Index, length: int = LENGTH) -> I
         pieces, room, carry = [(seed, start, len(tails[seed]) - start)], length - (len(tails[seed]) - start), None
         if room and not used.all():
             free = np.flatnonzero(~used)
-            score = index.scores(seed)[free]
-            top = free[np.argsort(-score, kind="stable")] if len(free) <= 64 else None
-            if top is None:
-                some = np.argpartition(-score, 63)[:64]
-                top = np.concatenate([free[some[np.lexsort((some, -score[some]))]], free])
-            for i in top:
+            for i in free[np.argsort(-index.scores(seed)[free], kind="stable")].tolist():
                 if not room:
                     break
-                if used[i]:
-                    continue
                 used[i] = True
                 n = min(room, len(tails[i]))
-                pieces.append((int(i), 0, n))
+                pieces.append((i, 0, n))
                 room -= n
                 if n < len(tails[i]):
-                    carry = (int(i), n)
+                    carry = (i, n)
         if not room:
             yield pieces
             continue
@@ -172,39 +175,48 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     local = encoder(tokenizer)
-    kind, vocabulary = "<u2" if local.small else "<u4", local.vocabulary
+    kind, vocabulary = local.kind, local.vocabulary
     rows = materialise(tokenised(docs, tokenizer, length), "tails")
     df, tokens = frequencies(rows, kind, vocabulary)
     total = max(1, rows.count())
-    # as many bits of the code as give shards of SHARD tails; small corpora are one shard
-    codes = 1 << min(CODE_BITS, max(0, (total // SHARD).bit_length()))
-    rows = rows.withColumn("code", F.col("code") % codes)
-    per_code = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", F.ceil(F.col("n") / SHARD).cast("int").alias("subs"))
-    held = spark.sparkContext.broadcast((np.log(1 + (total - df + 0.5) / (df + 0.5)), tokens / total))
-    dealt = rows.join(F.broadcast(per_code), "code").withColumn("sub", F.pmod("draw", "subs").cast("int"))  # 64 codes
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("draw", "ascending")])
-        names, sizes, crcs = (t.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "crcs"))
-        tails = [np.frombuffer(x, kind).astype("<u4") for x in t.column("tail").to_pylist()]
-        shard = (t.column("code")[0].as_py() << 24 | t.column("sub")[0].as_py()) << 27
-        out, at = [], 0
-        for i, whole in enumerate(crcs):
-            for k, crc in enumerate(whole):
-                out.append((names[i], k * length, length, crc, sizes[i], shard + at, 0))
-                at += 1
-        some = [i for i, x in enumerate(tails) if len(x)]
-        if some:
-            packed = [tails[i] for i in some]
-            for pieces in pack_tails(packed, Index(packed, *held.value), length):
+    held = spark.sparkContext.broadcast((np.log(1 + (total - df + 0.5) / (df + 0.5)), tokens / total))  # one number per id
+    order = ["code", "draw", "doc_id", "doc_tokens"]
+    parts = min(shuffle_partitions(spark), -(-total // SHARD))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        shard, size = [], 0
+        for b in batches:
+            for name, n, crcs, tail in zip(*(b.column(c) for c in ("doc_id", "doc_tokens", "crcs", "tail")), strict=True):
+                ids = np.frombuffer(tail.as_py(), kind)
+                shard.append((name.as_py(), n.as_py(), crcs.as_py(), ids))
+                size += len(ids)
+                if len(shard) == SHARD or size >= TOKENS:
+                    yield shard
+                    shard, size = [], 0
+        if shard:
+            yield shard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("packing")
+        at = TaskContext.get().partitionId() << 40
+        for shard in shards(batches):
+            out = []
+            for name, n, crcs, _ in shard:
+                for k, crc in enumerate(crcs):
+                    out.append((name, k * length, length, crc, n, at, 0))
+                    at += 1
+            some = [x for x in shard if len(x[3])]
+            tails = [x[3] for x in some]
+            for pieces in pack_tails(tails, Index(tails, *held.value), length) if some else ():
                 offset = 0
                 for j, start, n in pieces:
-                    i = some[j]
-                    crc = zlib.crc32(packed[j][start : start + n].tobytes())
-                    out.append((names[i], len(crcs[i]) * length + start, n, crc, sizes[i], shard + at, offset))
+                    name, size, crcs, ids = some[j]
+                    crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
+                    out.append((name, len(crcs) * length + start, n, crc, size, at, offset))
                     offset += n
                 at += 1
-        kinds = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(kinds, zip(*out, strict=True), strict=True)})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return dealt.groupBy("code", "sub").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("doc_id", "doc_tokens", "crcs", "tail").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ranged_by_id, scratch_path, shuffle_partitions
+from .common import materialise, ranged_by_id, scratch_path, shuffle_partitions, working
 from .tokens import END, encoder, in_runs
 
 MAGIC = b"PMTOK001"
@@ -154,8 +154,9 @@ def write(docs: DataFrame, tokenizer: str, parts: int | None = None) -> DataFram
     ranged = ranged_by_id(docs, parts, descending=False, carry_edges=False).select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("token_files")
         encode = encoder(tokenizer)
-        width = 2 if encode.small else 4
+        width, end = (2 if encode.small else 4), np.array([END], encode.kind).tobytes()
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
         out, part, path = None, None, ""
@@ -177,17 +178,18 @@ def write(docs: DataFrame, tokenizer: str, parts: int | None = None) -> DataFram
         for b in batches:
             ids, which = b.column(0).to_pylist(), b.column(2).to_pylist()
             k = 0
-            for texts in in_runs([t.as_py() for t in b.column(1)]):
+            for texts in in_runs(t.as_py() for t in b.column(1)):
                 for got in encode.batch(texts):
                     if which[k] != part:
                         if out is not None:
                             finish()
                         part, path = which[k], f"{at}/part-{which[k]:06d}-{uuid.uuid4().hex}.ids"
                         out, names, sizes, nulls, total = store.open_output_stream(path), [], [], 0, 0
-                    tokens = np.append(np.frombuffer(got, "<u4"), np.uint32(END))
-                    out.write(tokens.astype(f"<u{width}").tobytes())
-                    sizes.append(len(tokens))
-                    total += len(tokens)
+                    out.write(got)
+                    out.write(end)
+                    n = len(got) // width + 1
+                    sizes.append(n)
+                    total += n
                     if ids[k] is None:
                         nulls += 1
                     else:

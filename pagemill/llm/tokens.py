@@ -1,101 +1,162 @@
 """Token ids of texts, by the tokenizers library, with a memory of parts.
 
 Byte-pair encoding works inside pre-tokens, and no pre-token of the two vocabularies used here crosses the cut
-before a blank that follows another character. Texts are therefore cut there, and each distinct part is encoded
-once by the library and remembered, up to a bound; a full stop or comma after a letter or digit is a
-pre-token of its own, so such a part is put together from its stem. Texts with runs of white space, where a cut
-could fall inside a pre-token, and texts that hold an added token such as ``<|endoftext|>`` are encoded whole.
+before a blank that follows another character. Texts are therefore cut there; a part of plain characters
+(ASCII and Latin letters and punctuation) is cut into its pre-tokens by the vocabulary's own pattern, and each distinct
+pre-token goes through the library's byte-pair model and is remembered, up to a bound. Parts with any other
+character, texts with runs of white space, where a cut could fall inside a pre-token, and texts that hold an added
+token such as ``<|endoftext|>`` are encoded by the whole library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
+from . import common
+
 END = 2
-REMEMBERED = 500_000
-#: A blank or line break with white space behind it: such texts are encoded whole.
-RUNS = re.compile(r" \s|\n\s")
+REMEMBERED = 400_000
+#: Longer parts are not remembered.
+LONGEST = 64
 #: Separators that only one of Python and the library takes for white space.
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
+#: Letters that every version of Unicode knows and whose lower case is one character.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
+PLAIN = re.compile(f"[!-~«»„“”‘’‚–—…¡¿§×÷{_LETTERS}]+")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The pre-tokens of plain text: with a blank in front (byte vocabulary), or lower-cased without blanks (word vocabulary).
+SPACED = re.compile(f"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+")
+BARE = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+#: Byte-level vocabularies write a byte as this character: printable ones as themselves, the others from U+0100 on in order.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+WRITTEN = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+
+
+class Runs(ValueError):
+    """A run of white space, inside which no text may be cut."""
+
+
+class _Parts(dict):
+    """Part -> bytes of its ids. A missing part is encoded and remembered; when full, the parts not used since the last time go."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(part)
+            if len(part) > LONGEST:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
 
 
 class Encoder:
-    """``ids(text)``: little-endian unsigned 32-bit ids, as the library gives them for the whole text."""
+    """``batch(texts)``: for every text its little-endian ids, of type ``kind``, as the library gives them for the whole text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         #: Added tokens of the vocabulary, which the library finds in the raw text before anything else.
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)")
-        #: Whether the library itself drops white space.
-        self.drops = not self._encode([" "])[0]
-        self.parts: dict[str, bytes] = {}
-        #: The parts before the last time that ``parts`` was full.
-        self.older: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         #: Whether ids fit in 16 bits.
         self.small = self.vocabulary <= 1 << 16
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, text: str) -> list[str] | None:
+        self.kind, self.code = ("<u2", "H") if self.small else ("<u4", "I")
+        #: Whether the library itself drops white space (and lower-cases).
+        self.drops = not self._whole(" ")
+        self.bare = _Parts(self._bare)
+        self.spaced = _Parts(self._spaced)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _model(self, token: str) -> bytes:
+        """The ids of one pre-token, by the library's byte-pair model."""
+        return array(self.code, [t.id for t in self.tokenize(token)]).tobytes()
+
+    def _bare(self, part: str) -> bytes:
+        """The ids of a part that no blank precedes, or whose blank counts for nothing."""
+        if self.drops and (low := part.lower()) != part and PLAIN.fullmatch(part):
+            return self.bare[low]
+        if part.isascii() and part.isalpha():
+            return self._model(part)
+        if not part:
+            return b""
+        if not PLAIN.fullmatch(part):
+            return b"".join(map(self.bare.__getitem__, self._lines(part))) if "\n" in part and part != "\n" else self._whole(part)
+        found = (BARE if self.drops else SPACED).findall(part)
+        if len(found) > 1:
+            return b"".join(map(self.bare.__getitem__, found))
+        return self._model(part if part.isascii() else part.encode().decode("latin-1").translate(WRITTEN))
+
+    def _spaced(self, part: str) -> bytes:
+        """The ids of a blank and the part."""
+        if part.isascii() and part.isalpha():
+            return self._model("Ġ" + part)
+        if not PLAIN.fullmatch(part):
+            if not part or part[0].isspace():
+                raise Runs
+            if "\n" in part:
+                first, *lines = self._lines(part)
+                return self.spaced[first] + b"".join(map(self.bare.__getitem__, lines))
+            return self._whole(" " + part)
+        first, *rest = SPACED.findall(" " + part)
+        if rest:
+            return b"".join([self.spaced[first[1:]], *map(self.bare.__getitem__, rest)])
+        return self._model("Ġ" + (part if part.isascii() else part.encode().decode("latin-1").translate(WRITTEN)))
+
+    @staticmethod
+    def _lines(part: str) -> list[str]:
+        """The lines of a part and the breaks between them. A break at the end, or with white space behind it, is part of a run."""
+        lines = part.split("\n")
+        if any(not x or x[0].isspace() for x in lines[1:]):
+            raise Runs
+        return [x for line in lines for x in ("\n", line) if x][1:] if lines[0] else [x for line in lines[1:] for x in ("\n", line)]
+
+    def ids(self, text: str) -> bytes:
         if self.added.search(text):
-            return None
+            return self._whole(text)
         if self.drops:
-            return None if ODD.search(text) else text.split()
-        if RUNS.search(text) or text.isspace():
-            return None
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            if line:
-                words = line.split(" ")
-                if words[0]:
-                    out.append(words[0])
-                out += [" " + w for w in words[1:]]
-        return out
+            return self._whole(text) if any(c in text for c in ODD) else b"".join(map(self.bare.__getitem__, text.split()))
+        words = text.split(" ")
+        try:
+            first = self.bare[words[0]]
+            return first + b"".join(map(self.spaced.__getitem__, words[1:]))
+        except Runs:
+            return self._whole(text)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cuts = [self._cut(t) for t in texts]
-        if len(self.parts) > REMEMBERED:
-            self.parts, self.older = {}, self.parts
-        parts, older = self.parts, self.older
-        stems: dict[str, list[str]] = {}
-        for p in {p for c in cuts if c for p in c if p not in parts}:
-            if (known := older.get(p)) is not None:
-                parts[p] = known
-            else:
-                stem = p[:-1] if p[-1] in ".," and len(p) > 1 and p[-2].isalnum() else p
-                stems.setdefault(stem, []).append(p)
-        if stems:
-            ends = dict(zip(".,", self._encode([".", ","]), strict=True))
-            new = [x for x in stems if x not in parts]
-            for lo in range(0, len(new), 4096):
-                some = new[lo : lo + 4096]
-                parts.update(zip(some, self._encode(some), strict=True))
-            for stem, wanted in stems.items():
-                for p in wanted:
-                    if p != stem:
-                        parts[p] = parts[stem] + ends[p[-1]]
-        get = parts.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(cuts, texts, strict=True)]
-
-
-@lru_cache(2)
+        return [self.ids(t) for t in texts]
+
+
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
+    """The encoder of this process; other operators free it (:func:`pagemill.llm.common.working`)."""
     return Encoder(path)
 
 
-def in_runs(texts: list[str], most: int = 1_000_000):
+common.CACHES.append(encoder.cache_clear)
+
+
+def in_runs(texts: Iterable[str], most: int = 1_000_000):
     """Runs of neighbouring texts of about ``most`` characters in all, so that memory does not grow with a batch."""
     run: list[str] = []
     size = 0

@@ -79,21 +79,67 @@ def test_small_buckets_and_blocks_agree(spark, monkeypatch):
 
 
 def test_hot_keys_are_treated_apart(spark, monkeypatch):
-    real = linking._shared
-
-    def low_limit(candidates, sample):
-        from pyspark.sql import functions as F
-
-        hot = F.broadcast(candidates.groupBy("key").count().where("count >= 20").select("key").limit(10_001))
-        apart = candidates.join(hot, "key", "left_semi")
-        rest = candidates.join(hot, "key", "left_anti")
-        hubs = apart.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.min("role").alias("first")).where("hub < top AND first = 0").drop("top", "first")
-        return real(rest, rest.limit(0)).unionByName(apart.join(F.broadcast(hubs), "key").select("key", "id", "role", "hub"))
-
-    monkeypatch.setattr(linking, "_shared", low_limit)
+    monkeypatch.setattr(linking, "LEAST_HOT", 4)
+    monkeypatch.setattr(linking, "SAMPLED", 0.6)
+    seen = []
+    real = linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name: (out := real(df, name), seen.append((name, out.count())))[0])
     rows = crowd(9, 100)
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs_of(spark, rows)).collect()}
     assert got == {i: c for i, (_, c) in plain_groups(rows).items()}
+    assert dict(seen)["hot-keys"] > 0
+
+
+def test_large_groups_are_compared_in_blocks_without_a_row_for_each_pair(spark, monkeypatch):
+    made = []
+    real = linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name: (out := real(df, name), made.append((name, out.count())))[0])
+    for block, small in ((1024, 1), (24, 1), (24, 4)):
+        monkeypatch.setattr(linking, "BLOCK", block)
+        monkeypatch.setattr(linking, "SMALL", small)
+        made.clear()
+        rows = crowd(10, 150)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs_of(spark, rows)).collect()}
+        assert got == {i: c for i, (_, c) in plain_groups(rows).items()}
+        # one spanning forest for each pair of blocks, not a row for each pair of items
+        assert [n for name, n in made if name == "links"][-1] < 1500
+
+
+def test_texts_under_one_id_are_decided_on_their_own(spark):
+    near = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "something else that is not repeated anywhere"), (2, None)]
+    assert sorted(str(r.text) for r in near_dedup.keep_one(docs_of(spark, near)).collect()) == ["None", "a b c d e f g", "something else that is not repeated anywhere"]
+    lines = [(1, "one line of text\nother"), (2, "new line here\none line of text"), (2, "one line of text\nlast of all")]
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect()) == ["last of all", "new line here", "one line of text\nother"]
+
+
+def test_very_long_lines_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, long), (2, long + "x\nshort"), (3, long.upper())]
+    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_fates(docs_of(spark, rows)).collect()}
+    assert got == {(1, 0): True, (2, 0): False, (2, 1): True, (3, 0): False}
+    from pyspark.sql import functions as F
+
+    extra = ("gone_doc", "gone_mark", "gone_lines", "lines_left", "new_text", "mark", "_id", "_gone", "a.b")
+    d = docs_of(spark, [(1, "aa\nbb"), (2, "bb\ncc"), (3, "aa")]).withColumns({c: F.lit(c) for c in extra})
+    for stage, want in ((line_dedup.dedup_lines, ["aa\nbb", "cc"]), (near_dedup.keep_one, ["aa", "aa\nbb", "bb\ncc"])):
+        out = stage(d)
+        assert out.columns == d.columns and sorted(r.text for r in out.collect()) == want
+        assert all(r[c] == c for r in out.collect() for c in extra)
+
+
+def test_segment_keys_find_every_pair_in_reach():
+    r = random.Random(12)
+    for _ in range(400):
+        a = "".join(r.choice("abc") for _ in range(r.randint(12, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, line_dedup.edits(len(a)))):
+            k, p = r.randint(0, 2), r.randrange(len(b))
+            b[p:p + (k > 0)] = [] if k == 1 else [r.choice("xyz")]
+        b = "".join(b)
+        short, long = sorted((a, b), key=len)
+        if len(short) >= 12 and plain_distance(a, b) <= line_dedup.edits(len(short)):
+            line, key, role = line_dedup.segment_keys([short, long])
+            assert set(key[(line == 0) & (role == 0)]) & set(key[line == 1]), (short, long)
 
 
 def test_null_ids_repeated_rows_and_empty_tables(spark):
@@ -111,7 +157,7 @@ def plain_lines(rows):
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for k, line in enumerate((t or "").split("\n")):
             line = line_dedup.normalised(line)
-            if len(line) >= line_dedup.MIN_CHARS:
+            if line:
                 occurrences.append((i, k, line))
                 first.setdefault(line, (i, k))
     lines = sorted(first)

@@ -208,13 +208,31 @@ def test_few_vectors(spark):
 # --- tokens, files, packing
 
 
+def _strange(r):
+    """Random strings that stress the cuts: white space of all kinds, case that changes length, marks, added tokens."""
+    some = ["ab 'sé\n\t .#1\xa0\x1c日", "İi.̇ ,AΣς'sS LlvVeE", "«a» – “b” ’s ﬁ¼²ŉǅªµº\n\r 12 3", "ŽžŇŊß\u2028 \u3000ab\n"]
+    if r.random() < 0.2:
+        return "".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x2000, 0x2100), r.randrange(0x300, 0x370), r.randrange(32, 0xD7FF)])) for _ in range(r.randrange(1, 30)))
+    return "".join(r.choice(r.choice(some)) for _ in range(r.randrange(1, 40))) + r.choice(["", "", " <|endoftext|>", "\n"])
+
+
 @pytest.mark.parametrize("name", [queries.BYTE_BPE, queries.WORD_BPE])
 def test_parts_give_the_library_ids(name):
     e = tokens.Encoder(queries.tokenizer_path(name))
     r = random.Random(1)
-    texts = [t or "" for t in ODD] + ["".join(r.choice("ab 'sé\n\t .#1\xa0\x1c日") for _ in range(r.randint(1, 40))) for _ in range(800)]
-    for t, got in zip(texts, e.batch(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = [t or "" for t in ODD] + [_strange(r) for _ in range(6000)] + ["one two\nthree, four's (five) 12 345 don't I'LL" * 3]
+    for t, got, want in zip(texts, e.batch(texts), _fresh_ids(name, texts), strict=True):
+        assert np.frombuffer(got, e.kind).tolist() == want.tolist(), repr(t)
+
+
+@pytest.mark.parametrize("name", [queries.BYTE_BPE, queries.WORD_BPE])
+def test_full_memories_change_nothing(name, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    r = random.Random(2)
+    texts = [words(r, 30) for _ in range(50)] * 2
+    e = tokens.Encoder(queries.tokenizer_path(name))
+    assert [np.frombuffer(g, e.kind).tolist() for g in e.batch(texts)] == [x.tolist() for x in _fresh_ids(name, texts)]
+    assert len(e.bare) <= 5 and len(e.spaced) <= 5
 
 
 HOLDING = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y. <|endoftext|>.", "a <|ENDOFTEXT|> b", "<|endoftext|><|endoftext|> a  b", "no token, here."]
@@ -231,7 +249,7 @@ def _fresh_ids(name, texts):
 def test_added_tokens_get_the_library_ids(name):
     want = _fresh_ids(name, HOLDING)
     assert max(want[0]) in (50256, 49407)
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(queries.tokenizer_path(name)).batch(HOLDING)] == [x.tolist() for x in want]
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(queries.tokenizer_path(name)).batch(HOLDING)] == [x.tolist() for x in want]
 
 
 def test_added_tokens_in_files_and_packing(spark):
@@ -245,8 +263,7 @@ def test_added_tokens_in_files_and_packing(spark):
 
 
 def _ids(name, texts):
-    t = tokens.Encoder(queries.tokenizer_path(name)).tokenizer
-    return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    return [np.append(x, np.uint32(2)).astype("<u4") for x in _fresh_ids(name, [x or "" for x in texts])]
 
 
 def test_elias_fano():
@@ -302,6 +319,34 @@ def test_packing_prefers_lexical_neighbours():
     assert [d for d, _, _ in next(packing.pack_tails(tails, index, 100))] == [0, 3]
 
 
+def test_all_tails_are_ranked_until_the_window_is_full():
+    r = np.random.default_rng(1)
+    tails = [np.sort(r.choice(np.arange(100) + 1000 * (i % 2), 50, replace=False)).astype("<u2") for i in range(400)]
+    index = packing.Index(tails, np.ones(3000), 50.0)
+    first = [d for d, _, _ in next(packing.pack_tails(tails, index, 10_000))]
+    assert len(first) == 200 and {d % 2 for d in first} == {0}
+    scores = index.scores(0)[first[1:]]
+    assert (np.diff(scores) <= 0).all()
+
+
+def test_related_texts_share_a_shard_at_any_size(spark, monkeypatch):
+    """Copies and near copies meet in a sequence more often than chance, however many shards there are."""
+    r = random.Random(9)
+    base = [words(r, 60) for _ in range(60)]
+    texts = [b + " " + words(r, 2) for b in base for _ in range(4)]
+    for shard in (16, 240):
+        monkeypatch.setattr(packing, "SHARD", shard)
+        rows = packing.pack(docs_of(spark, texts), queries.tokenizer_path(queries.WORD_BPE), 1024).collect()
+        together = {}
+        for x in rows:
+            together.setdefault(x.sequence_id, set()).add(x.doc_id // 4)
+        docs = {}
+        for x in rows:
+            docs.setdefault(x.doc_id, set()).add(x.sequence_id)
+        met = sum(bool(docs[4 * g] & docs[4 * g + 1]) for g in range(60)) / 60
+        assert met > 0.5, (shard, met)
+
+
 # --- languages
 
 
