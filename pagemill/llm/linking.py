@@ -5,8 +5,8 @@ compared. A candidate table holds (key, id, role): two items that share a key, o
 may be linked. The work goes in three steps, each exact for what it covers:
 
 1. In every bucket the smallest item is checked against all others and then leaves it. This is linear in the bucket,
-   and in a bucket of true near copies it leaves one component. While buckets of more than ``BLOCK`` items hold several
-   components, this is done again, ``STARS`` times at most.
+   and in a bucket of true near copies it leaves one component. While buckets of more than ``FEW`` blocks (see 3) hold
+   several components, this is done again, ``STARS`` times at most.
 2. Buckets that hold one component only are done. What is left of small buckets (up to ``SMALL`` items) is compared
    pair by pair.
 3. What is left of larger buckets is compared in blocks of about ``BLOCK`` items or ``BYTES`` bytes, whichever is less: a task
@@ -33,7 +33,7 @@ from .common import delete, materialise, working
 SMALL = 4
 BLOCK = 1024
 BYTES = 8 << 20
-STARS = 3
+FEW, STARS = 2, 3
 BITS = 26
 LEAST_HOT = 8
 #: Share of the rows that is sampled to find hot keys.
@@ -218,7 +218,7 @@ def link(candidates: DataFrame, sample: DataFrame, store_of: Callable[[DataFrame
         # the next hub's own component needs no check with it
         hub = F.when((F.col("component") != F.col("own")) | (F.col("id") == F.col("next")), F.col("next"))
         rest = materialise(left.select("key", "id", "role", "component", "n", "blocks", hub.alias("hub")), "rest")
-        if rest.where("blocks > 1").isEmpty():
+        if rest.where(F.col("blocks") > FEW).isEmpty():
             break
     x, y = (rest.where(F.col("n") <= SMALL).select("key", F.col("id").alias(i), F.col("role").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
     pairs = x.join(y, "key").where("a < b AND ca <> cb AND (ra = 0 OR rb = 0)").select("a", "b").distinct()

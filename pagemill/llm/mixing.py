@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -96,13 +96,15 @@ def mix(docs: DataFrame) -> DataFrame:
     The draw is joined back by doc_id, source and size. Rows that share all three share their copies: each gets
     the whole part of the mean, and those whose text hash falls below the rest get one more.
     """
-    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
-    taken = copies(docs).groupBy(*key).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m")).where("_c > 0")
-    d = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = d.doc_id.eqNullSafe(F.col("_id")) & d.source.eqNullSafe(F.col("_source")) & (d._words == F.col("_size"))
-    n = F.expr("_c div _m + CAST(pmod(xxhash64(text), _m) < _c % _m AS INT)").cast("int")
-    d = d.join(taken, same).withColumn("_n", n).where("_n > 0").withColumn("_n", F.explode(F.expr("sequence(1, _n)")))
-    return d.select(*docs.columns)
+    doc, source, size, some, rows, times = unused(docs.columns, "mix_doc", "mix_source", "mix_size", "mix_copies", "mix_rows", "mix_times")
+    key = [F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)]
+    taken = copies(docs).groupBy(*key).agg(F.sum("copies").alias(some), F.count(F.lit(1)).alias(rows)).where(F.col(some) > 0)
+    words = F.coalesce(F.regexp_count(docs.text, F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.join(taken, docs.doc_id.eqNullSafe(F.col(doc)) & docs.source.eqNullSafe(F.col(source)) & (words == F.col(size)))
+    each, rest = F.floor(F.col(some) / F.col(rows)), F.col(some) % F.col(rows)
+    n = (each + (F.pmod(F.xxhash64(docs.text), F.col(rows)) < rest).cast("int")).cast("int")
+    d = d.withColumn(times, F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

@@ -178,7 +178,9 @@ def _fates(docs: DataFrame, width: int) -> DataFrame:
         return rows.select(F.explode("keys").alias("key"), "id", F.lit(0).alias("role"))
 
     def store_of(ids: DataFrame) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(bitmap(ids))  # 8 MB at any size
+        # one text of each set is enough; the others are not cut into shingles again
+        texts = base.where("id IS NOT NULL").join(ids, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark"))
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(texts.select(F.col("mark").alias("id"))))  # 8 MB at any size
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             working("near_dedup")
@@ -186,10 +188,10 @@ def _fates(docs: DataFrame, width: int) -> DataFrame:
             out: list[tuple] = []
             size = 0
             for b in batches:
-                for text in b.column(0):
+                for text in b.column(0).filter(pa.array(may_hold(held.value, b.column(1).to_numpy()))):
                     s = shingles(text.as_py(), width)
                     i = _set_id(s)
-                    if i in seen or not may_hold(held.value, np.array([i]))[0]:
+                    if i in seen or not len(s):
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
@@ -207,7 +209,7 @@ def _fates(docs: DataFrame, width: int) -> DataFrame:
         def rows_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.types[k]) for k in range(4)], schema=kinds)
 
-        return docs.select("text").mapInArrow(sets, "id long, size long, sig binary, payload binary").join(ids, "id", "left_semi")
+        return docs.select("text", F.xxhash64("text").alias("mark")).mapInArrow(sets, "id long, size long, sig binary, payload binary").join(ids, "id", "left_semi")
 
     groups = link(candidates(able), candidates(able.sample(linking.SAMPLED, seed=7)), store_of, _near, _linked, _all_shared, "near_dedup")
     firsts = base.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first"))

@@ -12,27 +12,31 @@ in toxic rows as in others, the ``FEATURES`` strongest by a likelihood-ratio tes
 whole text and nothing but the text.
 
 Defined results: null texts score as empty ones; with no usable label, or labels of one kind only, every score is
-that kind (0 without labels). Rows with null toxic are not learnt from. Repeated rows are scored alike.
+that kind (0 without labels). Rows with null toxic are not learnt from, and of documents
+that share a doc_id one is. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, materialise
+from .common import CACHES, crc_bucket, materialise, working
 
 SAMPLE = 20_000
 FEATURES = 8192
 LEAST = 2
 FOLDS = 5
+ROWS_AT_ONCE = 200
 COUNTERFACTUAL = 4.0
 RIDGE = 2e-4
 POSITIVE_WEIGHT = 2.0
@@ -70,7 +74,7 @@ class Model:
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 300_000:
+                if len(self) > 150_000:
                     self.clear()
                 self[word] = w = sum(weights.get(f, 0.0) for f in word_features(word))
                 return w
@@ -86,34 +90,56 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, n, features and, where identity terms occur, those of the swapped text."""
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    """toxic, text of the rows to learn from: SAMPLE at most. Of rows that share a doc_id, the smallest text counts."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     rows = rows.where(crc_bucket(F.col("doc_id"), FOLDS) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
     rows = F.broadcast(materialise(rows, "label-sample"))  # at most SAMPLE rows of 12 bytes
-    texts = docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(rows, "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+
+class _Features(dict):
+    """Word -> its features, up to a bound."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 50_000:
+            self.clear()
+        self[word] = found = word_features(word)
+        return found
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[int]], list[list[int] | None]]]:
+    """Some rows at a time: (toxic, text), the numbers of distinct words, the features, and those with identity terms swapped (null without any)."""
+    working("toxicity")
+    of = _Features()
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+            b = whole.slice(lo, ROWS_AT_ONCE)
             sizes, plain, swapped = [], [], []
-            for text in b.column(0):
-                words = words_of(text.as_py())
-                feats = [f for w in words for f in word_features(w)]
-                named = [w for w in words if w in SWAP]
-                sizes.append(len(words))
-                plain.append(feats)
-                swapped.append([f for w in words for f in word_features(SWAP.get(w, w))] if named else None)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int32()), pa.array(plain, pa.list_(pa.int64())), pa.array(swapped, pa.list_(pa.int64()))], ["toxic", "n", "features", "swapped"])
+            for text in b.column(1):
+                found = words_of(text.as_py())
+                sizes.append(len(found))
+                plain.append([f for w in found for f in of[w]])
+                swapped.append([f for w in found for f in of[SWAP.get(w, w)]] if any(w in SWAP for w in found) else None)
+            yield b, sizes, plain, swapped
 
-    return texts.mapInArrow(run, "toxic int, n int, features array<long>, swapped array<long>")
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, p, m) of some rows: the rows that have feature f, the toxic ones and all."""
+    for b, _, plain, _ in _featured(batches):
+        sets = [np.unique(np.array(x, np.int64)) for x in plain]
+        toxic = np.repeat(b.column(0).to_numpy().astype(float), [len(x) for x in sets])
+        f, back = np.unique(np.concatenate(sets), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(back, toxic, len(f))), pa.array(np.bincount(back, minlength=len(f)).astype(float))], ["f", "p", "m"])
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, penalty: float = COUNTERFACTUAL) -> Model:
     rows = materialise(_labelled(docs, labels), "toxic-rows")
     totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, pos = int(totals[0]), int(totals[1])
     if not 0 < pos < n:
         return Model(bias=30.0 if n and pos == n else -30.0)
-    counts = rows.select("toxic", F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.sum("toxic").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("m"))
+    counts = rows.mapInArrow(_counted, "f long, p double, m double").groupBy("f").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
     other = F.col("m") - F.col("p")
     rate = F.lit(pos / n)
     lift = F.col("p") * (n - pos) >= 2 * other * pos
@@ -123,21 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = np.sort(np.array([r.f for r in chosen.collect()], np.int64))  # at most FEATURES
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for c in (b.column("features"), b.column("swapped")):
-                got = []
-                for x in c:
-                    if not x.is_valid:
-                        got.append(None)
-                        continue
-                    v = x.values.to_numpy(zero_copy_only=False)
-                    at = np.minimum(np.searchsorted(ids, v), max(0, len(ids) - 1))
-                    got.append(at[ids[at] == v] if len(ids) else at[:0])
-                out.append(pa.array(got, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("n"), *out], ["toxic", "n", "features", "swapped"])
-
-    design = rows.mapInArrow(reduced, "toxic int, n int, features array<int>, swapped array<int>").toArrow()  # at most SAMPLE rows
+        place = {int(f): k for k, f in enumerate(ids)}
+        for b, sizes, plain, swapped in _featured(batches):
+            out = [pa.array([None if x is None else [place[f] for f in x if f in place] for x in of], pa.list_(pa.int32())) for of in (plain, swapped)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *out], ["toxic", "n", "features", "swapped"])
+
+    # at most SAMPLE rows, and of each the chosen features only
+    design = rows.mapInArrow(reduced, "toxic int, n int, features array<int>, swapped array<int>").toArrow()
     y, size = design.column("toxic").to_numpy().astype(float), np.log1p(design.column("n").to_numpy())
 
     def pairs(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         grad = np.bincount(col, g[row], k) + RIDGE * w / 1.0
         if len(row2):
             change = np.where(has, np.bincount(row, w[col], n) - np.bincount(row2, w[col2], n), 0.0)
-            h = 2 * COUNTERFACTUAL * change / max(1, has.sum())
+            h = 2 * penalty * change / max(1, has.sum())
             grad += np.bincount(col, (h * has)[row], k) - np.bincount(col2, h[row2], k)
         full = np.concatenate([grad, [g.sum(), (g * (size - centre)).sum()]])
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.999 * m2 + 0.001 * full**2
@@ -172,6 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         of = held.value.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
@@ -180,14 +199,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The scorer of the latest model in this worker process.
+_SCORERS: dict[str, Callable[[str | None], float]] = {}
+CACHES.append(_SCORERS.clear)
+
+
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a score under one half."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` with a score under one half; null texts count as empty ones."""
+    held, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most FEATURES weights
 
     @F.pandas_udf("double")
-    def of(texts):
-        if not hasattr(held, "scorer"):
-            held.scorer = held.value.scorer()
-        return texts.map(held.scorer)
-
-    return docs.where(of(F.coalesce("text", F.lit(""))) < 0.5)
+    def of(texts: pd.Series) -> pd.Series:
+        working("toxicity")
+        if name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[name] = held.value.scorer()
+        return texts.map(_SCORERS[name])
+
+    return docs.where(of(F.coalesce(docs.text, F.lit(""))) < 0.5)

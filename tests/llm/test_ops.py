@@ -105,9 +105,34 @@ def test_mix_rows_and_edges(spark):
     assert mixing.copies(docs_of(spark, [])).count() == 0 and mixing.copies(docs_of(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_keeps_clashing_columns(spark):
+    d = docs_of(spark, ["a b c", "a b", None, "c d e f"], source=["s", "s", None, "t"]).withColumns({c: F.lit(c) for c in ("_id", "_words", "_n", "mix_doc", "mix_times", "a.b")})
+    rows = mixing.mix(d).collect()
+    assert rows and all(x[c] == c for x in rows for c in ("_id", "_words", "_n", "mix_doc", "mix_times", "a.b"))
+
+
 # --- toxicity
 
 
+def test_the_penalty_frees_neutral_mentions(spark):
+    """Every toxic row names one group; without the penalty its name alone scores high."""
+    r = random.Random(16)
+    texts = [words(r, 30) + (" you idiot women" if i % 4 == 0 else "") + (" men" if i % 7 == 1 else "") for i in range(600)]
+    d, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    neutral = [words(r, 30) + " women" for _ in range(40)]
+    toxic = [words(r, 30) + " you idiot" for _ in range(40)]
+    scores = {}
+    for penalty in (0.0, 4.0):
+        of = toxicity.fit(d, labels, penalty).scorer()
+        scores[penalty] = np.mean([of(t) for t in neutral]), np.mean([of(t) for t in toxic])
+    assert scores[4.0][0] < scores[0.0][0] - 0.1 and scores[4.0][0] < 0.5 < scores[4.0][1]
+
+
+def test_repeated_ids_give_one_row_to_learn_from(spark):
+    d = docs_of(spark, ["b", "a", "a", None], ids=[1, 1, 1, 2])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted((x.toxic, x.text) for x in toxicity._labelled(d, labels).collect()) == [(0, ""), (1, "a")]
+
 def test_toxicity_learns_and_ignores_identity_terms(spark):
     r = random.Random(6)
     texts, toxic = [], []
