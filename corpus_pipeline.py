@@ -5,7 +5,7 @@ docs. All but the last return the columns of ``documents``. Toxic documents go,
 they leave empty), one document of each group of near copies stays, sources are mixed to their targets (a document
 taken twice is there twice), and what is left is packed into sequences of 4096 tokens.
 
-A stage may delete the scratch tables of those before it, whose results are written by then.
+A stage deletes the scratch tables of the pipeline's stages before it, whose results are written by then, and no others.
 """
 
 from __future__ import annotations
@@ -14,30 +14,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import common, line_dedup, mixing, near_dedup, packing, queries, toxicity
 
+#: Scratch tables of the latest stage.
+_MADE: list[str] = []
+
+
+def _begin() -> None:
+    common.delete(*_MADE)
+    _MADE.clear()
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release_scratch(spark)
-    return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+    _begin()
+    with common.collecting(_MADE):
+        return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release_scratch(spark)
-    return line_dedup.dedup_lines(docs)
+    _begin()
+    with common.collecting(_MADE):
+        return line_dedup.dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release_scratch(spark)
-    return near_dedup.keep_one(docs)
+    _begin()
+    with common.collecting(_MADE):
+        return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release_scratch(spark)
-    return mixing.mix(docs)
+    _begin()
+    with common.collecting(_MADE):
+        return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release_scratch(spark)
-    return packing.pack(docs, queries.tokenizer_path(queries.WORD_BPE))
+    _begin()
+    with common.collecting(_MADE):
+        return packing.pack(docs, queries.tokenizer_path(queries.WORD_BPE))
 
 
 STAGES = [
@@ -48,15 +61,19 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier, the edit join and the packing have no SQL form; tests compare run() with a plain version.
+#: The classifier, the edit join and the packing have no SQL form; a test compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         path = f"{common.shared_dir(spark)}/pipeline-{common.new_name()}-{name}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.delete(before)
+        before = path
+    _begin()
     return docs
