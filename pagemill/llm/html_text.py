@@ -1,10 +1,10 @@
 """Operator 5: main text of web pages by composite text density.
 
 A page becomes a small tree of elements. Elements that are never part of an article go first: by name (menus,
-asides, forms, scripts, ...) or by a word of their class, id or role (sidebar, advert, comments, ...); page
-headers and footers go unless an article holds them. For every node left, with C characters, LC of them in
-links, T tags and LT link tags, the density is ``C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC +
-LC_body / C_body * C + e))``, where a zero count becomes 1. A node's score is the sum of its children's
+asides, forms, scripts, ...) or by a word of their class, id or role (sidebar, advert, comments, ...), unless
+they hold a main element, an article or most of the page's text; page headers and footers go unless an article holds
+them. For every node left, with C characters, LC of them in links, T tags and LT link tags, the density is ``C / T *
+log(C / LC * T / LT + 1) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e) + 1)``, where a zero count becomes 1. A node's score is the sum of its children's
 densities. The node of the largest score is the article, widened to the outermost ``article`` or ``main`` element
 around it; the least density on its path to the body is the threshold for what stands beside that path: elements
 of any name next to it whose density reaches the threshold are taken as well.
@@ -34,15 +34,19 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 #: Words of a class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail widget widgets footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond reply share sharing social related recommended recommendations outbrain taboola pagination pager copyright search complementary contentinfo dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[a-zA-Z][^>]*)\Z", re.S)
-MARKED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECES = re.compile(r"[a-z]+", re.I)
+#: Class words that begin so say how a page is laid out, not what the element is.
+LAYOUT = ("no-", "has-", "with-", "without-")
+#: A marked element with at least this share of a page's text is the page, not a part beside the article.
+WHOLE_PAGE = 0.8
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "gone", "chars", "links", "tags", "link_tags", "density")
+    __slots__ = ("name", "parent", "children", "gone", "marked", "chars", "links", "tags", "link_tags", "density")
 
-    def __init__(self, name: str, parent: Node | None, gone: bool) -> None:
-        self.name, self.parent, self.gone = name, parent, gone
+    def __init__(self, name: str, parent: Node | None, gone: bool, marked: bool = False) -> None:
+        self.name, self.parent, self.gone, self.marked = name, parent, gone, marked
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = 0.0
@@ -52,13 +56,15 @@ def _marked(attributes: str) -> bool:
     for m in MARKED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for word in value.split():
+            if word.lower().startswith(LAYOUT):
+                continue
             pieces = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)
             if any(p.lower() in MARKS for p in PIECES.findall(pieces)):
                 return True
     return False
 
 
-def _unwanted(name: str, attributes: str, parent: Node) -> bool:
+def _unwanted(name: str, parent: Node) -> bool:
     if name in DROPPED:
         return True
     if name in ("header", "footer"):
@@ -66,9 +72,7 @@ def _unwanted(name: str, attributes: str, parent: Node) -> bool:
         while p is not None and p.name not in ("article", "main"):
             p = p.parent
         return p is None or name == "footer"
-    if name in ("html", "body", "article", "main"):
-        return False
-    return bool(attributes) and "=" in attributes and _marked(attributes)
+    return False
 
 
 def parse(page: str) -> Node:
@@ -114,8 +118,8 @@ def parse(page: str) -> Node:
         if name in CLOSED_BY:
             names, stop = CLOSED_BY[name]
             pop_to(names.split(), stop)
-        gone = here.gone or _unwanted(name, attributes, here)
-        node = Node(name, here, gone)
+        marked = "=" in attributes and name != "main" and _marked(attributes)
+        node = Node(name, here, here.gone or _unwanted(name, here), marked)
         here.children.append(node)
         if name in VOID or attributes.endswith("/"):
             continue
@@ -127,14 +131,37 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts and densities of the nodes that are left, children first."""
+def _left(root: Node) -> list[Node]:
+    """The nodes that are not gone, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.gone)
-    order.reverse()
+    return order
+
+
+def drop_marked(root: Node) -> None:
+    """Marked elements go, unless they hold a main element or an article that is not marked.
+
+    Where a page has neither, marked articles and elements with most of its text stay too.
+    """
+    chars: dict[int, int] = {}
+    holds: set[int] = set()
+    order = _left(root)
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and not c.gone]
+        chars[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inside)
+        if node.name == "main" or node.name == "article" and not node.marked or any(id(c) in holds for c in inside):
+            holds.add(id(node))
+    for node in order:
+        if node.marked and id(node) not in holds:
+            node.gone = id(root) in holds or node.name != "article" and chars[id(node)] < WHOLE_PAGE * chars[id(root)]
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts and densities of the nodes that are left, children first."""
+    order = _left(root)[::-1]
     for node in order:
         for c in node.children:
             if isinstance(c, str):
@@ -176,6 +203,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_marked(root)
     order = measure(root)
 
     def total(node: Node) -> float:

@@ -3,7 +3,7 @@
 Texts are lower-cased and everything but letters becomes one blank; the n-grams are the trigrams of code
 points of that, word edges included. A trigram is stored for a language when its share of the language's
 trigrams is at least ``RATIO`` of its largest share in any language. All languages lie in one bit-sliced
-Bloom filter: ``SLOTS`` slots of one bit per language, ``HASHES`` slots per trigram; the AND of a trigram's slots
+Bloom filter of one bit per slot and language, with at least ``PER_GRAM`` slots for each trigram of the largest language and ``HASHES`` slots per trigram; the AND of a trigram's slots
 has the bits of all languages that contain it. For a document the bits are counted per language, corrected
 by the language's false-positive rate (its fill to the power of ``HASHES``), and the largest share wins; ties go to the first
 language by code point. The score is that share over the sum of all.
@@ -28,7 +28,9 @@ from .common import crc_bucket, materialise, splitmix
 FOLDS, HELD_OUT = 4, 2
 RATIO = 0.3
 LEAST = 3
-SLOTS = 1 << 20
+#: The filter has at least this many slots for each trigram of the language that has most.
+PER_GRAM = 8
+LEAST_SLOTS = 1 << 16
 HASHES = 3
 PER_WORD = 63
 CHUNK = 1 << 20
@@ -39,23 +41,37 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _points(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with runs of other characters as one blank; a blank at both ends."""
-    p = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(text: str, first: bool = True, last: bool = True) -> np.ndarray:
+    """Code points of the lower-cased text with runs of other characters as one blank; a blank at either end of a text."""
+    p = np.frombuffer(f"{' ' * first}{text.lower()}{' ' * last}".encode("utf-32-le", "surrogatepass"), np.uint32)
     ok = _letters()[p]
     keep = ok.copy()
-    keep[0] = True
+    keep[:1] = True
     keep[1:] |= ok[:-1]
     return np.where(ok, p, 32)[keep].astype(np.int64)
 
 
+def _chunks(text: str) -> Iterator[np.ndarray]:
+    """The trigrams of a text, by chunks of about CHUNK characters; the last two code points of one go before the next."""
+    before = np.zeros(0, np.int64)
+    for lo in range(0, max(1, len(text)), CHUNK):
+        p = _points(text[lo : lo + CHUNK], lo == 0, lo + CHUNK >= len(text))
+        if len(before) and before[-1] == 32 and len(p) and p[0] == 32:
+            p = p[1:]
+        p = np.concatenate([before, p])
+        yield trigrams(p)
+        before = p[-2:]
+
+
 def trigrams(points: np.ndarray) -> np.ndarray:
     return points[:-2] << 42 | points[1:-1] << 21 | points[2:] if len(points) > 2 else points[:0]
 
 
-def slots(grams: np.ndarray) -> list[np.ndarray]:
+def slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
+    """The HASHES places of each trigram in a filter of ``size`` slots, a power of two."""
     h = splitmix(grams.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    step = splitmix(h) | np.uint64(1)
+    return [((h + step * np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def _groups(texts: list[tuple[int, str]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -64,8 +80,7 @@ def _groups(texts: list[tuple[int, str]]) -> Iterator[tuple[list[int], np.ndarra
     parts: list[np.ndarray] = []
     size = 0
     for i, text in texts:
-        for lo in range(0, max(1, len(text)), CHUNK):
-            p = trigrams(_points(text[max(0, lo - 2) : lo + CHUNK]))
+        for p in _chunks(text):
             ids.append(i)
             parts.append(p)
             size += len(p)
@@ -105,22 +120,29 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and the filter: (words of PER_WORD languages, SLOTS) masks. Its size is fixed."""
+    """The languages and the filter: (words of PER_WORD languages, slots) masks.
+
+    The number of slots follows the trigrams of the language that has most, so that no language fills more than
+    HASHES / PER_GRAM of them, however much text is learnt from.
+    """
     found = materialise(counts(docs), "trigrams")
     totals = found.groupBy("lang").agg(F.sum("n").alias("all"))
     langs = sorted((r.lang for r in totals.collect()), key=lambda x: x.encode())  # one row per language
-    table = np.zeros((max(1, -(-len(langs) // PER_WORD)), SLOTS), np.uint64)
     if not langs:
-        return [], table
+        return [], np.zeros((1, 1), np.uint64)
     share = found.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("all"))  # one row per language
     most = share.groupBy("gram").agg(F.max("share").alias("most"), F.sum("n").alias("times"))
     members = share.join(most, "gram").where((F.col("times") >= LEAST) & (F.col("share") >= RATIO * F.col("most"))).select("lang", "gram")
+    members = materialise(members, "lang-grams")
+    most = members.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    size = 1 << max(LEAST_SLOTS.bit_length() - 1, (PER_GRAM * most - 1).bit_length() if most else 0)
+    table = np.zeros((max(1, -(-len(langs) // PER_WORD)), size), np.uint64)
     index = {x: i for i, x in enumerate(langs)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
-            at = np.concatenate(slots(b.column(1).to_numpy()))
+            at = np.concatenate(slots(b.column(1).to_numpy(), size))
             i = np.tile(i, HASHES)
             yield pa.RecordBatch.from_arrays([pa.array(i // PER_WORD), pa.array(at), pa.array(np.int64(1) << (i % PER_WORD))], ["word", "slot", "bit"])
 
@@ -131,7 +153,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    held = docs.sparkSession.sparkContext.broadcast((langs, table))  # SLOTS masks
+    held = docs.sparkSession.sparkContext.broadcast((langs, table))  # PER_GRAM to 2 * PER_GRAM masks for each trigram of one language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = held.value
@@ -145,7 +167,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
             for ids, grams, place in _groups(texts):
                 where = np.array(ids, np.int64)[place] if len(place) else np.zeros(0, np.int64)
                 size += np.bincount(where, minlength=n)
-                at = slots(grams)
+                at = slots(grams, table.shape[1])
                 masks = [table[w][at[0]] & table[w][at[1]] & table[w][at[2]] for w in range(len(table))]
                 for j, (w, s) in enumerate(bits):
                     hits[:, j] += np.bincount(where, ((masks[w] >> s) & np.uint64(1)).astype(float), n)

@@ -190,6 +190,49 @@ def test_main_text_under_nested_articles_and_beside_the_best_node():
         assert html_text.main_text(f"<body>{first}{others}{links}</body>") == words_of(*((x, 40) for x in "abcdef"))
 
 
+def test_marks_do_not_drop_wrappers():
+    text = "<p>" + "word " * 30 + "</p>"
+    for page in (f'<div class="site no-sidebar">{text}{text}</div>', f'<div class="page sidebar"><article>{text}{text}</article><div class="comments">{"x " * 200}</div></div>',
+                 f'<div data-id="nav">{text}{text}</div>', f'<div class="widget-page"><main><div>{text}{text}</div></main></div>', f'<div id="menu-top"><a href=a>Home</a></div><div class="content">{text}{text}</div>'):
+        assert html_text.main_text(f"<body>{page}</body>") == " ".join(["word"] * 60), page
+    comments = '<div id="comments"><article class="comment-body"><p>' + "chat " * 300 + "</p></article></div>"
+    assert html_text.main_text(f"<body><article>{text}</article>{comments}</body>") == " ".join(["word"] * 30)
+
+
+def test_densities_match_a_recursive_version():
+    from math import e, log
+
+    r = random.Random(4)
+
+    def tree(depth):
+        name = r.choice(["div", "section", "p", "span", "b", "a", "ul"])
+        inner = "".join(tree(depth - 1) if depth and r.random() < 0.6 else words(r, r.randint(0, 9)) for _ in range(r.randint(0, 4)))
+        return f"<{name}>{inner}</{name}>"
+
+    def plain(node):
+        c = lc = t = lt = 0
+        for x in node.children:
+            if isinstance(x, str):
+                c += len(x.strip())
+            else:
+                a = plain(x)
+                c, lc, t, lt = c + a[0], lc + a[1], t + a[2] + 1, lt + a[3] + (x.name == "a")
+        return (c, c, t, t) if node.name == "a" else (c, lc, t, lt)
+
+    for _ in range(200):
+        root = html_text.parse(f"<body>{tree(5)}{tree(4)}</body>")
+        order = html_text.measure(root)
+        whole = plain(root)
+        for node in order:
+            c, lc, t, lt = plain(node)
+            want = 0.0
+            if c:
+                want = c / max(1, t) * log(c / max(1, lc) * max(1, t) / max(1, lt) + 1) / log(log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + e) + 1)
+            assert node.density == pytest.approx(want)
+    big = "<div>" * 3000 + words(r, 60_000) + "</div>" * 3000
+    assert len(html_text.main_text(big)) > 100_000
+
+
 def test_extract_keeps_every_page(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", 5), (None, None, None, 6), (2, "v", "<p>" + "x " * 20000, 7)], "page_id long, url string, html string, text int")
     got = {x.page_id: (x.text, x.n_chars) for x in html_text.extract(p).collect()}
@@ -387,3 +430,64 @@ def test_languages(spark):
     assert {i for i, x in got.items() if x.held_out} == {i for i in range(404) if zlib.crc32(str(i).encode()) % 4 == 2}
     nothing = langid.identify(docs_of(spark, ["abc", None])).collect()
     assert {x.lang_pred for x in nothing} == {"und"} and langid.identify(docs_of(spark, [])).count() == 0
+
+
+def _plain_trigrams(text):
+    s = "".join(c if c.isalpha() else " " for c in text.lower())
+    s = f" {' '.join(s.split())} " if s.strip() else "  "
+    return [s[i : i + 3] for i in range(len(s) - 2)]
+
+
+def test_trigrams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    r = random.Random(3)
+    for n in (0, 1, 2, 50, 400):
+        text = "".join(r.choice("ab É1.  日") for _ in range(n))
+        want = Counter(ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in _plain_trigrams(text))
+        for chunk in (1 << 20, 7, 3, 2, 1):
+            monkeypatch.setattr(langid, "CHUNK", chunk)
+            assert Counter(np.concatenate(list(langid._chunks(text))).tolist()) == want, (text, chunk)
+
+
+def test_languages_match_exact_sets(spark):
+    """The filters, corrected for false positives, against the exact sets they stand for."""
+    r = random.Random(18)
+    make = {"xx": "aeiout", "yy": "aeioub", "zz": "klmnoae"}
+    lang = [r.choice(list(make)) for _ in range(200)]
+    texts = [" ".join("".join(r.choice(make[x]) for _ in range(5)) for _ in range(25)) for x in lang]
+    d = docs_of(spark, texts, lang=lang)
+    counts = {x: Counter() for x in make}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang[i]].update(_plain_trigrams(t))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = {g: max(share[x].get(g, 0) for x in make) for c in counts.values() for g in c}
+    sets = {x: {g for g, v in share[x].items() if v >= langid.RATIO * most[g] and sum(counts[y][g] for y in make) >= langid.LEAST} for x in make}
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(d).collect()}
+    for i, t in enumerate(texts):
+        grams = _plain_trigrams(t)
+        part = {x: sum(g in sets[x] for g in grams) / len(grams) for x in make}
+        best = max(sorted(make), key=part.get)
+        assert got[i][1] == pytest.approx(part[best] / sum(part.values()), abs=0.02)
+        assert got[i][0] == best or part[best] - sorted(part.values())[-2] < 0.03
+    langs, table = langid.learn(d)
+    assert max(((table[0] >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(langs))) <= langid.HASHES / langid.PER_GRAM
+
+
+def test_likeness_follows_the_sets():
+    r = random.Random(20)
+    for share in (0.2, 0.5, 0.9):
+        a, b = words(r, 900), None
+        w = a.split()
+        b = " ".join(w[: int(900 * share)] + words(r, 900 - int(900 * share)).split())
+        sets = [{int(v) for _, vs in fingerprints.text_anchors(t) for v in vs} for t in (a, b)]
+        exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert abs(fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) - exact) < 0.2
+
+
+def test_anchors_and_fingerprints_of_tables(spark):
+    d = docs_of(spark, ["the quick brown fox jumps over the lazy dog again", None, "", "short"])
+    rows = fingerprints.anchors(d).collect()
+    want = {(0, int(p), int(v)) for at, values in fingerprints.text_anchors("the quick brown fox jumps over the lazy dog again") for p, v in zip(at, values.view(np.int64), strict=True)}
+    assert {(x.doc_id, x.position, x.hash) for x in rows} == want
+    got = {x.doc_id: x.fingerprint for x in fingerprints.fingerprint(d).collect()}
+    assert got[1] == got[2] == "" and got[3] == fingerprints.to_text(fingerprints.sketch("short"))
