@@ -1,4 +1,4 @@
-"""The few functions without a native form (U01-U04), on Arrow batches."""
+"""The few functions without a native form (U01-U03), on Arrow batches."""
 
 from __future__ import annotations
 
@@ -26,16 +26,3 @@ def unified_diff(raw: pd.Series, corrected: pd.Series) -> pd.Series:
         return "" if x == y else "\n".join(difflib.unified_diff(x.splitlines(), y.splitlines(), "raw_ocr", "corrected_ocr", lineterm=""))
 
     return pd.Series([one(x or "", y or "") for x, y in zip(raw, corrected, strict=True)])
-
-
-@F.pandas_udf(T.IntegerType())
-def word_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: list[str], y: list[str]) -> int:
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            diagonal, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (p != q))
-        return row[-1]
-
-    return pd.Series([one(list(x), list(y)) for x, y in zip(a, b, strict=True)])

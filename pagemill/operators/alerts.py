@@ -43,13 +43,23 @@ def seconds(c: str) -> Column:
 
 
 def counter_increase(samples: DataFrame, window_s: int, tie: str = "event_id") -> DataFrame:
-    """Increase over the window per series (metric, label); a drop is a reset and counts from 0. No extrapolation."""
-    order = Window.partitionBy("metric", "label").orderBy("ts", tie)
-    before = F.lag("value").over(order)
+    """Increase over the window per series (metric, label); a drop is a reset and counts from 0. No extrapolation.
+
+    A series is cut into slices as long as the window: the value before a slice comes from the last ones of the slices before it
+    (one row per slice), and the sum over a window needs the rows of its slice and of the one before. So no task holds
+    the history of a series.
+    """
+    size, series = window_s * 1_000_000, ["metric", "label"]
+    d = samples.withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_at", F.floor(F.col("_s") / size))
+    last = d.groupBy(*series, "_at").agg(F.max_by("value", F.struct("ts", tie)).alias("_last"))
+    last = last.select(*(F.col(c).alias(f"_{c}") for c in series), F.col("_at").alias("_slice"), F.lag("_last").over(Window.partitionBy(*series).orderBy("_at")).alias("_carried"))
+    same = d.metric.eqNullSafe(F.col("_metric")) & d.label.eqNullSafe(F.col("_label")) & (F.col("_at") == F.col("_slice"))
+    d = d.join(last, same).drop("_metric", "_label", "_slice")
+    before = F.coalesce(F.lag("value").over(Window.partitionBy(*series, "_at").orderBy("ts", tie)), F.col("_carried"))
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    span = Window.partitionBy("metric", "label").orderBy("_s").rangeBetween(-window_s * 1_000_000, 0)
-    d = samples.withColumn("_d", step).withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
-    return d.withColumn("increase", F.sum("_d").over(span)).drop("_d", "_s")
+    d = d.withColumn("_d", step).withColumn("_in", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", F.col("_at") + F.col("_in"))
+    span = Window.partitionBy(*series, "_slice").orderBy("_s").rangeBetween(-size, 0)
+    return d.withColumn("increase", F.sum("_d").over(span)).where("_in = 0").drop("_d", "_s", "_at", "_carried", "_in", "_slice")
 
 
 def alert_eval(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "label") -> DataFrame:

@@ -6,32 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.pandas_udfs import nfc, sequence_ratio, word_levenshtein
+from ..functions.pandas_udfs import nfc, sequence_ratio
 
-#: First code point and size of the range that stands for words.
-BASE, ROOM = 0x4E00, 20_000
+#: The code points that stand for words: the supplementary planes.
+BASE, ROOM = 0x20000, 0xF0000
 
 
-def _coded(words: Column, vocabulary: Column) -> Column:
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + BASE), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, code), "")
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words. Words stand as single code points, so that the native distance counts them."""
+    vocabulary = F.array_union(a, b)
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + (BASE - 1)), 8, "0")), "UTF-32")
+    coded = lambda words: F.array_join(F.transform(words, code), "")
+    return F.when(F.size(vocabulary) > ROOM, F.raise_error(F.lit("more distinct words than code points"))).otherwise(F.levenshtein(coded(a), coded(b)))
 
 
 def cer_wer(pairs: DataFrame) -> DataFrame:
     """Adds cer and wer: edits of characters and words over the reference's length; 0 or 1 for an empty reference.
 
-    Words stand as single code points so that the native distance counts them; larger vocabularies use a UDF.
+    A null reference or hypothesis is an empty one.
     """
-    d = pairs.withColumn("_r", tx.collapsed(nfc("reference"))).withColumn("_h", tx.collapsed(nfc("hypothesis")))
-    d = d.withColumn("_rw", tx.words(F.col("_r"))).withColumn("_hw", tx.words(F.col("_h"))).withColumn("_v", F.array_union("_rw", "_hw"))
-    small = F.size("_v") < ROOM
-    words = F.when(small, F.levenshtein(_coded(F.col("_rw"), F.col("_v")), _coded(F.col("_hw"), F.col("_v"))))
+    r, h = (tx.collapsed(nfc(F.coalesce(c, F.lit("")))) for c in ("reference", "hypothesis"))
+    d = pairs.withColumn("_r", r).withColumn("_h", h)
+    d = d.withColumn("_rw", tx.words(F.col("_r"))).withColumn("_hw", tx.words(F.col("_h")))
     empty = F.when(F.col("_h") == "", 0.0).otherwise(1.0)
     cer = F.when(F.col("_r") == "", empty).otherwise(F.levenshtein("_r", "_h") / F.length("_r"))
-    d = d.withColumn("cer", cer).withColumn("_we", words)
-    big = d.where(~small).withColumn("_we", word_levenshtein("_rw", "_hw"))
-    d = d.where(small).unionByName(big)
-    return d.withColumn("wer", F.when(F.col("_r") == "", empty).otherwise(F.col("_we") / F.size("_rw"))).drop("_r", "_h", "_rw", "_hw", "_v", "_we")
+    wer = F.when(F.col("_r") == "", empty).otherwise(word_distance(F.col("_rw"), F.col("_hw")) / F.size("_rw"))
+    return d.withColumn("cer", cer).withColumn("wer", wer).drop("_r", "_h", "_rw", "_hw")
 
 
 def eval_summary(scored: DataFrame, *by: str) -> DataFrame:

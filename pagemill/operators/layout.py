@@ -38,15 +38,14 @@ def validate_results(results: DataFrame) -> DataFrame:
 
 
 def detect_columns(blocks: DataFrame, width: Column | None = None) -> DataFrame:
-    """column_id: number of wide gaps between distinct x-centres that lie left of the block."""
+    """column_id: number of wide gaps between distinct x-centres that lie left of the block; 0 without coordinates."""
     d = blocks.withColumn("_c", (F.col("x1") + F.col("x2")) / 2)
     width = width if width is not None else F.max("x2").over(Window.partitionBy(*PAGE))
     d = d.withColumn("_gap", F.greatest(F.lit(20.0), width * 0.08))
-    centres = d.select(*PAGE, "_c", "_gap").distinct()
     w = Window.partitionBy(*PAGE).orderBy("_c")
-    breaks = centres.withColumn("_b", F.when(F.col("_c") - F.lag("_c").over(w) >= F.col("_gap"), 1).otherwise(0))
-    ids = breaks.select(*PAGE, "_c", F.sum("_b").over(w).cast("int").alias("column_id"))
-    return d.join(ids, [*PAGE, "_c"]).drop("_c", "_gap")
+    d = d.withColumn("_b", F.when(F.col("_c") - F.lag("_c").over(w) >= F.col("_gap"), 1).otherwise(0))
+    # blocks of one centre are peers, so they share the sum
+    return d.withColumn("column_id", F.sum("_b").over(w.rangeBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_c", "_gap", "_b")
 
 
 def reading_order_ltr(blocks: DataFrame) -> DataFrame:

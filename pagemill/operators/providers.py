@@ -90,18 +90,23 @@ def blend(score: Column, target: Column) -> Column:
 def provider_health(attempts: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Health per provider and day, folded in order of time and carried from day to day.
 
-    With the clamp the fold is not a plain sum, so each day folds its own ordered targets; days are carried on one row
-    per provider and day. Within (LOW, HIGH) every target pulls the score inside, so the clamp only matters at the seed
-    and a day is the map s -> a * s + b; that map is what is carried. ``carried`` (provider, score): seeds from an earlier run.
+    Within (LOW, HIGH) every target pulls the score inside, so the clamp only matters at the seed, and any run of attempts
+    is a map s -> a * s + b. An hour's b is a sum of its targets, each weighed by the attempts after it; hours are
+    combined to days and days are carried, so that no row holds more than 24 hours or a provider's days. Results that are
+    not known count as failures. ``carried`` (provider, score): seeds from an earlier run.
     """
-    target = F.lit(None).cast("double")
+    target = F.lit(min(TARGETS.values()))
     for name, value in TARGETS.items():
         target = F.when(F.col("result") == name, value).otherwise(target)
     keep = 1 - SMOOTHING
-    day = attempts.withColumn("day", F.to_date("attempt_time")).withColumn("target", target)
-    runs = day.groupBy("provider", "day").agg(F.array_sort(F.collect_list(F.struct("attempt_time", "event_id", "target"))).alias("ts"))
-    own = F.aggregate("ts", F.lit(0.0), lambda acc, x: acc * keep + SMOOTHING * x["target"])
-    runs = runs.select("provider", "day", F.size("ts").alias("attempts"), F.pow(F.lit(keep), F.size("ts").cast("double")).alias("a"), own.alias("b"))
+    hour = attempts.select("provider", F.date_trunc("hour", "attempt_time").alias("hour"), "attempt_time", "event_id", target.alias("target"))
+    whole = Window.partitionBy("provider", "hour")
+    after = F.count(F.lit(1)).over(whole) - F.row_number().over(whole.orderBy("attempt_time", "event_id"))
+    hour = hour.withColumn("term", F.lit(SMOOTHING) * F.col("target") * F.pow(F.lit(keep), after.cast("double")))
+    hours = hour.groupBy("provider", "hour").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("term").alias("b"))
+    runs = hours.groupBy("provider", F.to_date("hour").alias("day")).agg(F.array_sort(F.collect_list(F.struct("hour", "n", "b"))).alias("hs"), F.sum("n").cast("int").alias("attempts"))
+    own = F.aggregate("hs", F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(keep), x["n"].cast("double")) + x["b"])
+    runs = runs.select("provider", "day", "attempts", F.pow(F.lit(keep), F.col("attempts").cast("double")).alias("a"), own.alias("b"))
     seeds = carried.select("provider", F.col("score").alias("seed")) if carried is not None else runs.select("provider").distinct().withColumn("seed", F.lit(START))
     chain = runs.groupBy("provider").agg(F.array_sort(F.collect_list(F.struct("day", "attempts", "a", "b"))).alias("days"))
     chain = chain.join(seeds, "provider", "left").withColumn("seed", F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.coalesce("seed", F.lit(START)))))

@@ -22,25 +22,31 @@ DET = r"(?s)<\|det\|>\s*([^\s<]+)\s*([^\n<]*)<\|/det\|>((?:(?!<\|det\|>).)*)"
 BLOCK = r"(?s)<BLOCK>\s*([A-Za-z_]+)(?:<LEVEL(\d+)>)?\s*\[([^\]]+)\]\s*<FORK>(.*?)(?=<BLOCK>|$)"
 
 
+#: Everything that ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def repeated_line_ratio(c: Column) -> Column:
-    lines = F.filter(F.transform(F.split(c, "\n"), tx.trimmed), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, LINE_END), tx.trimmed), lambda x: x != "")
     n = F.size(lines)
     return F.when(n < 3, 0.0).otherwise((n - F.size(F.array_distinct(lines))) / n)
 
 
-def ngram_repetition(rows: DataFrame, key: str, text: str = "text", n: int = NGRAM) -> DataFrame:
-    """(key, repetition_ratio): exploded to hashes, so that long texts are spread and not held in one row."""
-    w = rows.select(key, tx.words(F.col(text)).alias("_w")).where(F.size("_w") >= n)
-    grams = w.select(key, F.explode(F.expr(f"transform(sequence(1, size(_w) - {n - 1}), i -> xxhash64(slice(_w, i, {n})))")).alias("g"))
-    per = grams.groupBy(key, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("d"))
-    got = per.select(key, ((F.col("t") - F.col("d")) / F.col("t")).alias("repetition_ratio"))
-    return rows.select(key).join(got, key, "left").select(key, F.coalesce("repetition_ratio", F.lit(0.0)).alias("repetition_ratio"))
+def ngram_repetition(c: Column, n: int = NGRAM) -> Column:
+    """Share of the runs of n words that have occurred before in the text: computed in the row, from hashes of the words."""
+    hashes = F.transform(tx.words(c), lambda w: F.xxhash64(w))
+
+    def of(h: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))
+        return F.when(F.size(h) < n, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+
+    # one pass over an array of one row, so that the words are hashed once
+    return F.element_at(F.transform(F.array(hashes), of), 1)
 
 
 def page_quality(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ratios, table rows, characters, degenerate, markup leak, warnings."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    d = rows.withColumn("_c", c).join(ngram_repetition(rows, key, text), key)
+    """Ratios, table rows, characters, degenerate, markup leak, warnings. One row out for each row in."""
+    d = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("_c")).withColumn("repetition_ratio", ngram_repetition(F.col("_c")))
     d = d.withColumns({"repeated_line_ratio": repeated_line_ratio(F.col("_c")), "table_rows": F.regexp_count("_c", F.lit("<tr")), "char_count": F.length("_c"), "markup_leak": F.col("_c").rlike(r"<\|ref\|>|<\|det\|>|<BLOCK>|<FORK>")})
     bad = (F.col("char_count") > MAX_CHARS) | (F.col("table_rows") > MAX_ROWS) | (F.col("repeated_line_ratio") > MAX_LINES) | (F.col("repetition_ratio") > MAX_NGRAMS)
     d = d.withColumn("degenerate", bad)

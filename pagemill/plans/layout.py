@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..functions.pandas_udfs import nfc, sequence_ratio, unified_diff, word_levenshtein
+from ..functions.pandas_udfs import nfc, sequence_ratio, unified_diff
 from ..operators import evaluation as ev
 from ..operators import layout as ly
 from ..operators import quality as qu
@@ -181,9 +181,13 @@ def _(t: Tables):
 @query("A29_repetition_quality", "documents", oracle=f"""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l, list_filter(string_split({collapse('text')}, ' '), lambda w: w <> '') AS w, text FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, count(*) AS t, count(DISTINCT g) AS d FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 33, 1)), lambda i: array_to_string(w[i:i + 34], ' '))) AS g FROM l WHERE len(w) >= 35) GROUP BY 1)
-SELECT l.doc_id, CASE WHEN len(l) < 3 THEN 0.0 ELSE (len(l) - len(list_distinct(l))) / len(l) END AS repeated_line_ratio, coalesce((t - d) / t, 0.0) AS repetition_ratio, length(text) AS char_count FROM l LEFT JOIN g USING (doc_id)""")
+SELECT *, repeated_line_ratio > 0.4 OR repetition_ratio > 0.05 OR char_count > 40000 OR table_rows > 200 AS degenerate, repetition_ratio > 0.05 AS repeated
+FROM (SELECT l.doc_id, CASE WHEN len(l) < 3 THEN 0.0 ELSE (len(l) - len(list_distinct(l))) / len(l) END AS repeated_line_ratio, round(coalesce((t - d) / t, 0.0), 9) AS repetition_ratio, length(text) AS char_count, (length(text) - length(replace(text, '<tr', ''))) // 3 AS table_rows FROM l LEFT JOIN g USING (doc_id))""")
 def _(t: Tables):
-    return qu.page_quality(t["documents"].where("text IS NOT NULL")).select("doc_id", "repeated_line_ratio", "repetition_ratio", F.col("char_count").cast("long").alias("char_count"))
+    return qu.page_quality(t["documents"].where("text IS NOT NULL")).select(
+        "doc_id", "repeated_line_ratio", F.round("repetition_ratio", 9).alias("repetition_ratio"), F.col("char_count").cast("long").alias("char_count"), F.col("table_rows").cast("long").alias("table_rows"),
+        "degenerate", F.array_contains("warnings", "possible repeated output detected").alias("repeated"),
+    )
 
 
 @query("A30_page_quality", "pages", oracle="""SELECT page_id, (length(html) - length(replace(html, '<tr', ''))) // 3 AS table_rows, length(html) AS char_count, false AS markup_leak FROM pages""")
@@ -222,7 +226,7 @@ s AS (SELECT *, levenshtein(r, h) / length(r) AS cer, levenshtein(array_to_strin
 
 @query("U04_word_levenshtein", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, CAST(round(wer * len(rw)) AS INT) AS edits FROM s")
 def _(t: Tables):
-    return t["eval_pairs"].select("doc_id", word_levenshtein(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
+    return t["eval_pairs"].select("doc_id", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
 
 
 @query("A27_cer_wer", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, round(cer, 6) AS cer, round(wer, 6) AS wer FROM s")

@@ -130,3 +130,67 @@ def test_lifecycle_contract(spark):
     d = spark.createDataFrame([("job_created", "j", "c", "p", "t", -1, 0, 0), ("", "j", "c", "p", "t", 1, 0, 0)], "event string, job_id string, correlation_id string, provider string, event_time string, duration_ms long, retry_count long, queue_depth long")
     assert sorted(r.reasons for r in lifecycle.invalid_events(d).collect()) == [["missing event"], ["negative duration_ms"]]
     assert "ocr_started" in lifecycle.missing_events(d).first().missing
+
+
+def test_scores_keep_rows_with_a_null_side(spark):
+    d = spark.createDataFrame([(1, None, "ab"), (2, "ab", None), (3, None, None), (4, "a b c", "a x c")], "doc_id int, reference string, hypothesis string")
+    got = {r.doc_id: (r.cer, r.wer) for r in evaluation.cer_wer(d).collect()}
+    assert got == {1: (1.0, 1.0), 2: (1.0, 1.0), 3: (0.0, 0.0), 4: (pytest.approx(0.2), pytest.approx(1 / 3))}
+
+
+def test_word_distance_matches_a_plain_version(spark):
+    import random
+
+    r = random.Random(1)
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            diagonal, row[0] = row[0], i
+            for j, q in enumerate(y, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (p != q))
+        return row[-1]
+
+    pairs = [([r.choice("abcde") * r.randint(1, 2) for _ in range(r.randint(0, 12))], [r.choice("abcde") for _ in range(r.randint(0, 12))]) for _ in range(60)]
+    d = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    assert [x.n for x in d.select(evaluation.word_distance(F.col("a"), F.col("b")).alias("n")).collect()] == [plain(*p) for p in pairs]
+
+
+def test_page_quality_has_a_row_for_each_row(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    d = spark.createDataFrame([(1, text), (1, f"{text} {text}"), (None, "a\x0cb\u2028a\x85a"), (2, "w " * 34)], "doc_id int, text string")
+    rows = sorted((str(r.doc_id), r.repetition_ratio, r.repeated_line_ratio, r.degenerate) for r in quality.page_quality(d).collect())
+    assert rows == [("1", 0.0, 0.0, False), ("1", pytest.approx(16 / 66), 0.0, True), ("2", 0.0, 0.0, False), ("None", 0.0, 0.5, True)]
+
+
+def test_columns_keep_blocks_without_coordinates(spark):
+    d = spark.createDataFrame([(1, 1, 0, "a", 0.9, None, 0.0, None, 9.0, "en"), (1, 1, 1, "b", 0.9, 0.0, 0.0, 50.0, 9.0, "en"), (1, 1, 2, "c", 0.9, 400.0, 0.0, 450.0, 9.0, "en"), (1, 1, 3, "d", 0.9, 400.0, 20.0, 450.0, 29.0, "en")], BLOCK)
+    assert {r.text: r.column_id for r in layout.detect_columns(d).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1}
+
+
+def test_health_over_hours_and_unknown_results(spark):
+    results = ["success", "what", "transient", "permanent", "success", "success"]
+    d = spark.createDataFrame([(i, "p", datetime(2024, 1, 1 + i // 4, 10 + i % 4 // 2, i), x) for i, x in enumerate(results)], "event_id int, provider string, attempt_time timestamp, result string")
+    score, want = 1.0, {}
+    for i, x in enumerate(results):
+        score = min(1.5, max(0.05, 0.78 * score + 0.22 * {"success": 1.2, "transient": 0.35}.get(x, 0.15)))
+        want[str(datetime(2024, 1, 1 + i // 4).date())] = pytest.approx(score)
+    assert {str(r.day): r.score for r in providers.provider_health(d).collect()} == want
+
+
+def test_increase_over_slices_matches_a_plain_version(spark):
+    import random
+
+    r = random.Random(5)
+    rows, at = [], 0
+    for i in range(300):
+        at += r.choice([1, 20, 200])
+        rows.append((i, datetime.fromtimestamp(1_700_000_000 + at), "m", r.choice(["a", None]), float(r.randint(0, 9))))
+    want = {}
+    for label in ("a", None):
+        mine = [(x[0], x[1].timestamp(), x[4]) for x in rows if x[3] == label]
+        steps = [0.0] + [v if v < w else v - w for (_, _, w), (_, _, v) in zip(mine, mine[1:], strict=False)]
+        for i, t, _ in mine:
+            want[i] = sum(s for s, (_, u, _) in zip(steps, mine, strict=True) if t - 60 <= u <= t)
+    d = spark.createDataFrame(rows, "event_id int, ts timestamp, metric string, label string, value double")
+    assert {x.event_id: x.increase for x in alerts.counter_increase(d, 60).collect()} == pytest.approx(want)
