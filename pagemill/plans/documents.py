@@ -170,7 +170,11 @@ def _(t: Tables):
     return t["documents"].where("text IS NOT NULL").select("doc_id", F.md5(tx.collapsed(c).cast("binary")).alias("eval_digest"), F.md5(tx.loose(c).cast("binary")).alias("loose_digest"))
 
 
-SCRIPT_TEXT = "CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 40) || ' 漢字 かな' WHEN 1 THEN 'שלום עולם ' || substr(text, 1, 3) WHEN 2 THEN substr(text, 1, 30) || ' हिन्दी ไทย' WHEN 3 THEN 'مرحبا بالعالم' ELSE substr(text, 1, 60) END"
+#: Whole texts with words of other scripts before or behind them.
+SCRIPT_TEXT = """CASE doc_id % 5 WHEN 0 THEN text || ' 漢字 かな' WHEN 1 THEN 'שלום עולם ' || text WHEN 2 THEN text || ' हिन्दी ไทย'
+  WHEN 3 THEN repeat('مرحبا ', CAST(floor(length(text) / 4) AS INT) + 1) || text ELSE text END"""
+#: Whole texts of which a third is mostly Han characters.
+TALL_TEXT = "CASE doc_id % 3 WHEN 0 THEN repeat('漢字漢字', CAST(length(text) AS INT) + 1) || text WHEN 1 THEN '漢' || text ELSE '漢字' || text END"
 _CLASS = {n: r for n, r in tx.SCRIPTS}
 
 
@@ -194,9 +198,9 @@ def _(t: Tables):
     return d.select("doc_id", F.size("s").alias("segments"), F.size(F.filter("s", lambda x: x["fallback"])).alias("fallback"))
 
 
-@query("F12_vertical_text", "documents", oracle=f"SELECT doc_id, h / w >= 2.2 AND length(c) >= 2 AND length(c) / length(text) >= 0.8 AS vertical FROM (SELECT doc_id, doc_id % 50 + 10 AS w, 100 AS h, t AS text, regexp_replace(t, '[^{tx.CJK}]', '', 'g') AS c FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '漢字漢字a' WHEN 1 THEN '漢' ELSE '漢字abc' END AS t FROM documents))")
+@query("F12_vertical_text", "documents", oracle=f"SELECT doc_id, h / w >= 2.2 AND length(c) >= 2 AND length(c) / length(text) >= 0.8 AS vertical FROM (SELECT doc_id, doc_id % 50 + 10 AS w, 100 AS h, t AS text, regexp_replace(t, '[^{tx.CJK}]', '', 'g') AS c FROM (SELECT doc_id, {TALL_TEXT} AS t FROM documents WHERE text IS NOT NULL))")
 def _(t: Tables):
-    d = t["documents"].selectExpr("doc_id", "doc_id % 50 + 10 AS w", "100 AS h", "CASE doc_id % 3 WHEN 0 THEN '漢字漢字a' WHEN 1 THEN '漢' ELSE '漢字abc' END AS text")
+    d = t["documents"].where("text IS NOT NULL").selectExpr("doc_id", "doc_id % 50 + 10 AS w", "100 AS h", f"{TALL_TEXT} AS text")
     return d.select("doc_id", tx.is_vertical(F.col("text"), F.col("w"), F.col("h")).alias("vertical"))
 
 
@@ -206,9 +210,9 @@ def _(t: Tables):
     return d.select("doc_id", F.array_join(tx.cjk_tokens(F.col("text")), "|").alias("tokens"))
 
 
-@query("F17_changed_chars", "eval_pairs", oracle="SELECT doc_id, CAST(length(reference) - length(replace(replace(reference, 'e', ''), 'o', '')) AS INT) AS changed FROM eval_pairs")
+@query("F17_changed_chars", "documents", oracle="SELECT doc_id, CAST(length(text) - length(replace(replace(text, 'e', ''), 'o', '')) AS INT) AS changed FROM documents WHERE text IS NOT NULL")
 def _(t: Tables):
-    return t["eval_pairs"].select("doc_id", tx.changed_chars(F.col("reference"), F.col("hypothesis")).alias("changed"))
+    return t["documents"].where("text IS NOT NULL").select("doc_id", tx.changed_chars(F.col("text"), F.translate("text", "eo", "ac")).alias("changed"))
 
 
 @query("F18_content_key", "documents", oracle="SELECT doc_id, sha256('auto' || chr(0) || lang || chr(0) || text) AS k FROM documents WHERE text IS NOT NULL")
