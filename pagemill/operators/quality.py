@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +34,26 @@ def repeated_line_ratio(c: Column) -> Column:
     return F.when(n < 3, 0.0).otherwise((n - F.size(F.array_distinct(lines))) / n)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once for a row."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _runs(h: Column, n: int, step: int = 1) -> Column:
+    """A hash of the elements i, i + step, ... (n of them) for every place i of an array that has them all."""
+    last = F.size(h) - (n - 1) * step
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.xxhash64(*(F.get(h, i + k * step) for k in range(n))))
+
+
 def ngram_repetition(c: Column, n: int = NGRAM) -> Column:
-    """Share of the runs of n words that have occurred before in the text: computed in the row, from hashes of the words."""
-    hashes = F.transform(tx.words(c), lambda w: F.xxhash64(w))
+    """Share of the runs of n words that have occurred before in the text: computed in the row, from hashes of short runs of words."""
+    inner = max(k for k in range(1, int(n**0.5) + 1) if n % k == 0)
 
     def of(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))
-        return F.when(F.size(h) < n, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+        grams = _bound(_runs(h, inner), lambda short: _runs(short, n // inner, inner))
+        return F.when(F.size(h) < n, 0.0).otherwise(_bound(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)))
 
-    # one pass over an array of one row, so that the words are hashed once
-    return F.element_at(F.transform(F.array(hashes), of), 1)
+    return _bound(F.transform(tx.words(c), lambda w: F.xxhash64(w)), of)
 
 
 def page_quality(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
