@@ -86,16 +86,18 @@ BLOCKS_B = """SELECT doc_id, page_no, idx, concat(text, '*') AS text, lang,
   x1 + idx % 7 AS x1, y1 + idx % 5 AS y1, x2 + idx % 7 AS x2, y2 + idx % 5 AS y2
 FROM blocks WHERE idx % 9 <> 4"""
 
-_EVAL = """SELECT doc_id, lang, source AS document_type, CASE doc_id % 2 WHEN 0 THEN 'paddle' ELSE 'unlimited' END AS engine,
-  substr(text, 1, 200) AS reference, translate(substr(text, 1, 200), 'eo', 'ac') AS hypothesis
-FROM documents WHERE lang = 'en' AND octet_length({head}) = length(substr(text, 1, 200))"""
+#: Every text, whole, in passages of 200 characters; a passage and a misread copy are a pair.
+_EVAL = """SELECT doc_id, CAST(pos AS BIGINT) AS pos, lang, document_type, CASE doc_id % 2 WHEN 0 THEN 'paddle' ELSE 'unlimited' END AS engine,
+  passage AS reference, translate(passage, 'eo', 'ac') AS hypothesis FROM {passages}"""
+_PASSAGES_SPARK = "(SELECT doc_id, lang, source AS document_type, pos, passage FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '(?s).{{1,200}}', 0)) AS pos, passage)"
+_PASSAGES_DUCK = "(SELECT doc_id, lang, document_type, p - 1 AS pos, passage FROM (SELECT doc_id, lang, source AS document_type, unnest(r) AS passage, generate_subscripts(r, 1) AS p FROM (SELECT *, regexp_extract_all(text, '(?s).{1,200}') AS r FROM documents)))"
 
 SPARK = {
     "ocr_events": OCR_EVENTS, "reliability_events": RELIABILITY_EVENTS, "lifecycle_events": LIFECYCLE_EVENTS, "metric_samples": METRIC_SAMPLES, "jobs": JOBS,
     "queue_entries": QUEUE_ENTRIES, "provider_attempts": PROVIDER_ATTEMPTS, "blocks": _BLOCKS.format(lines=_LINES_SPARK), "blocks_b": BLOCKS_B,
-    "eval_pairs": _EVAL.format(head="substr(text, 1, 200)"),
+    "eval_pairs": _EVAL.format(passages=_PASSAGES_SPARK),
 }
-DUCKDB = SPARK | {"blocks": _BLOCKS.format(lines=_LINES_DUCK), "eval_pairs": _EVAL.format(head="encode(substr(text, 1, 200))")}
+DUCKDB = SPARK | {"blocks": _BLOCKS.format(lines=_LINES_DUCK), "eval_pairs": _EVAL.format(passages=_PASSAGES_DUCK)}
 NEEDS = {"blocks_b": ("blocks",)}
 
 

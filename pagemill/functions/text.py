@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ RTL = r"\x{0590}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB1D}-\x{FDFF}\x{F
 RTL_LANGS = ("ar", "ur", "fa", "he", "ps", "sd", "ug")
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once for a row."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

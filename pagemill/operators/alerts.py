@@ -65,7 +65,8 @@ def counter_increase(samples: DataFrame, window_s: int, tie: str = "event_id") -
 def alert_eval(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "label") -> DataFrame:
     """Samples at which a rule fires: its condition has held since a start at least ``hold_s`` ago.
 
-    Rules over columns that ``rows`` lacks are left out.
+    Rules over columns that ``rows`` lacks are left out. Runs are found within days; the run that is open as a day begins is
+    carried into it (one row per series, rule and day), so no task holds the history of a series.
     """
     out = []
     for r in rules:
@@ -73,18 +74,47 @@ def alert_eval(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "lab
         if names <= set(rows.columns):
             holds = F.coalesce(F.expr(r.condition), F.lit(False))
             out.append(F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.hold_s).alias("hold_s"), holds.alias("holds")))
-    w = Window.partitionBy(key, "rule").orderBy("ts")
-    d = rows.select(key, "ts", F.inline(F.array(*out)))
-    d = d.withColumn("island", F.sum(F.when(F.col("holds").eqNullSafe(F.lag("holds").over(w)), 0).otherwise(1)).over(w)).where("holds")
-    start = F.min("ts").over(Window.partitionBy(key, "rule", "island"))
-    return d.withColumn("since", start).where(seconds("ts") - seconds("since") >= F.col("hold_s")).select(key, "ts", "rule", "severity", "since")
+    d = rows.select(key, "ts", F.inline(F.array(*out))).withColumn("_day", F.floor(seconds("ts") / 86_400))
+    part = [key, "rule", "_day"]
+    w = Window.partitionBy(*part).orderBy("ts", "holds")
+    d = d.withColumn("_island", F.sum(F.when(F.col("holds").eqNullSafe(F.lag("holds").over(w)), 0).otherwise(1)).over(w))
+    d = d.withColumn("_start", F.min("ts").over(Window.partitionBy(*part, "_island")))
+    carried = _open_runs(d, key).select(F.col(key).alias("_k"), F.col("rule").alias("_r"), F.col("_day").alias("_d"), "_carried")
+    d = d.where("holds").join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("rule") == F.col("_r")) & (F.col("_day") == F.col("_d")))
+    d = d.withColumn("since", F.when(F.col("_island") == 1, F.coalesce("_carried", "_start")).otherwise(F.col("_start")))
+    return d.where(seconds("ts") - seconds("since") >= F.col("hold_s")).select(key, "ts", "rule", "severity", "since")
+
+
+def _open_runs(d: DataFrame, key: str) -> DataFrame:
+    """Per series, rule and day: the start of the run that is open as the day begins; null without one. Windows over one row per day."""
+    last = F.max_by(F.struct("holds", "_start"), F.struct("ts", "holds"))
+    days = d.groupBy(key, "rule", "_day").agg(F.min("holds").alias("all_hold"), F.min("ts").alias("first"), last.alias("last"))
+    days = days.withColumn("open", F.when(F.col("all_hold"), F.col("first")).when(F.col("last.holds"), F.col("last._start")))
+    by_day = Window.partitionBy(key, "rule").orderBy("_day")
+    days = days.withColumn("_stretch", F.sum(F.when(F.col("all_hold"), 0).otherwise(1)).over(by_day))
+    at_end = F.first("open", ignorenulls=True).over(Window.partitionBy(key, "rule", "_stretch").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    return days.withColumn("_end", at_end).withColumn("_carried", F.lag("_end").over(by_day))
 
 
 def promote_warnings(alerts: DataFrame, key: str = "label", tie: str = "event_id") -> DataFrame:
     """warn alerts with 3 or more in the last hour are escalated; two stable windows before a row demote it."""
-    span = Window.partitionBy(key).orderBy("_s").rangeBetween(-3600, 0)
-    order = Window.partitionBy(key).orderBy("ts", tie)
-    warn = F.col("level") == "warn"
-    d = alerts.withColumn("_s", F.unix_timestamp("ts")).withColumn("warns_1h", F.count(F.when(warn, 1)).over(span))
-    calm = (F.lag("level", 1).over(order) == "ok") & (F.lag("level", 2).over(order) == "ok")
-    return d.withColumn("escalate", warn & (F.col("warns_1h") >= 3)).withColumn("demote", F.coalesce(calm, F.lit(False))).drop("_s")
+    hour, warn = 3600, F.col("level") == "warn"
+    d = alerts.withColumn("_s", F.unix_timestamp("ts")).withColumn("_at", F.floor(F.col("_s") / hour))
+    order = Window.partitionBy(key, "_at").orderBy("ts", tie)
+    d = d.withColumns({"_n": F.row_number().over(order), "_p1": F.lag("level", 1).over(order), "_p2": F.lag("level", 2).over(order)})
+    # the two rows before an hour's first: from the last two of each of the two hours with rows before it
+    newest = Window.partitionBy(key, "_at").orderBy(F.desc("ts"), F.desc(tie))
+    tail = d.withColumn("_m", F.row_number().over(newest)).where("_m <= 2").groupBy(key, "_at").agg(F.array_sort(F.collect_list(F.struct("_m", "level"))).alias("_t"))
+    by_hour = Window.partitionBy(key).orderBy("_at")
+    both = F.concat(*(F.coalesce(F.lag("_t", i).over(by_hour), F.expr("CAST(array() AS array<struct<_m:int,level:string>>)")) for i in (1, 2)))
+    tail = tail.select(F.col(key).alias("_k"), F.col("_at").alias("_h"), F.transform(both, lambda x: x["level"]).alias("_c"))
+    d = d.join(tail, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_h")))
+    one = F.when(F.col("_n") > 1, F.col("_p1")).otherwise(F.get("_c", F.lit(0)))
+    two = F.when(F.col("_n") > 2, F.col("_p2")).otherwise(F.get("_c", 2 - F.col("_n")))
+    calm = F.coalesce((one == "ok") & (two == "ok"), F.lit(False))
+    # every row counts in its hour and in the next one
+    d = d.withColumn("demote", calm).withColumn("_in", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", F.col("_at") + F.col("_in"))
+    span = Window.partitionBy(key, "_slice").orderBy("_s").rangeBetween(-hour, 0)
+    d = d.withColumn("warns_1h", F.count(F.when(warn, 1)).over(span)).where("_in = 0")
+    out = d.withColumn("escalate", F.coalesce(warn & (F.col("warns_1h") >= 3), F.lit(False)))
+    return out.select(*alerts.columns, "warns_1h", "escalate", "demote")

@@ -14,10 +14,14 @@ BASE, ROOM = 0x20000, 0xF0000
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words. Words stand as single code points, so that the native distance counts them."""
-    vocabulary = F.array_union(a, b)
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + (BASE - 1)), 8, "0")), "UTF-32")
-    coded = lambda words: F.array_join(F.transform(words, code), "")
-    return F.when(F.size(vocabulary) > ROOM, F.raise_error(F.lit("more distinct words than code points"))).otherwise(F.levenshtein(coded(a), coded(b)))
+
+    def of(p: Column) -> Column:
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(p["v"], w) + (BASE - 1)), 8, "0")), "UTF-32")
+        coded = lambda words: F.array_join(F.transform(words, code), "")
+        return F.when(F.size(p["v"]) > ROOM, F.raise_error(F.lit("more distinct words than code points"))).otherwise(F.levenshtein(coded(p["a"]), coded(p["b"])))
+
+    words = tx.once(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_union(p["a"], p["b"]).alias("v")))
+    return tx.once(words, of)
 
 
 def cer_wer(pairs: DataFrame) -> DataFrame:
@@ -26,12 +30,16 @@ def cer_wer(pairs: DataFrame) -> DataFrame:
     A null reference or hypothesis is an empty one.
     """
     r, h = (tx.collapsed(nfc(F.coalesce(c, F.lit("")))) for c in ("reference", "hypothesis"))
-    d = pairs.withColumn("_r", r).withColumn("_h", h)
-    d = d.withColumn("_rw", tx.words(F.col("_r"))).withColumn("_hw", tx.words(F.col("_h")))
-    empty = F.when(F.col("_h") == "", 0.0).otherwise(1.0)
-    cer = F.when(F.col("_r") == "", empty).otherwise(F.levenshtein("_r", "_h") / F.length("_r"))
-    wer = F.when(F.col("_r") == "", empty).otherwise(word_distance(F.col("_rw"), F.col("_hw")) / F.size("_rw"))
-    return d.withColumn("cer", cer).withColumn("wer", wer).drop("_r", "_h", "_rw", "_hw")
+
+    def of(p: Column) -> Column:
+        words = {c: F.filter(F.split(p[c], " "), lambda w: w != "") for c in "rh"}
+        empty = F.when(p["h"] == "", 0.0).otherwise(1.0)
+        cer = F.when(p["r"] == "", empty).otherwise(F.levenshtein(p["r"], p["h"]) / F.length(p["r"]))
+        wer = F.when(p["r"] == "", empty).otherwise(word_distance(words["r"], words["h"]) / F.size(words["r"]))
+        return F.struct(cer.alias("cer"), wer.alias("wer"))
+
+    # a generator over one struct: the scores of a row are computed once, whichever columns follow
+    return pairs.select("*", F.inline(F.transform(F.array(F.struct(r.alias("r"), h.alias("h"))), of)))
 
 
 def eval_summary(scored: DataFrame, *by: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +32,6 @@ def repeated_line_ratio(c: Column) -> Column:
     return F.when(n < 3, 0.0).otherwise((n - F.size(F.array_distinct(lines))) / n)
 
 
-def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value), with the value computed once for a row."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _runs(h: Column, n: int, step: int = 1) -> Column:
     """A hash of the elements i, i + step, ... (n of them) for every place i of an array that has them all."""
     last = F.size(h) - (n - 1) * step
@@ -50,10 +43,10 @@ def ngram_repetition(c: Column, n: int = NGRAM) -> Column:
     inner = max(k for k in range(1, int(n**0.5) + 1) if n % k == 0)
 
     def of(h: Column) -> Column:
-        grams = _bound(_runs(h, inner), lambda short: _runs(short, n // inner, inner))
-        return F.when(F.size(h) < n, 0.0).otherwise(_bound(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)))
+        grams = tx.once(_runs(h, inner), lambda short: _runs(short, n // inner, inner))
+        return F.when(F.size(h) < n, 0.0).otherwise(tx.once(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)))
 
-    return _bound(F.transform(tx.words(c), lambda w: F.xxhash64(w)), of)
+    return tx.once(F.transform(tx.words(c), lambda w: F.xxhash64(w)), of)
 
 
 def page_quality(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

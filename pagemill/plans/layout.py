@@ -215,28 +215,40 @@ def _(t: Tables):
     return t["documents"].select("doc_id", nfc("text").alias("text"))
 
 
-@query("U02_sequence_ratio", "eval_pairs")
-def _(t: Tables):
-    return t["eval_pairs"].select("doc_id", F.round(sequence_ratio("reference", "hypothesis"), 6).alias("ratio"))
+def _pairs(t: Tables):
+    """The passages dealt over all tasks: an edit distance costs far more than the move, and one text may have thousands."""
+    return t["eval_pairs"].repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "pos")
+
 
+def _codes(items: str) -> str:
+    """DuckDB's distance counts bytes: the distinct items of a pair (characters, words; up to 127) stand as single bytes."""
+    return f"array_to_string(list_transform({items}, lambda w: chr(list_position(known, w)::INT)), '')"
 
-WER = f"""v AS (SELECT *, list_filter(string_split({collapse('reference')}, ' '), lambda x: x <> '') AS rw, list_filter(string_split({collapse('hypothesis')}, ' '), lambda x: x <> '') AS hw, {collapse('reference')} AS r, {collapse('hypothesis')} AS h FROM eval_pairs),
-s AS (SELECT *, levenshtein(r, h) / length(r) AS cer, levenshtein(array_to_string(list_transform(rw, lambda w: chr(list_position(list_distinct(list_concat(rw, hw)), w)::INT)), ''), array_to_string(list_transform(hw, lambda w: chr(list_position(list_distinct(list_concat(rw, hw)), w)::INT)), '')) / len(rw) AS wer FROM v WHERE len(rw) > 0)"""
 
+WER = f"""n AS (SELECT * EXCLUDE (reference, hypothesis), nfc_normalize(reference) AS reference, nfc_normalize(hypothesis) AS hypothesis FROM eval_pairs),
+v AS (SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM (SELECT *, {collapse('reference')} AS r, {collapse('hypothesis')} AS h FROM n)),
+k AS (SELECT *, levenshtein({_codes("string_split(r, '')")}, {_codes("string_split(h, '')")}) / length(r) AS cer FROM (SELECT *, list_distinct(string_split(r || h, '')) AS known FROM v WHERE len(rw) > 0)),
+s AS (SELECT *, levenshtein({_codes('rw')}, {_codes('hw')}) / len(rw) AS wer FROM (SELECT * REPLACE (list_distinct(list_concat(rw, hw)) AS known) FROM k))"""
 
-@query("U04_word_levenshtein", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, CAST(round(wer * len(rw)) AS INT) AS edits FROM s")
+
+@query("U02_sequence_ratio", "eval_pairs")
 def _(t: Tables):
-    return t["eval_pairs"].select("doc_id", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
+    return _pairs(t).select("doc_id", "pos", F.round(sequence_ratio("reference", "hypothesis"), 6).alias("ratio"))
 
 
-@query("A27_cer_wer", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, round(cer, 6) AS cer, round(wer, 6) AS wer FROM s")
+@query("U04_word_levenshtein", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, pos, CAST(round(wer * len(rw)) AS INT) AS edits FROM s UNION ALL SELECT doc_id, pos, 0 FROM v WHERE len(rw) = 0")
 def _(t: Tables):
-    return ev.cer_wer(t["eval_pairs"]).select("doc_id", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+    return _pairs(t).select("doc_id", "pos", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
 
 
-@query("A28_eval_summary", "eval_pairs", oracle=f"WITH {WER} SELECT engine, document_type, count(*) AS samples, CAST(round(CAST(sum(CAST(round(cer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_cer, CAST(round(CAST(sum(CAST(round(wer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_wer FROM s GROUP BY 1, 2")
+@query("A27_cer_wer", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, pos, round(cer, 6) AS cer, round(wer, 6) AS wer FROM s UNION ALL SELECT doc_id, pos, 0, 0 FROM v WHERE len(rw) = 0")
 def _(t: Tables):
-    return ev.eval_summary(ev.cer_wer(t["eval_pairs"]), "engine", "document_type")
+    return ev.cer_wer(_pairs(t)).select("doc_id", "pos", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+@query("A28_eval_summary", "eval_pairs", oracle=f"WITH {WER} SELECT engine, document_type, count(*) AS samples, CAST(round(CAST(sum(CAST(round(cer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_cer, CAST(round(CAST(sum(CAST(round(wer, 4) AS DECIMAL(18,4))) / count(*) AS DECIMAL(18,9)), 4) AS DOUBLE) AS mean_wer FROM (SELECT engine, document_type, cer, wer FROM s UNION ALL SELECT engine, document_type, 0, 0 FROM v WHERE len(rw) = 0) GROUP BY 1, 2")
+def _(t: Tables):
+    return ev.eval_summary(ev.cer_wer(_pairs(t)), "engine", "document_type")
 
 
 @query("J08_pair_eval", "conversations", "documents", oracle="SELECT d.doc_id, md5(string_agg(c.text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM documents d JOIN conversations c ON c.conv_id = d.doc_id GROUP BY 1")
@@ -245,24 +257,26 @@ def _(t: Tables):
     return ev.pair_eval(t["documents"].select("doc_id"), pages).select("doc_id", F.md5(F.col("hypothesis").cast("binary")).alias("digest"))
 
 
-_SCORED = "SELECT doc_id, doc_id % 90 + 0.5 AS latency_ms, doc_id % 7 / 10 AS confidence, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 / 10 END AS f1 FROM documents"
+_SCORED = "SELECT doc_id, length(text) / 4 AS latency_ms, length(text) % 7 / 10 AS confidence, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 / 10 END AS f1 FROM documents"
 
 
 @query("J11_engine_delta", "documents", oracle=f"WITH a AS ({_SCORED}) SELECT count(*) AS documents, round(avg(latency_ms), 4) AS raw_avg_latency_ms, round(avg(latency_ms * 2), 4) AS new_avg_latency_ms, round(avg(confidence), 4) AS raw_avg_confidence, round(avg(confidence + 0.1), 4) AS new_avg_confidence, round(avg(f1), 4) AS raw_avg_f1, round(avg(f1 / 2), 4) AS new_avg_f1 FROM a")
 def _(t: Tables):
     i = F.col("doc_id")
-    a = t["documents"].select("doc_id", (i % 90 + 0.5).cast("double").alias("latency_ms"), (i % 7 / 10).alias("confidence"), F.when(i % 4 > 0, i % 9 / 10).alias("f1"))
+    n = F.length("text")
+    a = t["documents"].select("doc_id", (n / 4).alias("latency_ms"), (n % 7 / 10).alias("confidence"), F.when(i % 4 > 0, i % 9 / 10).alias("f1"))
     b = a.select("doc_id", (F.col("latency_ms") * 2).alias("latency_ms"), (F.col("confidence") + 0.1).alias("confidence"), (F.col("f1") / 2).alias("f1"))
     m = ("latency_ms", "confidence", "f1")
     return ev.delta_summary(ev.engine_delta(a, b, m), m)
 
 
 @query("J12_canary_compare", "eval_pairs", oracle="""
-WITH p AS (SELECT engine, avg(CAST(doc_id % 50 = 1 AS INT)) AS failed, avg(CAST(doc_id % 30 = 3 AS INT)) AS fallback, avg(CAST(doc_id % 200 = 5 AS INT)) AS flagged, count(*) FILTER (WHERE doc_id % 997 = 7) AS empty, quantile_cont(doc_id % 300 * CASE engine WHEN 'unlimited' THEN 3 ELSE 1 END, 0.95) AS p95 FROM eval_pairs GROUP BY 1)
+WITH p AS (SELECT engine, avg(CAST(i % 50 = 1 AS INT)) AS failed, avg(CAST(i % 30 = 3 AS INT)) AS fallback, avg(CAST(i % 200 = 5 AS INT)) AS flagged, count(*) FILTER (WHERE trim(reference) = '') AS empty, quantile_cont((i % 300 + n) * CASE engine WHEN 'unlimited' THEN 3 ELSE 1 END, 0.95) AS p95
+  FROM (SELECT *, doc_id + pos AS i, length(reference) AS n FROM eval_pairs) GROUP BY 1)
 SELECT y.engine, round(y.failed, 6) AS failed, round(y.p95, 4) AS p95, y.failed - x.failed > 0.005 AS breach_failure, y.fallback > 0.05 AS breach_fallback, y.flagged > 0.01 AS breach_flags, y.p95 > 2 * x.p95 AS breach_latency, y.empty > 0 AS breach_empty FROM p y, p x WHERE y.engine = 'unlimited' AND x.engine = 'paddle'""")
 def _(t: Tables):
-    i = F.col("doc_id")
-    d = t["eval_pairs"].select("engine", (i % 50 == 1).alias("failed"), (i % 30 == 3).alias("fallback"), (i % 200 == 5).alias("flagged"), (i % 997 == 7).alias("empty"), (i % 300 * F.when(F.col("engine") == "unlimited", 3).otherwise(1)).alias("latency_ms"))
+    i = F.col("doc_id") + F.col("pos")
+    d = t["eval_pairs"].select("engine", (i % 50 == 1).alias("failed"), (i % 30 == 3).alias("fallback"), (i % 200 == 5).alias("flagged"), (F.trim("reference") == "").alias("empty"), ((i % 300 + F.length("reference")) * F.when(F.col("engine") == "unlimited", 3).otherwise(1)).alias("latency_ms"))
     return ev.canary_compare(d, "paddle", "unlimited").select("engine", F.round("failed", 6).alias("failed"), F.round("p95", 4).alias("p95"), "breach_failure", "breach_fallback", "breach_flags", "breach_latency", "breach_empty")
 
 

@@ -18,9 +18,11 @@ from .registry import Tables, query
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    """A new path in the folder that all executors share. Only a local master gets a temporary folder where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -157,20 +159,23 @@ def _(t: Tables):
     return rs.check_snapshot(per.select(F.col("correlation_id").alias("id"), json.alias("json"))).select("id", F.size("reasons").alias("problems"), "score_above_one", "valid")
 
 
-def _replayed(t: Tables, table: str, build, mode: str = "append", **options) -> DataFrame:
-    """A binding written out and read back as a stream; the sink's table as it ends."""
-    spark = t.spark
-    path, name = scratch(spark, "stream-in"), f"s_{uuid.uuid4().hex}"
-    src = t[table]
+def _stream(t: Tables, table: str, **options) -> DataFrame:
+    """A binding written out and read back as a stream."""
+    path, src = scratch(t.spark, "stream-in"), t[table]
     src.write.parquet(path)
-    stream = spark.readStream.schema(src.schema).parquet(path)
-    st.use_rocksdb(spark)
+    st.use_rocksdb(t.spark)
+    return t.spark.readStream.schema(src.schema).options(**options).parquet(path)
+
+
+def _replayed(t: Tables, table: str, build, mode: str = "append") -> DataFrame:
+    """The sink's table as the stream ends; update and complete modes have a column ``batch``."""
+    spark, out = t.spark, scratch(t.spark, "stream-out")
+    w = build(_stream(t, table)).writeStream.option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True)
     if mode == "append":
-        out = scratch(spark, "stream-out")
-        build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(out)
-    build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+        w.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        w.outputMode(mode).foreachBatch(lambda d, n: d.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query("ST01_stream_route_logs", "events", oracle=f"WITH {REC} SELECT CASE k WHEN 0 THEN 'ocr_events' ELSE 'reliability_events' END AS part, count(*) AS n FROM rec WHERE k < 3 GROUP BY 1")
@@ -189,10 +194,15 @@ def _(t: Tables):
 
 
 @query("ST03_stream_increase_alerts", "metric_samples", oracle="""
-WITH w AS (SELECT label, value, unnest(generate_series(0, 23)) AS h, date_trunc('hour', ts) AS t0 FROM metric_samples) SELECT t0 - INTERVAL 1 HOUR * h + INTERVAL 24 HOUR AS ts, label, max(value) - min(value) AS increase FROM w GROUP BY 1, 2
-HAVING t0 - INTERVAL 1 HOUR * h + INTERVAL 24 HOUR <= (SELECT max(m.ts) - INTERVAL 10 MINUTE FROM metric_samples m) AND max(value) - min(value) > 20""")
+WITH m AS (SELECT event_id, ts, label, value % 100 AS value FROM metric_samples), w AS (SELECT label, ts, event_id, value, date_trunc('hour', ts) - INTERVAL 1 HOUR * unnest(generate_series(0, 23)) + INTERVAL 24 HOUR AS e FROM m),
+d AS (SELECT e, label, CASE WHEN value < lag(value) OVER o THEN value ELSE coalesce(value - lag(value) OVER o, 0) END AS d FROM w WINDOW o AS (PARTITION BY e, label ORDER BY ts, event_id)),
+i AS (SELECT e, label, sum(d) AS increase FROM d WHERE e <= (SELECT max(m.ts) - INTERVAL 10 MINUTE FROM metric_samples m) GROUP BY 1, 2),
+h AS (SELECT *, increase > 20 AS holds, lag(increase > 20) OVER o AS before, lag(e) OVER o AS last FROM i WINDOW o AS (PARTITION BY label ORDER BY e)),
+g AS (SELECT *, sum(CASE WHEN before AND last >= e - INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY e) AS run FROM h WHERE holds),
+s AS (SELECT *, min(e) OVER (PARTITION BY label, run) AS since FROM g)
+SELECT epoch_us(e) // 1000000 AS evaluated, label, increase, epoch_us(since) // 1000000 AS since FROM s WHERE e - since >= INTERVAL 6 HOUR""")
 def _(t: Tables):
-    return _replayed(t, "metric_samples", lambda s: st.increases(s, "24 hours", "1 hour")).where("increase > 20")
+    return _replayed(t, "metric_samples", lambda s: st.increase_alerts(s.withColumn("value", F.col("value") % 100), "24 hours", "1 hour", 3600, 20.0, 21_600))
 
 
 @query("ST04_stream_dedupe", "lifecycle_events", oracle="SELECT count(*) AS n FROM (SELECT DISTINCT job_id, event, retry_count, event_time FROM lifecycle_events)")
@@ -203,21 +213,35 @@ def _(t: Tables):
 @query("ST05_stream_job_state", "jobs", oracle="SELECT status, count(*) AS n FROM jobs GROUP BY 1")
 def _(t: Tables):
     d = _replayed(t, "jobs", st.job_states, "update")
+    d = d.groupBy("job_id").agg(F.max_by("status", "batch").alias("status"))
     return d.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ST05_stream_job_changes", "jobs", oracle="""
+WITH o AS (SELECT correlation_id, status, stage, updated_at, event_id, lag(status) OVER w AS s, lag(stage) OVER w AS g, coalesce(bool_or(status IN ('completed', 'failed')) OVER (PARTITION BY correlation_id ORDER BY updated_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM jobs WINDOW w AS (PARTITION BY correlation_id ORDER BY updated_at, event_id)),
+x AS (SELECT correlation_id, status, stage FROM o WHERE NOT over AND (s IS DISTINCT FROM status OR g IS DISTINCT FROM stage)
+  UNION ALL SELECT correlation_id, 'stuck', stage FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY updated_at DESC, event_id DESC) = 1) WHERE NOT over AND status = 'processing' AND updated_at + INTERVAL 20 MINUTE <= (SELECT max(j.updated_at) FROM jobs j))
+SELECT correlation_id AS job_id, status, stage, count(*) AS n FROM x GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    # a user's jobs as one long job; the source is one file, so one batch sees its rows in order
+    d = _replayed(t, "jobs", lambda s: st.job_changes(s.withColumn("job_id", F.col("correlation_id"))))
+    return d.groupBy("job_id", "status", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ST06_stream_provider_health", "provider_attempts", oracle="""
 SELECT provider, round(list_reduce(list_prepend(1.0::DOUBLE, list(CASE result WHEN 'success' THEN 1.2 WHEN 'transient' THEN 0.35 ELSE 0.15 END::DOUBLE ORDER BY attempt_time, event_id)), lambda s, x: least(1.5, greatest(0.05, 0.78 * s + 0.22 * x))), 6) AS score FROM provider_attempts GROUP BY 1""")
 def _(t: Tables):
-    # the source is one file, so one batch sees a provider's attempts in order
-    d = _replayed(t, "provider_attempts", lambda s: st.provider_health(s.select("provider", "result", F.col("attempt_time").cast("timestamp").alias("attempt_time"), "event_id")), "update")
-    return d.select("provider", F.round("score", 6).alias("score"))
+    out = scratch(t.spark, "provider-scores")
+    st.provider_scores(_stream(t, "provider_attempts"), out, scratch(t.spark, "stream-state")).awaitTermination()
+    d = t.spark.read.parquet(out)
+    return d.groupBy("provider").agg(F.round(F.max_by("score", "batch"), 6).alias("score"))
 
 
 @query("ST07_stream_lifecycle_metrics", "lifecycle_events", oracle="SELECT count(*) FILTER (WHERE event = 'chunk_retry') AS retries_total, count(*) FILTER (WHERE event = 'job_failed') AS job_failed_total, count(*) FILTER (WHERE event = 'ocr_completed') AS ocr_count FROM lifecycle_events")
 def _(t: Tables):
     d = _replayed(t, "lifecycle_events", st.lifecycle_metrics, "complete")
-    return d.select("retries_total", "job_failed_total", "ocr_count")
+    last = Window.orderBy(F.desc("batch"))  # one row per batch
+    return d.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("retries_total", "job_failed_total", "ocr_count")
 
 
 @query("ST08_stream_correlation_sessions", "lifecycle_events", oracle="""

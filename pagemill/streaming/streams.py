@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import pipeline_snapshot
-from ..operators.providers import HIGH, LOW, SMOOTHING, START, TARGETS
+from ..operators.providers import provider_health
 from ..sources.logs import parse_log_lines, route
 
 WATERMARK = "10 minutes"
@@ -39,9 +39,55 @@ def hourly(events: DataFrame, *by: str, column: str = "recorded_at") -> DataFram
 
 
 def increases(samples: DataFrame, length: str = "10 minutes", slide: str = "30 seconds") -> DataFrame:
-    """Increase per label in sliding windows: greatest less smallest value of a counter without resets."""
+    """Increase per label in sliding windows, from the samples inside a window; a drop is a reset and counts from 0.
+
+    A group holds one counter's samples of one window: their number is the window's length times the rate of sampling.
+    """
     d = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
-    return d.groupBy(F.window("ts", length, slide), "label").agg((F.max("value") - F.min("value")).alias("increase")).select(F.col("window.end").alias("ts"), "label", "increase")
+    g = d.groupBy(F.window("ts", length, slide), "label").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.when(acc["last"].isNull(), 0.0).when(x["value"] < acc["last"], x["value"]).otherwise(x["value"] - acc["last"])
+        return F.struct((acc["sum"] + more).alias("sum"), x["value"].alias("last"))
+
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
+    return g.select("window", "label", F.aggregate("v", zero, step)["sum"].alias("increase"))
+
+
+class Hold(StatefulProcessor):
+    """Evaluations of a label in order: fires once the condition has held for ``hold_s`` seconds at evaluations ``every_s`` apart."""
+
+    def __init__(self, threshold: float, hold_s: int, every_s: int) -> None:
+        self.threshold, self.hold_s, self.every_s = threshold, hold_s, every_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "since long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        out = []
+        since, last = self.run.get() if self.run.exists() else (None, None)
+        for r in pd.concat(list(rows)).sort_values("evaluated").itertuples():
+            if not r.increase > self.threshold:
+                since = None
+            elif since is None or r.evaluated - last > self.every_s:
+                since = r.evaluated
+            last = r.evaluated
+            if since is not None and r.evaluated - since >= self.hold_s:
+                out.append((r.evaluated, key[0], r.increase, since))
+        self.run.update((since, last))
+        yield pd.DataFrame(out, columns=["evaluated", "label", "increase", "since"])
+
+    def close(self) -> None:
+        pass
+
+
+def increase_alerts(samples: DataFrame, length: str, slide: str, slide_s: int, threshold: float, hold_s: int) -> DataFrame:
+    """Windows (W02) whose increase has been above the threshold for ``hold_s`` seconds (W03), one evaluation per slide.
+
+    An evaluation without samples ends a run. evaluated and since are windows' ends in seconds.
+    """
+    d = increases(samples, length, slide).select("label", "increase", F.unix_timestamp("window.end").alias("evaluated"))
+    return d.groupBy("label").transformWithStateInPandas(Hold(threshold, hold_s, slide_s), "evaluated long, label string, increase double, since long", "Append", "None")
 
 
 def dedupe(events: DataFrame) -> DataFrame:
@@ -60,53 +106,49 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.select("correlation_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-class ProviderHealth(StatefulProcessor):
-    """One score per provider, folded in order of time within a batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.score = handle.getValueState("score", "score double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values(["attempt_time", "event_id"])
-        s = self.score.get()[0] if self.score.exists() else START
-        for r in d["result"]:
-            s = min(HIGH, max(LOW, (1 - SMOOTHING) * s + SMOOTHING * TARGETS[r]))
-        self.score.update((s,))
-        yield pd.DataFrame({"provider": [key[0]], "score": [s]})
+def provider_scores(attempts: DataFrame, path: str, checkpoint: str):
+    """Scores per provider as a table with a version for each batch (``batch=N``): a batch's fold starts from the version before it.
 
-    def close(self) -> None:
-        pass
+    A batch that is run again writes its version again. Within a batch the fold is the batch operator's: by hours, in the JVM.
+    """
 
+    def write(batch: DataFrame, n: int) -> None:
+        old = batch.sparkSession.read.schema("provider string, score double").parquet(f"{path}/batch={n - 1}") if n else None
+        new = provider_health(batch, old).groupBy("provider").agg(F.max_by("score", "day").alias("score"))
+        if old is not None:
+            new = new.unionByName(old.join(new.select("provider"), "provider", "left_anti"))
+        new.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-def provider_health(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy("provider").transformWithStateInPandas(ProviderHealth(), "provider string, score double", "Update", "None")
+    return attempts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class JobState(StatefulProcessor):
-    """Emits a job when its status or stage changes; ten minutes without news in work make it stuck; a terminal status closes it."""
+    """Emits a job when its status or stage changes; ten minutes of event time without news in work make it stuck; a terminal status closes it."""
 
-    TTL = 24 * 3600 * 1000
     STUCK = 10 * 60 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, stage string", self.TTL)
+        self.last = handle.getValueState("last", "status string, stage string, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         out = []
-        for r in pd.concat(list(rows)).sort_values("updated_at").itertuples():
-            now, old = (r.status, r.stage), self.last.get() if self.last.exists() else None
-            if old is not None and (old[0] in ("completed", "failed") or tuple(old) == now):
-                continue
-            self.last.update(now)
-            out.append((key[0], *now))
-            if r.status == "processing":
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.STUCK)
+        old = self.last.get() if self.last.exists() else None
+        for r in pd.concat(list(rows)).sort_values(["updated_at", "event_id"]).itertuples():
+            if old is not None and old[0] in ("completed", "failed"):
+                break
+            if old is None or (old[0], old[1]) != (r.status, r.stage):
+                out.append((key[0], r.status, r.stage))
+            old = (r.status, r.stage, r.updated_at.value // 1_000_000 + self.STUCK)
+        self.last.update(old)
+        if old[0] == "processing":
+            self.handle.registerTimer(old[2])
         yield pd.DataFrame(out, columns=["job_id", "status", "stage"])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
         old = self.last.get() if self.last.exists() else None
-        if old is not None and old[0] == "processing":
+        # a timer set before the last news says nothing
+        if old is not None and old[0] == "processing" and old[2] <= expired.getExpiryTimeInMs():
             yield pd.DataFrame({"job_id": [key[0]], "status": ["stuck"], "stage": [old[1]]})
 
     def close(self) -> None:
@@ -119,5 +161,6 @@ def job_states(jobs: DataFrame) -> DataFrame:
 
 
 def job_changes(jobs: DataFrame) -> DataFrame:
-    """As :func:`job_states`, but only real changes, with timers for stuck jobs; one state round trip per row."""
-    return jobs.groupBy("job_id").transformWithStateInPandas(JobState(), "job_id string, status string, stage string", "Update", "ProcessingTime")
+    """As :func:`job_states`, but only real changes, with timers for stuck jobs; one state round trip per job and batch."""
+    d = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", WATERMARK)
+    return d.groupBy("job_id").transformWithStateInPandas(JobState(), "job_id string, status string, stage string", "Append", "EventTime")

@@ -194,3 +194,72 @@ def test_increase_over_slices_matches_a_plain_version(spark):
             want[i] = sum(s for s, (_, u, _) in zip(steps, mine, strict=True) if t - 60 <= u <= t)
     d = spark.createDataFrame(rows, "event_id int, ts timestamp, metric string, label string, value double")
     assert {x.event_id: x.increase for x in alerts.counter_increase(d, 60).collect()} == pytest.approx(want)
+
+
+def test_alert_runs_over_days_match_a_plain_version(spark):
+    import random
+
+    r = random.Random(8)
+    rule, rows = alerts.Rule("High", "v > 0", 7_200, "warning"), []
+    for label in ("a", None):
+        at, up = 1_700_000_000, 1
+        for _ in range(200):
+            at += r.choice([600, 7_200, 40_000, 200_000])
+            up = up if r.random() < 0.85 else 1 - up
+            rows.append((label, datetime.fromtimestamp(at), float(up)))
+    want = []
+    for label in ("a", None):
+        since = None
+        for mine, ts, v in rows:
+            if mine == label:
+                since = (since or ts) if v > 0 else None
+                if since and (ts - since).total_seconds() >= 7_200:
+                    want.append((str(label), ts, since))
+    got = alerts.alert_eval(spark.createDataFrame(rows, "label string, ts timestamp, v double"), (rule,)).collect()
+    assert sorted((str(x.label), x.ts, x.since) for x in got) == sorted(want)
+
+
+def test_promotion_over_hours_matches_a_plain_version(spark):
+    import random
+
+    r = random.Random(9)
+    rows, at = [], 1_700_000_000
+    for i in range(300):
+        at += r.choice([0, 60, 900, 3_600, 9_000])
+        rows.append((i, r.choice(["a", None]), datetime.fromtimestamp(at), r.choice(["warn", "ok", "ok", None])))
+    want = {}
+    for label in ("a", None):
+        mine = [x for x in rows if x[1] == label]
+        for k, (i, _, ts, level) in enumerate(mine):
+            n = sum(1 for x in mine if x[3] == "warn" and 0 <= (ts - x[2]).total_seconds() <= 3_600)
+            want[i] = (n, level == "warn" and n >= 3, k > 1 and mine[k - 1][3] == "ok" and mine[k - 2][3] == "ok")
+    d = alerts.promote_warnings(spark.createDataFrame(rows, "event_id int, label string, ts timestamp, level string"))
+    assert {x.event_id: (x.warns_1h, x.escalate, x.demote) for x in d.collect()} == want
+
+
+def test_scores_of_long_texts_in_other_scripts(spark):
+    words = ["größe", "漢字", "naïve", "שלום", "café", "x"] * 400
+    edited = [w if i % 7 else "🙂" for i, w in enumerate(words)]
+    d = spark.createDataFrame([(1, "  ".join(words), "\n".join(edited))], "doc_id int, reference string, hypothesis string")
+    got = evaluation.cer_wer(d).first()
+    changed = sum(1 for i in range(len(words)) if i % 7 == 0)
+    assert got.wer == pytest.approx(changed / len(words)) and 0 < got.cer < 1
+    assert got.asDict().keys() == {"doc_id", "reference", "hypothesis", "cer", "wer"}
+
+
+def test_sequence_ratio_matches_a_plain_version(spark):
+    """Matching blocks by the longest common run, leftmost first; short texts, so that no character is too popular."""
+    import random
+
+    from pagemill.functions.pandas_udfs import sequence_ratio
+
+    def matched(a, b):
+        best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))]), default=(0, 0, 0))
+        k, i, j = best[0], -best[1], -best[2]
+        return 0 if k == 0 else k + matched(a[:i], b[:j]) + matched(a[i + k :], b[j + k :])
+
+    r = random.Random(3)
+    pairs = [("".join(r.choices("abc ", k=r.randint(0, 14))), "".join(r.choices("abc ", k=r.randint(0, 14)))) for _ in range(150)] + [(None, "a"), (None, None)]
+    want = [2 * matched(a or "", b or "") / (len(a or "") + len(b or "")) if (a or b) else 1.0 for a, b in pairs]
+    d = spark.createDataFrame(pairs, "a string, b string").select(sequence_ratio("a", "b").alias("x"))
+    assert [x.x for x in d.collect()] == pytest.approx(want)
