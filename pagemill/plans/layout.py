@@ -115,9 +115,23 @@ def _(t: Tables):
     return ly.reading_order(ly.detect_columns(t["blocks"])).select("doc_id", "idx", "reading_order")
 
 
-@query("W12_reading_order_rtl", "blocks")
-def _(t: Tables):
-    return ly.reading_order(ly.detect_columns(t["blocks"].withColumn("lang", F.lit("ar")))).select("doc_id", "idx", "reading_order")
+@query("W12_reading_order_rtl", "blocks", oracle=f"""
+WITH RECURSIVE {COLS.replace("AS (SELECT *, (x1", "AS (SELECT * REPLACE (y2 + idx % 4 * 15 AS y2), (x1", 1)},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, column_id ORDER BY y1, x1 DESC, idx) AS k FROM cols),
+f AS (SELECT doc_id, page_no, column_id, k, idx, [y1] AS tops, [y2] AS ends, 1::BIGINT AS line FROM o WHERE k = 1
+  UNION ALL SELECT doc_id, page_no, column_id, k, idx,
+    CASE WHEN hit = 0 THEN list_append(tops, y1) ELSE list_transform(range(1, len(tops) + 1), lambda i: CASE WHEN i = hit THEN least(tops[i], y1) ELSE tops[i] END) END,
+    CASE WHEN hit = 0 THEN list_append(ends, y2) ELSE list_transform(range(1, len(ends) + 1), lambda i: CASE WHEN i = hit THEN greatest(ends[i], y2) ELSE ends[i] END) END,
+    CASE WHEN hit = 0 THEN len(tops) + 1 ELSE hit END
+  FROM (SELECT o.doc_id, o.page_no, o.column_id, o.k, o.idx, o.y1, o.y2, tops, ends,
+      coalesce(list_position(list_transform(range(1, len(tops) + 1), lambda i: least(o.y2, ends[i]) > greatest(o.y1, tops[i])), true), 0)::BIGINT AS hit
+    FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_no = f.page_no AND o.column_id = f.column_id AND o.k = f.k + 1)),
+z AS (SELECT doc_id, page_no, column_id, arg_max(tops, k) AS tops FROM f GROUP BY ALL)
+SELECT o.doc_id, o.idx, CAST(row_number() OVER (PARTITION BY o.doc_id, o.page_no ORDER BY o.column_id DESC, z.tops[f.line], f.line, o.x1 DESC, o.y1, o.idx) AS INT) AS reading_order
+FROM o JOIN f USING (doc_id, page_no, column_id, k) JOIN z USING (doc_id, page_no, column_id)""")
+def _(t: Tables):
+    b = t["blocks"].withColumns({"lang": F.lit("ar"), "y2": F.col("y2") + F.col("idx") % 4 * 15})
+    return ly.reading_order(ly.detect_columns(b)).select("doc_id", "idx", "reading_order")
 
 
 @query("W13_classify_region", "blocks", oracle=r"""

@@ -287,6 +287,14 @@ def _(t: Tables):
     return pv.provider_health(t["provider_attempts"]).withColumns({"score": F.round("score", 6), "day": F.col("day").cast("string")})
 
 
+@query("W10_provider_ranking", "provider_attempts", oracle="""
+WITH f AS (SELECT provider, list_reduce(list_prepend(1.0::DOUBLE, list(CASE result WHEN 'success' THEN 1.2 WHEN 'transient' THEN 0.35 ELSE 0.15 END::DOUBLE ORDER BY attempt_time, event_id)), lambda s, x: least(1.5, greatest(0.05, 0.78 * s + 0.22 * x))) AS score FROM provider_attempts GROUP BY 1)
+SELECT provider, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, list_position(['paddle', 'tesseract', 'unlimited'], provider)) AS INT) AS rank FROM f""")
+def _(t: Tables):
+    last = pv.provider_health(t["provider_attempts"]).groupBy("provider").agg(F.max_by("score", "day").alias("score"))
+    return pv.rank_providers(last, ["paddle", "tesseract", "unlimited"]).withColumn("score", F.round("score", 6))
+
+
 @query("W14_state_change_dedupe", "jobs", oracle="""
 WITH o AS (SELECT correlation_id, event_id, status, stage, lag(status || '|' || stage) OVER w AS prev, coalesce(max(CAST(status = 'failed' AS INT)) OVER (PARTITION BY correlation_id ORDER BY updated_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM jobs WINDOW w AS (PARTITION BY correlation_id ORDER BY updated_at, event_id))
 SELECT correlation_id, event_id, status, stage FROM o WHERE over = 0 AND prev IS DISTINCT FROM status || '|' || stage""")
