@@ -83,9 +83,10 @@ def _(t: Tables):
 
 @query("A23_job_log_metrics", "events", oracle=f"""
 WITH {REC}, s AS (SELECT concat('job-', CAST(user_id % 50 AS STRING)) AS job_id, k, dur, CASE WHEN event_id % 13 = 0 THEN 'not a time' ELSE strftime(seen, '%Y-%m-%dT%H:%M:%SZ') END AS t, event_id FROM rec)
-SELECT job_id, max(dur) FILTER (WHERE k = 3) AS max_chunk_ms FROM s GROUP BY 1""")
+SELECT job_id, max(dur) FILTER (WHERE k = 3) AS max_chunk_ms, (list(dur ORDER BY t <> 'not a time', t, dur) FILTER (WHERE k = 5 AND dur IS NOT NULL))[-1] AS duration_ms,
+  (list(event_id % 9 ORDER BY t <> 'not a time', t, event_id % 9) FILTER (WHERE k = 5))[-1] AS chunk_count FROM s GROUP BY 1""")
 def _(t: Tables):
-    return lg.job_log_metrics(_records(t)).select("job_id", "max_chunk_ms")
+    return lg.job_log_metrics(_records(t)).select("job_id", "max_chunk_ms", "duration_ms", "chunk_count")
 
 
 def _result_json(t: Tables) -> DataFrame:

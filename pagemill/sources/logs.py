@@ -86,8 +86,11 @@ def chunk_log_summary(records: DataFrame, deduplicated: bool = False) -> DataFra
 
 
 def job_log_metrics(records: DataFrame) -> DataFrame:
-    """Per job: each field of the last ``job_finished`` that has it as an integer, and the longest chunk."""
+    """Per job: each field of the last ``job_finished`` that has it as an integer, and the longest chunk.
+
+    Last by time, times that cannot be read first; at equal times the greater value.
+    """
     names = ("duration_ms", "chunk_count", "total_retry_events", "timeout_retry_count", "split_count")
     done, chunk = F.col("msg") == "job_finished", F.col("msg").isin(*CHUNK_MESSAGES[:2])
-    last = [F.max_by(_integer(n), F.when(done & _integer(n).isNotNull(), F.col("time"))).alias(n) for n in names]
+    last = [F.max_by(_integer(n), F.when(done & _integer(n).isNotNull(), F.struct(log_time(F.col("time")), _integer(n)))).alias(n) for n in names]
     return records.where("job_id IS NOT NULL").groupBy("job_id").agg(*last, F.max(F.when(chunk, _integer("duration_ms"))).alias("max_chunk_ms"))
