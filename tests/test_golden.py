@@ -263,3 +263,24 @@ def test_sequence_ratio_matches_a_plain_version(spark):
     want = [2 * matched(a or "", b or "") / (len(a or "") + len(b or "")) if (a or b) else 1.0 for a, b in pairs]
     d = spark.createDataFrame(pairs, "a string, b string").select(sequence_ratio("a", "b").alias("x"))
     assert [x.x for x in d.collect()] == pytest.approx(want)
+
+
+def test_scores_are_carried_from_batch_to_batch(spark, tmp_path):
+    import os
+
+    from pagemill.streaming import streams
+
+    schema = "event_id int, provider string, attempt_time timestamp, result string"
+    src, results = tmp_path / "in", ["success", "transient", "permanent", "success"]
+    for i, x in enumerate(results):
+        spark.createDataFrame([(i, "p", datetime(2024, 1, 1, i), x)] + [(9, "q", datetime(2024, 1, 1), "success")] * (i == 0), schema).coalesce(1).write.mode("append").parquet(str(src))
+        for f in src.glob("*.parquet"):
+            if f.stat().st_mtime > 1e9:
+                os.utime(f, (i + 1, i + 1))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    streams.provider_scores(s, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    d = spark.read.parquet(str(tmp_path / "out"))
+    score = 1.0
+    for n, x in enumerate(results):
+        score = 0.78 * score + 0.22 * {"success": 1.2, "transient": 0.35, "permanent": 0.15}[x]
+        assert {r.provider: r.score for r in d.where(f"batch = {n}").collect()} == {"p": pytest.approx(score), "q": pytest.approx(0.78 + 0.22 * 1.2)}
