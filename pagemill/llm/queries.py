@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, langid, line_dedup, mixing, near_dedup, neighbours, packing, token_files, toxicity
+from . import fingerprints, html_text, langid, line_dedup, mixing, near_dedup, neighbours, packing, periodic_runs, spelling, token_files, toxicity
 from .common import table
 
 
@@ -60,6 +60,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.mistyped)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.describe(table(spark, sf_dir, "documents"), periodic_runs.stretched)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_files": op9_token_files,
     "op10_langid": op10_langid,
+    "op11_spelling": op11_spelling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
