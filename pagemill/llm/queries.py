@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, langid, line_dedup, mixing, near_dedup, neighbours, packing, periodic_runs, spelling, token_files, toxicity
+from . import fingerprints, html_text, langid, line_dedup, lm_score, mixing, near_dedup, neighbours, packing, periodic_runs, spelling, token_files, toxicity
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), spelling.mistyped)
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.describe(table(spark, sf_dir, "documents"), periodic_runs.stretched)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_langid": op10_langid,
     "op11_spelling": op11_spelling,
+    "op12_lm_score": op12_lm_score,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
