@@ -44,7 +44,7 @@ from .common import crc_bucket, materialise, new_name, scratch_path, shuffle_par
 
 CHUNK = 2_000_000
 #: Entries of a word shard or a trigram shard, on average.
-SHARD = 2_000_000
+SHARD = 1_000_000
 HOT = 1_000_000
 STEP = 1024
 BOS, END, UNKNOWN, FIRST = 0, 1, 2, 3
@@ -504,6 +504,8 @@ def _answers(rows: list[tuple[int, bytes]], fixed: tuple[float, float, float] |
     """The trie of a shard, and for each chunk the log probabilities of its trigrams."""
     parts = [_unpack_trigrams(p) for _, p in rows]
     v, u, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    del parts
     order = np.lexsort((w, u, v))
     v, u, w = v[order], u[order], w[order]
     new = np.ones(len(v), bool)
@@ -515,7 +517,6 @@ def _answers(rows: list[tuple[int, bytes]], fixed: tuple[float, float, float] |
     data = Trie.build(v[learnt], u[learnt], w[learnt], total[learnt], fixed)
     q = np.empty(len(order), np.uint64)
     q[order] = Trie(data).logp(v, u, w)[np.cumsum(new) - 1]
-    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
     return data, [_pack(q[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
