@@ -47,6 +47,8 @@ CHUNK = 2_000_000
 SHARD = 1_000_000
 HOT = 1_000_000
 STEP = 1024
+#: Values looked up together: their arrays stay in a core's cache.
+BLOCK = 1 << 14
 BOS, END, UNKNOWN, FIRST = 0, 1, 2, 3
 _ID_BITS = 40
 _U = np.uint64
@@ -55,18 +57,22 @@ _U = np.uint64
 # --- Elias-Fano
 
 
+_BYTES = _U(0x0101010101010101)
+_TOPS = _U(0x8080808080808080)
+#: The place of the r-th one of each byte.
+_IN_BYTE = np.array([[*(i for i in range(8) if b >> i & 1), *[0] * 8][:8] for b in range(256)], np.int64)
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Places of the k-th ones (from 0) of a bit vector; before: ones in front of each word."""
+    """Places of the k-th ones (from 0) of a bit vector; before: ones in front of each word. Within a word by sums of its bytes."""
     at = np.searchsorted(before, k, side="right") - 1
-    r, w = (k - before[at]).astype(np.int64), words[at]
-    place = at.astype(np.int64) * 64
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(w & _U((1 << width) - 1)).astype(np.int64)
-        over = r >= ones
-        r -= np.where(over, ones, 0)
-        w = np.where(over, w >> _U(width), w)
-        place += np.where(over, width, 0)
-    return place
+    r, w = (k - before[at]).astype(np.uint64), words[at]
+    s = w - ((w >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    skip = ((((((r * _BYTES) | _TOPS) - s) & _TOPS) >> _U(7)) * _BYTES >> _U(56)) << _U(3)
+    r -= (s << _U(8)) >> skip & _U(255)
+    return at * 64 + skip.astype(np.int64) + _IN_BYTE[(w >> skip & _U(255)).astype(np.int64), r.astype(np.int64)]
 
 
 class EliasFano:
@@ -112,27 +118,42 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each value, or -1: the bucket of the high bits, then a binary search by the low bits."""
-        x = x.astype(np.uint64)
+        x, inverted = x.astype(np.uint64), ~self.high
+        return np.concatenate([np.zeros(0, np.int64), *(self._find(x[i : i + BLOCK], inverted) for i in range(0, len(x), BLOCK))])
+
+    def _find(self, x: np.ndarray, inverted: np.ndarray) -> np.ndarray:
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
         top = (x >> _U(self.bits)).astype(np.int64)
         some = np.flatnonzero(top <= int(self.high_zeros) - 1)
         x, top = x[some], top[some]
-        inverted = ~self.high
-        hi = _select(inverted, self.zeros, top) - top
-        lo = np.where(top > 0, _select(inverted, self.zeros, np.maximum(top - 1, 0)) - top + 1, 0)
-        want, end = x & _U((1 << self.bits) - 1), hi.copy()
-        open_ = np.flatnonzero(lo < hi)
+        # a bucket's ones follow the zero that ends the bucket before
+        place = np.where(top > 0, _select(inverted, self.zeros, np.maximum(top - 1, 0)) + 1, 0)
+        lo = place - top
+        word, off = place >> 6, (place & 63).astype(np.uint64)
+        following = np.where(off > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((_U(64) - off) & _U(63)), _U(0))
+        run = ~(self.high[np.minimum(word, len(self.high) - 1)] >> off | following)
+        size = np.bitwise_count((run & (~run + _U(1))) - _U(1)).astype(np.int64)
+        long = np.flatnonzero(size > 63)
+        if len(long):
+            size[long] = _select(inverted, self.zeros, top[long]) - top[long] - lo[long]
+        want = x & _U((1 << self.bits) - 1)
+        left, hi = lo.copy(), lo + size
+        open_ = np.flatnonzero(size > 8)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) // 2
+            mid = (left[open_] + hi[open_]) // 2
             less = self._low(mid) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
+            left[open_] = np.where(less, mid + 1, left[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        inside = np.flatnonzero(lo < end)
-        equal = inside[self._low(lo[inside]) == want[inside]]
-        out[some[equal]] = lo[equal]
+            open_ = open_[left[open_] < hi[open_]]
+        open_, end = np.flatnonzero(left < lo + size), lo + size
+        while len(open_):  # few are left in each bucket
+            here = self._low(left[open_])
+            out[some[open_[here == want[open_]]]] = left[open_[here == want[open_]]]
+            open_ = open_[here < want[open_]]
+            left[open_] += 1
+            open_ = open_[left[open_] < end[open_]]
         return out
 
     @property
@@ -232,15 +253,19 @@ class Trie:
             some, back = np.unique(x, return_inverse=True)
             return self.words.find(some)[back]
 
-        tv, tu, tw = place(v), place(u), place(w)
-        middle, both = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
-        context, third = both.copy(), both.copy()
+        new = np.ones(len(v), bool)  # sorted trigrams ask for a context once
+        new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+        tv, tu, tw = place(v[new]), place(u[new]), place(w)
+        middle, context = np.full(len(tv), -1, np.int64), np.full(len(tv), -1, np.int64)
         ok = np.flatnonzero(tv >= 0)
         middle[ok] = self.middles.find(tv[ok])
-        ok = np.flatnonzero((middle >= 0) & (tw >= 0))
-        both[ok] = self.successors.find(tv[ok] * size + tw[ok])
         ok = np.flatnonzero((middle >= 0) & (tu >= 0))
         context[ok] = self.contexts.find(tv[ok] * size + tu[ok])
+        of = np.cumsum(new) - 1
+        tv, middle, context = tv[of], middle[of], context[of]
+        both, third = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
+        ok = np.flatnonzero((middle >= 0) & (tw >= 0))
+        both[ok] = self.successors.find(tv[ok] * size + tw[ok])
         ok = np.flatnonzero((context >= 0) & (both >= 0))
         third[ok] = self.trigrams.find(context[ok] * self.ranks + both[ok] - self.starts[middle[ok]].astype(np.int64))
         out = np.rint(own_logp(w) * STEP).astype(np.int64)
@@ -469,11 +494,15 @@ class _Chunk:
         self.known = counts[self.tokens] > 0
         self.predicted = np.cumsum(self.lengths + 1) - self.lengths - 1  # where each document starts among the predicted tokens
         x, size = code[seq], len(self.keys)
-        pair, of_pair = np.unique(x[at - 1] * size + x[at - 2], return_inverse=True)
-        triple, self.of = np.unique(of_pair * size + x[at], return_inverse=True)
+        if size < 1 << 21:
+            triple, self.of = np.unique((x[at - 1] * size + x[at - 2]) * size + x[at], return_inverse=True)
+            v, u, w = triple // (size * size), triple // size % size, triple % size
+        else:  # three codes do not fit 63 bits
+            pair, of_pair = np.unique(x[at - 1] * size + x[at - 2], return_inverse=True)
+            triple, self.of = np.unique(of_pair * size + x[at], return_inverse=True)
+            v, u, w = pair[triple // size] // size, pair[triple // size] % size, triple % size
         kept = np.repeat(self.held == 0, self.lengths + 1)
         c = np.bincount(self.of[kept], minlength=len(triple))
-        v, u, w = pair[triple // size] // size, pair[triple // size] % size, triple % size
         ident = self.keys & _U((1 << _ID_BITS) - 1)
         parts = np.maximum(1, -(-occurs[v] // hot)).astype(np.uint64)
         part = splitmix(ident[u]) % parts
