@@ -49,6 +49,30 @@ METRIC_SAMPLES = """SELECT ts, event_id, 'provider_timeout_total' AS metric,
   CAST(count(*) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
 FROM events WHERE event_type = 'error'"""
 
+#: Samples of all metrics of the alert rules, two seconds apart, with a slow change between calm and trouble, resets, and gaps without any sample.
+_GROWN = "(floor(e / 1200) * 800 + greatest(0, e % 1200 - 400))"
+RULE_SAMPLES = f"""SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '2' SECOND * e AS ts, e AS event_id, metric,
+  concat('p', CAST(s % 3 AS STRING)) AS label, concat('i', CAST(CAST(floor(s / 3) AS BIGINT) % 2 AS STRING)) AS instance,
+  CAST(CASE metric
+    WHEN 'queue_depth' THEN CASE WHEN bad THEN 1000 ELSE 200 END + user_id
+    WHEN 'queue_stuck_jobs' THEN CASE WHEN bad THEN 1 + user_id % 3 ELSE 0 END
+    WHEN 'queue_dead_letter_volume' THEN CASE WHEN bad THEN 10 + user_id % 5 ELSE 2 END
+    WHEN 'pipeline_chunk_success_ratio' THEN CASE WHEN bad THEN 0.9 ELSE 0.99 END
+    WHEN 'pipeline_export_success_ratio' THEN CASE WHEN bad THEN 0.97 ELSE 0.99 END
+    WHEN 'queue_retry_backlog' THEN CASE WHEN bad THEN 200 + user_id ELSE 10 END
+    WHEN 'ocr_provider_fallback_budget_exhausted_total' THEN CASE WHEN s % 3 = 0 THEN floor({_GROWN} / 150) ELSE floor({_GROWN} / 20) % 500 END
+    WHEN 'litellm_circuit_opened_total' THEN floor({_GROWN} / 50)
+    WHEN 'pipeline_retries_total' THEN floor({_GROWN} / 2) % 5000
+    WHEN 'litellm_circuit_reject_total' THEN floor({_GROWN} / 2) % 2000
+    WHEN 'degraded_render_fallback_total' THEN floor({_GROWN} / 20)
+    ELSE floor({_GROWN} / 5) % 700 END AS DOUBLE) AS value
+FROM (SELECT event_id AS e, user_id, CAST(floor(event_id / 17) AS BIGINT) AS s, event_id % 1200 >= 400 AS bad,
+  CASE event_id % 17 WHEN 0 THEN 'queue_depth' WHEN 1 THEN 'queue_stuck_jobs' WHEN 2 THEN 'queue_dead_letter_volume' WHEN 3 THEN 'pipeline_chunk_success_ratio'
+    WHEN 4 THEN 'pipeline_export_success_ratio' WHEN 5 THEN 'queue_retry_backlog' WHEN 6 THEN 'ocr_provider_fallback_budget_exhausted_total' WHEN 7 THEN 'litellm_circuit_opened_total'
+    WHEN 8 THEN 'pipeline_retries_total' WHEN 9 THEN 'litellm_circuit_reject_total' WHEN 10 THEN 'degraded_render_fallback_total' WHEN 11 THEN 'provider_timeout_total'
+    WHEN 12 THEN 'degraded_mode_total' WHEN 13 THEN 'adaptive_concurrency_clamp_total' WHEN 14 THEN 'adaptive_concurrency_reduce_total' WHEN 15 THEN 'adaptive_concurrency_boost_total'
+    ELSE 'pipeline_timeouts_total' END AS metric FROM events) WHERE e % 3000 NOT BETWEEN 700 AND 799"""
+
 JOBS = """SELECT event_id, concat('job-', CAST(event_id AS STRING)) AS job_id, concat('corr-', CAST(user_id AS STRING)) AS correlation_id,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' WHEN 'signup' THEN 'pending' ELSE 'completed' END AS status,
   CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'translate_pdf' ELSE 'translate_image' END AS type,
@@ -93,7 +117,7 @@ _PASSAGES_SPARK = "(SELECT doc_id, lang, source AS document_type, pos, passage F
 _PASSAGES_DUCK = "(SELECT doc_id, lang, document_type, p - 1 AS pos, passage FROM (SELECT doc_id, lang, source AS document_type, unnest(r) AS passage, generate_subscripts(r, 1) AS p FROM (SELECT *, regexp_extract_all(text, '(?s).{1,200}') AS r FROM documents)))"
 
 SPARK = {
-    "ocr_events": OCR_EVENTS, "reliability_events": RELIABILITY_EVENTS, "lifecycle_events": LIFECYCLE_EVENTS, "metric_samples": METRIC_SAMPLES, "jobs": JOBS,
+    "ocr_events": OCR_EVENTS, "reliability_events": RELIABILITY_EVENTS, "lifecycle_events": LIFECYCLE_EVENTS, "metric_samples": METRIC_SAMPLES, "rule_samples": RULE_SAMPLES, "jobs": JOBS,
     "queue_entries": QUEUE_ENTRIES, "provider_attempts": PROVIDER_ATTEMPTS, "blocks": _BLOCKS.format(lines=_LINES_SPARK), "blocks_b": BLOCKS_B,
     "eval_pairs": _EVAL.format(passages=_PASSAGES_SPARK),
 }

@@ -1,15 +1,84 @@
-"""The few functions without a native form (U01-U03), on Arrow batches."""
+"""The few functions without a native form (U01-U03), and edit distances of long sequences (A27, U04), on Arrow batches."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Edits up to which the diagonals are followed before the bit vectors take over: so many, and one in 128 elements.
+FEW_EDITS = 512
+
+
+def _alike(a: Sequence, b: Sequence, i: int, j: int) -> int:
+    """How far a from i on and b from j on go on alike: slices are compared, twice as long after each success."""
+    start, step = i, 16
+    while step:
+        if i + step <= len(a) and j + step <= len(b) and a[i : i + step] == b[j : j + step]:
+            i, j, step = i + step, j + step, step * 2
+        else:
+            step //= 2
+    return i - start
+
+
+def edits(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two strings, or of two lists of words.
+
+    For few edits (see ``FEW_EDITS``) the furthest place on each diagonal is known after each edit, so that cost grows with the length and
+    the square of the edits. Beyond, one bit vector holds a column of the matrix, as long as the shorter sequence.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if not n:
+        return m
+    reached = {0: _alike(a, b, 0, 0)}
+    if n == m == reached[0]:
+        return 0
+    for d in range(1, min(FEW_EDITS, n // 128) + 1):
+        now = {}
+        for k in range(max(-d, -n), min(d, m) + 1):  # diagonal: place in b less place in a
+            at = max(reached.get(k, -2) + 1, reached.get(k - 1, -2), reached.get(k + 1, -2) + 1)
+            at = min(at, n, m - k)
+            if at >= 0:
+                now[k] = at + _alike(a, b, at, at + k)
+        if now.get(m - n) == n:
+            return d
+        reached = now
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole, top, out = (1 << n) - 1, 1 << (n - 1), n
+    up, down = whole, 0
+    for y in b:
+        eq = places.get(y, 0)
+        across = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (~(across | up) & whole), up & across
+        if plus & top:
+            out += 1
+        elif minus & top:
+            out -= 1
+        plus, minus = (plus << 1 | 1) & whole, (minus << 1) & whole
+        vertical = eq | down
+        up, down = minus | (~(vertical | plus) & whole), plus & vertical
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def char_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+@F.pandas_udf(T.LongType())
+def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))

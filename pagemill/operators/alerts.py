@@ -1,4 +1,7 @@
-"""Counters over time and alert rules."""
+"""Counters at each sample, one alert rule over wide rows, and promoted warnings (W02, W03, W20). The rules over long samples are in ``series``.
+
+Rows without a time are in no window: they keep their place in the result, with a null increase, and as neither escalated nor demoted.
+"""
 
 from __future__ import annotations
 
@@ -18,26 +21,6 @@ class Rule:
     severity: str
 
 
-#: The rules; <counter>_inc5m and _inc10m are increases over 5 and 10 minutes.
-RULES = (
-    Rule("QueueDepthHigh", "queue_depth >= 500", 600, "warning"),
-    Rule("QueueDepthCritical", "queue_depth >= 1000", 300, "critical"),
-    Rule("StuckJobsDetected", "queue_stuck_jobs >= 1", 600, "warning"),
-    Rule("DeadLetterGrowth", "queue_dead_letter_volume >= 10", 300, "critical"),
-    Rule("ChunkSuccessDrop", "pipeline_chunk_success_ratio < 0.95", 600, "warning"),
-    Rule("ExportSuccessDrop", "pipeline_export_success_ratio < 0.98", 600, "warning"),
-    Rule("ProviderTimeoutSpike", "provider_timeout_total_inc5m > 20", 300, "warning"),
-    Rule("RetryBacklogHigh", "queue_retry_backlog >= 50", 600, "warning"),
-    Rule("RetryBacklogCritical", "queue_retry_backlog >= 200", 300, "critical"),
-    Rule("DegradedModeSpike", "degraded_mode_total_inc10m > 20", 300, "warning"),
-    Rule("RenderFallbackSpike", "degraded_render_fallback_total_inc10m > 5", 300, "warning"),
-    Rule("AdaptiveClampFrequent", "adaptive_concurrency_clamp_total_inc10m > 10", 300, "warning"),
-    Rule("TimeoutStormDetected", "pipeline_timeouts_total_inc10m > 8 AND pipeline_retries_total_inc10m > 80", 300, "critical"),
-    Rule("OCRFallbackBudgetExhausted", "ocr_provider_fallback_budget_exhausted_total_inc10m > 0 AND ocr_provider_fallback_budget_exhausted_total_inc10m < 3", 300, "warning"),
-    Rule("OCRFallbackBudgetExhaustedCritical", "ocr_provider_fallback_budget_exhausted_total_inc10m >= 3", 300, "critical"),
-)
-
-
 def seconds(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1_000_000.0)
 
@@ -50,7 +33,8 @@ def counter_increase(samples: DataFrame, window_s: int, tie: str = "event_id") -
     the history of a series.
     """
     size, series = window_s * 1_000_000, ["metric", "label"]
-    d = samples.withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_at", F.floor(F.col("_s") / size))
+    untimed = samples.where("ts IS NULL").withColumn("increase", F.lit(None).cast("double"))
+    d = samples.where("ts IS NOT NULL").withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_at", F.floor(F.col("_s") / size))
     last = d.groupBy(*series, "_at").agg(F.max_by("value", F.struct("ts", tie)).alias("_last"))
     last = last.select(*(F.col(c).alias(f"_{c}") for c in series), F.col("_at").alias("_slice"), F.lag("_last").over(Window.partitionBy(*series).orderBy("_at")).alias("_carried"))
     same = d.metric.eqNullSafe(F.col("_metric")) & d.label.eqNullSafe(F.col("_label")) & (F.col("_at") == F.col("_slice"))
@@ -59,21 +43,19 @@ def counter_increase(samples: DataFrame, window_s: int, tie: str = "event_id") -
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     d = d.withColumn("_d", step).withColumn("_in", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", F.col("_at") + F.col("_in"))
     span = Window.partitionBy(*series, "_slice").orderBy("_s").rangeBetween(-size, 0)
-    return d.withColumn("increase", F.sum("_d").over(span)).where("_in = 0").drop("_d", "_s", "_at", "_carried", "_in", "_slice")
+    return d.withColumn("increase", F.sum("_d").over(span)).where("_in = 0").drop("_d", "_s", "_at", "_carried", "_in", "_slice").unionByName(untimed)
 
 
-def alert_eval(rows: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "label") -> DataFrame:
+def alert_eval(rows: DataFrame, rules: tuple[Rule, ...], key: str = "label") -> DataFrame:
     """Samples at which a rule fires: its condition has held since a start at least ``hold_s`` ago.
 
-    Rules over columns that ``rows`` lacks are left out. Runs are found within days; the run that is open as a day begins is
+    Rules over columns that ``rows`` lacks are errors. Runs are found within days; the run that is open as a day begins is
     carried into it (one row per series, rule and day), so no task holds the history of a series.
     """
     out = []
     for r in rules:
-        names = {w for w in r.condition.replace("(", " ").replace(")", " ").split() if w.isidentifier() and w.upper() not in ("AND", "OR", "NOT")}
-        if names <= set(rows.columns):
-            holds = F.coalesce(F.expr(r.condition), F.lit(False))
-            out.append(F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.hold_s).alias("hold_s"), holds.alias("holds")))
+        holds = F.coalesce(F.expr(r.condition), F.lit(False))
+        out.append(F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.hold_s).alias("hold_s"), holds.alias("holds")))
     d = rows.select(key, "ts", F.inline(F.array(*out))).withColumn("_day", F.floor(seconds("ts") / 86_400))
     part = [key, "rule", "_day"]
     w = Window.partitionBy(*part).orderBy("ts", "holds")
@@ -99,7 +81,8 @@ def _open_runs(d: DataFrame, key: str) -> DataFrame:
 def promote_warnings(alerts: DataFrame, key: str = "label", tie: str = "event_id") -> DataFrame:
     """warn alerts with 3 or more in the last hour are escalated; two stable windows before a row demote it."""
     hour, warn = 3600, F.col("level") == "warn"
-    d = alerts.withColumn("_s", F.unix_timestamp("ts")).withColumn("_at", F.floor(F.col("_s") / hour))
+    untimed = alerts.where("ts IS NULL").withColumns({"warns_1h": F.lit(0).cast("long"), "escalate": F.lit(False), "demote": F.lit(False)})
+    d = alerts.where("ts IS NOT NULL").withColumn("_s", F.unix_timestamp("ts")).withColumn("_at", F.floor(F.col("_s") / hour))
     order = Window.partitionBy(key, "_at").orderBy("ts", tie)
     d = d.withColumns({"_n": F.row_number().over(order), "_p1": F.lag("level", 1).over(order), "_p2": F.lag("level", 2).over(order)})
     # the two rows before an hour's first: from the last two of each of the two hours with rows before it
@@ -117,4 +100,4 @@ def promote_warnings(alerts: DataFrame, key: str = "label", tie: str = "event_id
     span = Window.partitionBy(key, "_slice").orderBy("_s").rangeBetween(-hour, 0)
     d = d.withColumn("warns_1h", F.count(F.when(warn, 1)).over(span)).where("_in = 0")
     out = d.withColumn("escalate", F.coalesce(warn & (F.col("warns_1h") >= 3), F.lit(False)))
-    return out.select(*alerts.columns, "warns_1h", "escalate", "demote")
+    return out.select(*alerts.columns, "warns_1h", "escalate", "demote").unionByName(untimed)

@@ -108,20 +108,44 @@ def retry_windows(results: DataFrame) -> DataFrame:
     return results.select("doc_id", F.inline(F.coalesce(todo, F.expr("CAST(array() AS array<struct<start:int,end:int>>)"))))
 
 
+def retry_plan(windows: DataFrame, results: DataFrame) -> DataFrame:
+    """All windows that are asked for until nothing is left to retry: doc_id, round (0: the given windows), start, end.
+
+    A round's windows come from the outcomes of the round before (see :func:`retry_windows`), looked up in ``results``; a window without
+    an outcome ends there. Halves get smaller and single pages are not divided, so the recursion ends.
+    """
+    spark = windows.sparkSession
+    n, half = F.col("end") - F.col("start"), F.expr("CAST(start + (`end` - start) div 2 AS INT)")
+    parts = F.when((F.col("pages_returned") != n) & (n > 1), F.array(F.struct(F.col("start").alias("s"), half.alias("e")), F.struct(half.alias("s"), F.col("end").alias("e"))))
+    parts = parts.when((F.col("pages_returned") == n) & (n > 1), F.transform("degenerate_pages", lambda p: F.struct(p.alias("s"), (p + 1).alias("e"))))
+    follows = results.select("doc_id", F.col("start").alias("of_start"), F.col("end").alias("of_end"), F.explode(parts).alias("w")).select("doc_id", "of_start", "of_end", "w.s", "w.e")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)  # the bound is the number of pages of each window
+    return spark.sql("""
+WITH RECURSIVE plan(doc_id, round, start, end) AS (
+  SELECT doc_id, 0, start, end FROM {windows}
+  UNION ALL SELECT f.doc_id, p.round + 1, f.s, f.e FROM plan AS p JOIN {follows} AS f ON f.doc_id <=> p.doc_id AND f.of_start = p.start AND f.of_end = p.end)
+SELECT * FROM plan""", windows=windows.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), follows=follows)
+
+
 def cache_key(source: Column, target: Column, text: Column) -> Column:
     return tx.content_key(source, target, text)
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
-    """Hits with their translation, and the worklist of misses; old entries are misses."""
+    """Hits with their translation, and the worklist of misses; old entries are misses.
+
+    Of several live entries of one key the latest counts, so every request is in one of the two, as often as it is asked.
+    """
     keyed = requests.withColumn("cache_key", cache_key(F.col("source"), F.col("target"), F.col("text")))
-    live = cache.where(F.col("written_at") >= F.lit(as_of - CACHE_TTL)).select("cache_key", "translated")
+    live = cache.where(F.col("written_at") >= F.lit(as_of - CACHE_TTL)).groupBy("cache_key").agg(F.max_by(F.struct("translated"), F.struct("written_at", "translated")).alias("_e"))
+    live = live.select("cache_key", "_e.translated")
     return keyed.join(live, "cache_key"), keyed.join(live, "cache_key", "left_anti")
 
 
 def checkpoint_keys(units: DataFrame, chunks: DataFrame, source: str, target: str) -> DataFrame:
     """doc_id, chunk_id, chunk_key over the languages and each unit's page and text."""
-    d = units.join(chunks, ["doc_id", "unit_idx"]).groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("unit_idx", "page_index", "text"))).alias("_u"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("unit_idx") == F.col("_unit"))
+    d = units.join(chunks.select(F.col("doc_id").alias("_doc"), F.col("unit_idx").alias("_unit"), "chunk_id"), same).groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("unit_idx", "page_index", "text"))).alias("_u"))
     parts = F.flatten(F.transform("_u", lambda u: F.array(u["page_index"].cast("string"), u["text"])))
     return d.select("doc_id", "chunk_id", F.sha2(F.concat_ws("\0", F.lit(source), F.lit(target), parts), 256).alias("chunk_key"))
 
@@ -165,3 +189,31 @@ def map_lines_to_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     ln = ln.select(F.col("doc_id").alias("_d"), F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("_k"), "_l")
     j = b.join(ln, (F.col("doc_id") == F.col("_d")) & (F.col("_n") == F.col("_k")), "left")
     return j.select("doc_id", "idx", F.when(F.col("_t") == "", "").otherwise(F.coalesce("_l", "_t")).alias("mapped"))
+
+
+def segments_to_blocks(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Translated units to segments to blocks: the n-th block with text is segment n (from 0), and its units join in order by a space.
+
+    blocks (doc_id, idx, text), units (doc_id, segment, unit_idx, text) -> doc_id, idx, source, translated ('' without any text), used: the
+    text to draw, which is the source where nothing came back, and '' for an empty block. Units without a segment among the blocks are left out.
+    """
+    b = blocks.select("doc_id", "idx", tx.trimmed(F.coalesce("text", F.lit(""))).alias("source"))
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    has = F.col("source") != ""
+    b = b.withColumn("_n", F.when(has, F.sum(has.cast("int")).over(w) - 1))
+    part = units.select(F.col("doc_id").alias("_d"), "segment", "unit_idx", tx.trimmed(F.coalesce("text", F.lit(""))).alias("_t"))
+    per = part.groupBy("_d", "segment").agg(F.array_sort(F.collect_list(F.struct("unit_idx", "_t"))).alias("_u"))
+    per = per.select("_d", "segment", tx.trimmed(F.array_join(F.transform("_u", lambda u: u["_t"]), " ")).alias("_s"))
+    j = b.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("segment")), "left")
+    translated = F.coalesce("_s", F.lit(""))
+    return j.select("doc_id", "idx", "source", translated.alias("translated"), F.when(translated != "", translated).otherwise(F.col("source")).alias("used"))
+
+
+def segment_texts(mapped: DataFrame) -> DataFrame:
+    """Per document: sources and translations of the blocks that have one, by lines; without any, all sources stand for both."""
+    kept = F.when(F.col("translated") != "", F.struct("idx", "source", "translated"))
+    every = F.when(F.col("source") != "", F.struct("idx", "source"))
+    per = mapped.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("_k"), F.array_sort(F.collect_list(every)).alias("_e"))
+    lines = lambda a, c: F.array_join(F.transform(a, lambda x: x[c]), "\n")
+    none = F.size("_k") == 0
+    return per.select("doc_id", F.when(none, lines("_e", "source")).otherwise(lines("_k", "source")).alias("source"), F.when(none, lines("_e", "source")).otherwise(lines("_k", "translated")).alias("translated"))

@@ -6,40 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.pandas_udfs import nfc, sequence_ratio
-
-#: The code points that stand for words: the supplementary planes.
-BASE, ROOM = 0x20000, 0xF0000
-
+from ..functions.pandas_udfs import char_edits, nfc, sequence_ratio, word_edits
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words. Words stand as single code points, so that the native distance counts them."""
-
-    def of(p: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(p["v"], w) + (BASE - 1)), 8, "0")), "UTF-32")
-        coded = lambda words: F.array_join(F.transform(words, code), "")
-        return F.when(F.size(p["v"]) > ROOM, F.raise_error(F.lit("more distinct words than code points"))).otherwise(F.levenshtein(coded(p["a"]), coded(p["b"])))
-
-    words = tx.once(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_union(p["a"], p["b"]).alias("v")))
-    return tx.once(words, of)
+    """Edit distance of two arrays of words; a null array is an empty one."""
+    none = F.array().cast("array<string>")
+    return word_edits(F.coalesce(a, none), F.coalesce(b, none))
 
 
 def cer_wer(pairs: DataFrame) -> DataFrame:
     """Adds cer and wer: edits of characters and words over the reference's length; 0 or 1 for an empty reference.
 
-    A null reference or hypothesis is an empty one.
+    A null reference or hypothesis is an empty one. Texts are of any length (see :func:`edits`).
     """
-    r, h = (tx.collapsed(nfc(F.coalesce(c, F.lit("")))) for c in ("reference", "hypothesis"))
-
-    def of(p: Column) -> Column:
-        words = {c: F.filter(F.split(p[c], " "), lambda w: w != "") for c in "rh"}
-        empty = F.when(p["h"] == "", 0.0).otherwise(1.0)
-        cer = F.when(p["r"] == "", empty).otherwise(F.levenshtein(p["r"], p["h"]) / F.length(p["r"]))
-        wer = F.when(p["r"] == "", empty).otherwise(word_distance(words["r"], words["h"]) / F.size(words["r"]))
-        return F.struct(cer.alias("cer"), wer.alias("wer"))
-
-    # a generator over one struct: the scores of a row are computed once, whichever columns follow
-    return pairs.select("*", F.inline(F.transform(F.array(F.struct(r.alias("r"), h.alias("h"))), of)))
+    d = pairs.withColumns({f"_{c[0]}": tx.collapsed(nfc(F.coalesce(c, F.lit("")))) for c in ("reference", "hypothesis")})
+    d = d.withColumns({f"_{c}w": F.filter(F.split(f"_{c}", " "), lambda w: w != "") for c in "rh"})
+    d = d.withColumns({"_ce": char_edits("_r", "_h"), "_we": word_edits("_rw", "_hw")})
+    empty = F.when(F.col("_h") == "", 0.0).otherwise(1.0)
+    rate = lambda edits, n: F.when(F.col("_r") == "", empty).otherwise(F.col(edits) / n)
+    return d.withColumns({"cer": rate("_ce", F.length("_r")), "wer": rate("_we", F.size("_rw"))}).drop("_r", "_h", "_rw", "_hw", "_ce", "_we")
 
 
 def eval_summary(scored: DataFrame, *by: str) -> DataFrame:

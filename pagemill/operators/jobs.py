@@ -97,6 +97,12 @@ def search_dead(dead: DataFrame, status: str = "all", kind: str = "all", text: s
     return d.withColumn("dead_at", at).orderBy(F.desc("dead_at") if newest else F.asc("dead_at"), "job_id")
 
 
+def dead_counts(dead: DataFrame) -> DataFrame:
+    """Dead letters by status and by type; a missing one is ``unknown``."""
+    named = F.array(*(F.struct(F.lit(c).alias("by"), F.coalesce(F.col(c), F.lit("unknown")).alias("name")) for c in ("status", "type")))
+    return dead.select(F.inline(named)).groupBy("by", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queue_stats(queue: DataFrame, as_of: datetime) -> DataFrame:
     q = F.col("queue")
     return queue.agg(
@@ -172,7 +178,3 @@ def queue_age(queue: DataFrame, as_of: datetime) -> DataFrame:
 def canary_summary(jobs: DataFrame) -> DataFrame:
     s = F.col("status")
     return jobs.groupBy("type").agg(F.count(F.lit(1)).alias("files"), count_if(s == "completed").alias("completed"), count_if(s == "failed").alias("failed"))
-
-
-def newest_first(rows: DataFrame, by: str, key: str) -> Window:
-    return Window.partitionBy(key).orderBy(F.desc(by))

@@ -1,6 +1,8 @@
 """Layout blocks: validity, columns, reading order, regions, matching, suppression.
 
-Blocks: doc_id, page_no, idx, text, confidence, x1, y1, x2, y2, lang. Work is per page, whose blocks fit one row.
+Blocks: doc_id, page_no, idx, text, confidence, x1, y1, x2, y2, lang. Work is per page, whose blocks fit one row. Boxes of a page
+that may overlap are found by grids (see :func:`box_pairs`), not by comparing all of them. A null document or page number is a page like
+others.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def classify_region(blocks: DataFrame) -> DataFrame:
     page = blocks.groupBy(*PAGE).agg(F.max("x2").alias("_w"), F.max("y2").alias("_h"), F.array_sort(F.collect_list(F.when(text != "", h))).alias("_hs"))
     page = page.withColumn("_m", F.try_element_at("_hs", F.floor(F.size("_hs") / 2).cast("int") + 1)).drop("_hs")
     size = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1000.0)
-    d = blocks.join(page, PAGE).withColumns({"_w": size("_w"), "_h": size("_h"), "_t": text}).withColumns({"_n": F.length("_t"), "_f": h, "_m": F.coalesce("_m", h)})
+    d = joined(blocks, page, PAGE).withColumns({"_w": size("_w"), "_h": size("_h"), "_t": text}).withColumns({"_n": F.length("_t"), "_f": h, "_m": F.coalesce("_m", h)})
     n, f, m, y = F.col("_n"), F.col("_f"), F.col("_m"), F.col("y1") / F.col("_h")
     wide = (F.col("x2") - F.col("x1")) / F.col("_w")
     t = F.col("_t")
@@ -106,12 +108,59 @@ def classify_region(blocks: DataFrame) -> DataFrame:
     return d.withColumn("region_class", parts[0]).withColumn("hierarchy_level", parts[1].cast("int")).drop("_w", "_h", "_t", "_n", "_f", "_m")
 
 
+def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins with keys in which nulls are equal; one copy of the keys stays, that of ``a``."""
+    other = b.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in b.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    if how == "full_outer":
+        both = a.withColumn("_left", F.lit(True)).join(other, on, how)
+        return both.withColumns({k: F.when(F.col("_left"), F.col(k)).otherwise(F.col(f"_key_{k}")) for k in keys}).drop("_left", *(f"_key_{k}" for k in keys))
+    return a.join(other, on, how).drop(*(f"_key_{k}" for k in keys))
+
+
+def box_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
+    """Pairs of boxes of one page that meet when each is drawn wider by ``reach``: the columns of a as a_*, those of b as b_*.
+
+    Boxes must have all coordinates and no side below 0. A page has grids of cells that grow fourfold from its mean box on; a box
+    is at home in the first grid whose cells are not smaller than it, so it lies in four of them at most. It is also entered in the coarser
+    grids of its page, up to the largest box, and two boxes meet in the coarser one of their homes: in the cell of their common top left corner, once.
+    """
+    corners = (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))
+    wider = lambda d: d.select(*PAGE, *((F.col(c) + sign * reach).alias(c) for c, sign in corners))
+    size = {"_w": F.col("x2") - F.col("x1"), "_h": F.col("y2") - F.col("y1")}
+    page = wider(a).unionByName(wider(b)).withColumns(size).groupBy(*PAGE).agg(F.avg("_w").alias("mw"), F.avg("_h").alias("mh"), F.max("_w").alias("top_w"), F.max("_h").alias("top_h"))
+    cell = {c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0) for c in ("mw", "mh")}
+    grid = lambda w, h: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(w / F.col("mw"), h / F.col("mh"), F.lit(1.0))) / 2).cast("int"))
+    page = page.withColumns(cell).withColumn("top", grid(F.col("top_w"), F.col("top_h"))).drop("top_w", "top_h")
+
+    def entered(d: DataFrame, side: str) -> DataFrame:
+        d = d.select(*PAGE, *(F.col(c).alias(f"{side}{c}") for c in d.columns), *((F.col(c) + sign * reach).alias(f"{side}g{c}") for c, sign in corners))
+        x1, y1, x2, y2 = (F.col(f"{side}g{c}") for c, _ in corners)
+        d = joined(d, page, PAGE).withColumn(f"{side}home", grid(x2 - x1, y2 - y1)).withColumn("level", F.explode(F.sequence(f"{side}home", "top")))
+        step = F.pow(F.lit(4.0), F.col("level"))
+        at = lambda c, m: F.floor(c / (F.col(m) * step))
+        d = d.withColumn("cx", F.explode(F.sequence(at(x1, "mw"), at(x2, "mw")))).withColumn("cy", F.explode(F.sequence(at(y1, "mh"), at(y2, "mh"))))
+        return d.drop("top", f"{side}gx2", f"{side}gy2", *([] if side == "a_" else ["mw", "mh"]))
+
+    d = joined(entered(a, "a_"), entered(b, "b_"), [*PAGE, "level", "cx", "cy"])
+    corner = lambda c, m: F.floor(F.greatest(f"a_g{c}", f"b_g{c}") / (F.col(m) * F.pow(F.lit(4.0), F.col("level"))))
+    d = d.where((F.col("level") == F.greatest("a_home", "b_home")) & (corner("x1", "mw") == F.col("cx")) & (corner("y1", "mh") == F.col("cy")))
+    return d.select(*(f"a_{c}" for c in a.columns), *(f"b_{c}" for c in b.columns))
+
+
+def _proper(blocks: DataFrame) -> DataFrame:
+    """Blocks with four finite coordinates and an area."""
+    b = geo.box()
+    return blocks.where(geo.finite(b[0]) & geo.finite(b[1]) & geo.finite(b[2]) & geo.finite(b[3]) & (b[2] > b[0]) & (b[3] > b[1]))
+
+
 def greedy_matches(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """One-to-one matches per page (a_idx, b_idx, iou): each a in order takes the best b left, ties to the lower b."""
-    cols = ["idx", "x1", "y1", "x2", "y2"]
-    left = a.select(*PAGE, *(F.col(c).alias(f"a_{c}") for c in cols))
-    right = b.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in cols))
-    pairs = left.join(right, PAGE).withColumn("iou", geo.iou(geo.box("a_"), geo.box("b_"))).where(F.col("iou") >= least)
+    """One-to-one matches per page (a_idx, b_idx, iou): each a in order takes the best b left, ties to the lower b. ``least`` is above 0."""
+    cols = [*PAGE, "idx", "x1", "y1", "x2", "y2"]
+    pairs = box_pairs(_proper(a).select(*cols), _proper(b).select(*cols)).withColumn("iou", geo.iou(geo.box("a_"), geo.box("b_"))).where(F.col("iou") >= least)
+    pairs = pairs.select(*(F.col(f"a_{c}").alias(c) for c in PAGE), "a_idx", "b_idx", "iou")
     item = F.struct("a_idx", (-F.col("iou")).alias("neg"), "b_idx")
     per = pairs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("c"))
     zero = F.expr("named_struct('last', CAST(NULL AS BIGINT), 'used', CAST(array() AS array<bigint>), 'out', CAST(array() AS array<struct<a_idx:bigint,b_idx:bigint,iou:double>>))")
@@ -130,10 +179,10 @@ def ensemble_merge(a: DataFrame, b: DataFrame, least: float = ENSEMBLE_IOU) -> D
     m = greedy_matches(a, b, least).select(*PAGE, "a_idx", "b_idx")
     cols = [*PAGE, "idx", "text", "confidence", "x1", "y1", "x2", "y2"]
     bb = b.select(*PAGE, F.col("idx").alias("b_idx"), *(F.col(c).alias(f"_{c}") for c in cols[3:]))
-    left = a.select(*cols).join(m.withColumnRenamed("a_idx", "idx"), [*PAGE, "idx"], "left").join(bb, [*PAGE, "b_idx"], "left")
+    left = joined(joined(a.select(*cols), m.withColumnRenamed("a_idx", "idx"), [*PAGE, "idx"], "left"), bb, [*PAGE, "b_idx"], "left")
     other = F.coalesce(F.col("_confidence") > F.col("confidence"), F.lit(False))
     won = left.select(*PAGE, F.lit(0).alias("side"), "idx", F.when(other, "b").otherwise("a").alias("engine"), *(F.when(other, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols[3:]))
-    rest = b.select(*cols).join(m.select(*PAGE, F.col("b_idx").alias("idx")), [*PAGE, "idx"], "left_anti")
+    rest = joined(b.select(*cols), m.select(*PAGE, F.col("b_idx").alias("idx")), [*PAGE, "idx"], "left_anti")
     every = won.unionByName(rest.withColumns({"side": F.lit(1), "engine": F.lit("b")}))
     return every.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y1", "x1", "side", "idx"))).drop("side")
 
@@ -143,7 +192,7 @@ def block_detection_score(expected: DataFrame, actual: DataFrame, least: float =
     m = greedy_matches(expected, actual, least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tp"), F.avg("iou").alias("mean"))
     e = expected.groupBy("doc_id").agg(F.count(F.lit(1)).alias("expected_count"))
     d = actual.groupBy("doc_id").agg(F.count(F.lit(1)).alias("detected_count"))
-    j = e.join(d, "doc_id", "full_outer").join(m, "doc_id", "left").withColumn("detected_count", F.coalesce("detected_count", F.lit(0))).withColumn("tp", F.coalesce("tp", F.lit(0)))
+    j = joined(joined(e, d, ["doc_id"], "full_outer"), m, ["doc_id"], "left").withColumn("detected_count", F.coalesce("detected_count", F.lit(0))).withColumn("tp", F.coalesce("tp", F.lit(0)))
     p = F.when(F.col("detected_count") > 0, F.col("tp") / F.col("detected_count")).otherwise(0.0)
     r = F.col("tp") / F.col("expected_count")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
@@ -153,20 +202,25 @@ def block_detection_score(expected: DataFrame, actual: DataFrame, least: float =
 
 
 def overlap_suppression(blocks: DataFrame, overlap: float = MAX_OVERLAP, distance: float = NEARBY) -> DataFrame:
-    """kept per block: boxes by area, top and left; one goes if a kept box covers enough of it, or stands near with the same text."""
+    """kept per block: boxes by area, top and left; one goes if a kept box covers enough of it, or stands near with the same text.
+
+    Boxes without an area, or without all coordinates, are not kept and suppress none.
+    """
     b = blocks.withColumn("_a", geo.area(geo.box())).withColumn("_t", tx.loose(F.col("text")))
     b = b.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("_a"), "y1", "x1", "idx")))
-    cols = ["_r", "_a", "_t", "x1", "y1", "x2", "y2"]
-    x, y = (b.select(*PAGE, *(F.col(c).alias(f"{s}{c}") for c in cols)) for s in ("i_", "j_"))
-    i, j = geo.box("i_"), geo.box("j_")
-    same = (F.col("i__t") != "") & (F.col("j__t") != "") & (F.col("i__t").contains(F.col("j__t")) | F.col("j__t").contains(F.col("i__t")))
-    hit = (geo.intersection(i, j) / F.col("i__a") >= overlap) | (geo.nearby(i, j, distance) & same)
-    clash = x.join(y, PAGE).where((F.col("j__r") < F.col("i__r")) & hit).groupBy(*PAGE, F.col("i__r").alias("_r")).agg(F.collect_list("j__r").alias("_x"))
+    boxes = _proper(b).select(*PAGE, "_r", "_a", "_t", "x1", "y1", "x2", "y2")
+    i, j = geo.box("a_"), geo.box("b_")
+    same = (F.col("a__t") != "") & (F.col("b__t") != "") & (F.col("a__t").contains(F.col("b__t")) | F.col("b__t").contains(F.col("a__t")))
+    hit = (geo.intersection(i, j) / F.col("a__a") >= overlap) | (geo.nearby(i, j, distance) & same)
+    clash = box_pairs(boxes, boxes, distance / 2).where((F.col("b__r") < F.col("a__r")) & hit)
+    clash = clash.groupBy(*(F.col(f"a_{c}").alias(c) for c in PAGE), F.col("a__r").alias("_r")).agg(F.collect_list("b__r").alias("_x"))
     none = F.expr("CAST(array() AS array<int>)")
-    d = b.join(clash, [*PAGE, "_r"], "left").withColumn("_x", F.coalesce("_x", none))
-    per = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("_r", "idx", "_x", "_a"))).alias("q"))
-    kept = F.aggregate("q", none, lambda acc, e: F.when((e["_a"] > 0) & ~F.arrays_overlap(acc, e["_x"]), F.concat(acc, F.array(e["_r"]))).otherwise(acc))
-    return per.withColumn("k", kept).select(*PAGE, F.expr("inline(transform(q, e -> struct(e.idx AS idx, array_contains(k, e._r) AS kept)))"))
+    d = joined(b, clash, [*PAGE, "_r"], "left").withColumn("_free", F.coalesce((F.col("_a") > 0) & F.col("_x").isNull(), F.lit(False)))
+    # only boxes that clash are decided one after the other; those without a clash that stand in their way are kept from the start
+    per = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_r", "_x", "_a")))).alias("q"), F.collect_list(F.when(F.col("_free"), F.col("_r"))).alias("free"), F.array_distinct(F.flatten(F.collect_list("_x"))).alias("_named"))
+    kept = F.aggregate("q", F.array_intersect("free", "_named"), lambda acc, e: F.when((e["_a"] > 0) & ~F.arrays_overlap(acc, e["_x"]), F.concat(acc, F.array(e["_r"]))).otherwise(acc))
+    won = per.select(*PAGE, F.explode(F.array_distinct(F.concat(F.coalesce("free", none), kept))).alias("_r")).withColumn("_kept", F.lit(True))
+    return joined(d, won, [*PAGE, "_r"], "left").select(*PAGE, "idx", F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 
 def lines_to_blocks(pages: DataFrame, confidence: float = 0.85) -> DataFrame:

@@ -89,8 +89,25 @@ def latest_n(rows: DataFrame, owner: str | None, n: int, *order: Column) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def slo_attainment(events: DataFrame) -> DataFrame:
-    """Daily objectives: OCR success >= 99 %, translation >= 99.5 %, render >= 99 %, retries per chunk p95 <= 3; two missed days in a row ask for action."""
+#: Most seconds of a day's median job, from its creation to the event named, by the kind of its type.
+LATENCY_OBJECTIVES = {"image": ("translate_image", "render_completed", 8.0), "pdf": ("translate_pdf", "job_completed", 180.0)}
+
+
+def job_latencies(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """day, image_p50_s, pdf_p50_s: medians over the jobs created that day that came to their end; null without any."""
+    at = lambda name, pick: pick(F.when(F.col("event") == name, F.col("event_time")))
+    ends = {k: at(end, F.max).alias(f"_{k}") for k, (_, end, _) in LATENCY_OBJECTIVES.items()}
+    per = events.where("job_id IS NOT NULL").groupBy("job_id").agg(at("job_created", F.min).alias("_begin"), *ends.values()).join(jobs.select("job_id", "type").distinct(), "job_id")
+    took = {k: (F.unix_micros(F.col(f"_{k}").cast("timestamp")) - F.unix_micros(F.col("_begin").cast("timestamp"))) / 1e6 for k in LATENCY_OBJECTIVES}
+    per = per.select(F.to_date("_begin").alias("day"), *(F.when((F.col("type") == kind) & (took[k] >= 0), took[k]).alias(k) for k, (kind, _, _) in LATENCY_OBJECTIVES.items()))
+    return per.where("day IS NOT NULL").groupBy("day").agg(*(F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {k})").alias(f"{k}_p50_s") for k in LATENCY_OBJECTIVES))
+
+
+def slo_attainment(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Daily objectives: OCR success >= 99 %, translation >= 99.5 %, render >= 99 %, retries per chunk p95 <= 3, and with ``jobs``
+    (job_id, type) the median latencies of image and PDF jobs; two missed days in a row ask for action. An objective without
+    jobs is met.
+    """
     e = F.col("event")
     day = events.groupBy(F.to_date("event_time").alias("day")).agg(
         ratio(count_if(e == "ocr_completed"), count_if(e == "ocr_started")).alias("ocr_success"),
@@ -100,16 +117,22 @@ def slo_attainment(events: DataFrame) -> DataFrame:
         F.max("queue_depth").alias("max_queue_depth"),
     )
     met = (F.col("ocr_success") >= 0.99) & (F.col("translation_completion") >= 0.995) & (F.col("render_completion") >= 0.99) & (F.coalesce(F.col("retries_p95"), F.lit(0.0)) <= 3)
+    if jobs is not None:
+        slow = job_latencies(events, jobs)
+        day = day.join(slow.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")), "left").drop("_day")
+        for k, (_, _, most) in LATENCY_OBJECTIVES.items():
+            met = met & F.coalesce(F.col(f"{k}_p50_s") <= most, F.lit(True))
     backlog = F.when(F.col("max_queue_depth") > 1000, "critical").when(F.col("max_queue_depth") > 500, "warn").otherwise("ok")
     w = Window.partitionBy(F.lit(1)).orderBy("day")  # one row per day
     day = day.withColumn("met", met).withColumn("backlog", backlog)
     return day.withColumn("action_item", ~F.col("met") & ~F.coalesce(F.lag("met").over(w), F.lit(True)))
 
 
-def incident_summary(events: DataFrame, signals: DataFrame) -> DataFrame:
+def incident_summary(events: DataFrame, signals: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Per correlation: events, stage counts, severity and its reasons, in the order of the checks.
 
-    signals (correlation_id, queue_depth, retry_backlog, provider_timeouts, provider_retries, degraded, render_fallback).
+    signals (correlation_id, queue_depth, retry_backlog, provider_timeouts, provider_retries, degraded, render_fallback). With ``scores``
+    (correlation_id, provider, score) also the provider with the lowest score, the first by name on ties, and its score.
     """
     stages = events.groupBy("correlation_id", F.coalesce(F.nullif("event", F.lit("")), F.lit("unknown")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
     per = stages.groupBy("correlation_id").agg(F.sum("n").alias("event_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("stage_counts"))
@@ -128,13 +151,26 @@ def incident_summary(events: DataFrame, signals: DataFrame) -> DataFrame:
         F.when(calm & ~degraded & fallback, "render_fallback_events_present"),
     ]
     severity = F.when(critical, "critical").when(warned | degraded | fallback, "warning").otherwise("normal")
-    return d.withColumn("severity", severity).withColumn("reasons", F.array_compact(F.array(*reasons)))
+    d = d.withColumn("severity", severity).withColumn("reasons", F.array_compact(F.array(*reasons)))
+    if scores is None:
+        return d
+    low = scores.where("score IS NOT NULL").groupBy("correlation_id").agg(F.min(F.struct("score", "provider")).alias("_low"))
+    return d.join(low, "correlation_id", "left").withColumns({"lowest_provider": F.col("_low.provider"), "lowest_score": F.col("_low.score")}).drop("_low")
+
+
+def before_in_time(rows: DataFrame, column: str, at: str, slice_s: int = 86_400) -> DataFrame:
+    """Adds ``_before``: the value of the row before in time. Slices of time carry their last value to the next one, one row for each slice."""
+    d = rows.withColumn("_slice", F.floor(F.unix_timestamp(at) / slice_s))
+    last = d.groupBy("_slice").agg(F.max_by(column, at).alias("_last"))
+    last = last.select(F.col("_slice").alias("_of"), F.lag("_last").over(Window.orderBy("_slice")).alias("_carried"))
+    d = d.join(last, F.col("_slice").eqNullSafe(F.col("_of")))
+    return d.withColumn("_before", F.coalesce(F.lag(column).over(Window.partitionBy("_slice").orderBy(at)), F.col("_carried"))).drop("_slice", "_of", "_carried")
 
 
 def pressure(samples: DataFrame) -> DataFrame:
-    """Sum of four counters per sample, its level, and the change since the sample before."""
+    """Sum of four counters per sample, its level, and the change since the sample before. Samples without a time stand before all others."""
     p = F.col("litellm_retry") + F.col("litellm_circuit_opened") + F.col("ocr_retry") + F.col("ocr_rejected")
-    w = Window.partitionBy(F.lit(1)).orderBy("sampled_at")  # one row per sample
-    d = samples.withColumn("pressure", p).withColumn("delta", F.coalesce(F.col("pressure") - F.lag("pressure").over(w), F.lit(0)))
+    d = before_in_time(samples.withColumn("pressure", p), "pressure", "sampled_at")
+    d = d.withColumn("delta", F.coalesce(F.col("pressure") - F.col("_before"), F.lit(0))).drop("_before")
     level = F.when(F.col("pressure") >= 20, "critical").when(F.col("pressure") >= 8, "warn").otherwise("normal")
     return d.withColumn("level", level).withColumn("trend", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("flat"))

@@ -82,11 +82,6 @@ def positive_aggregates(rows: DataFrame) -> DataFrame:
     return rows.agg(*(x for v, n in ((conf, "confidence"), (ms, "latency_ms"), (delta, "confidence_delta")) for x in (F.count(v).alias(f"{n}_count"), F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{n}_avg"))))
 
 
-def blend(score: Column, target: Column) -> Column:
-    start = F.when(score <= 0, F.lit(START)).otherwise(score)
-    return F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (1 - SMOOTHING) * start + SMOOTHING * target))
-
-
 def provider_health(attempts: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Health per provider and day, folded in order of time and carried from day to day.
 

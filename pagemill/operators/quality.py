@@ -78,20 +78,55 @@ def pooled_means(pages: DataFrame, blocks: DataFrame, documents: DataFrame) -> D
     return documents.join(pool, "doc_id", "left").select("doc_id", F.coalesce("_m", F.when(F.col("confidence") > 0, F.col("confidence")), F.lit(0.0)).alias("confidence"))
 
 
-def correction_stats(lines: DataFrame) -> DataFrame:
-    """(doc_id, raw, corrected, confidence) -> counts per document; lines that changed too much are rejected."""
+def correction_stats(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, raw, corrected, confidence) -> counts for each key (doc_id if none is given); lines that changed too much are rejected."""
+    keys = keys or ("doc_id",)
     changed = F.col("raw") != F.col("corrected")
     d = lines.withColumn("sim", F.when(changed, sequence_ratio("raw", "corrected")).otherwise(1.0))
     ok = changed & (F.col("sim") >= SIMILARITY)
     after = F.when(ok, F.least(F.lit(1.0), F.greatest(F.col("confidence"), F.lit(BOOST)))).otherwise(F.col("confidence"))
     delta = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg(after) - F.avg("confidence")))
-    per = d.groupBy("doc_id").agg(
+    per = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("considered_blocks"), F.count(F.when(ok, 1)).alias("corrected_blocks"), F.count(F.when(changed & ~ok, 1)).alias("rejected_lines"),
         F.coalesce(F.sum(F.when(ok, tx.changed_chars(F.col("raw"), F.col("corrected")))), F.lit(0)).alias("changed_characters"), F.round(delta, 4).alias("confidence_delta"),
     )
     return per.withColumn("reason", F.when(F.col("corrected_blocks") > 0, "ok").otherwise("no_changes"))
 
 
+SUMS = ("considered_blocks", "corrected_blocks", "rejected_lines", "changed_characters", "confidence_delta")
+
+
+def running(rows: DataFrame, order: str, values: tuple[str, ...], size: int = 10_000) -> DataFrame:
+    """Adds ``running_<value>``: sums up to each row in the order of a whole number that is unique.
+
+    Slices of ``size`` numbers are summed first, and their sums carried from slice to slice (one row for each), so no task holds more than a
+    slice. Rows without a number come first, as a slice of their own.
+    """
+    d = rows.withColumn("_slice", F.coalesce(F.floor(F.col(order) / size), F.lit(-(2**62))))
+    w = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("_slice").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
+    carried = sums.select(F.col("_slice").alias("_of"), *(F.coalesce(F.sum(f"_s_{v}").over(w), F.lit(0)).alias(f"_c_{v}") for v in values))
+    inner = Window.partitionBy("_slice").orderBy(order)
+    d = d.join(carried, F.col("_slice") == F.col("_of"))
+    return d.select(*rows.columns, *((F.col(f"_c_{v}") + F.sum(v).over(inner.rowsBetween(Window.unboundedPreceding, 0))).alias(f"running_{v}") for v in values))
+
+
+def correction_totals(lines: DataFrame) -> DataFrame:
+    """Corrections of pages (doc_id, page_no), of documents, and over all documents up to each one: level, doc_id, page_no and the sums.
+
+    A document's sums are those of its pages, whose changes of confidence are rounded to 4 places before and after; so are the running ones.
+    """
+    page = correction_stats(lines, "doc_id", "page_no")
+    total = [F.round(F.sum(c), 4).alias(c) if c == "confidence_delta" else F.sum(c).alias(c) for c in SUMS]
+    document = page.groupBy("doc_id").agg(*total)
+    so_far = running(document, "doc_id", SUMS).select("doc_id", *(F.round(f"running_{c}", 4).alias(c) if c == "confidence_delta" else F.col(f"running_{c}").alias(c) for c in SUMS))
+    none = F.lit(None).cast(dict(lines.dtypes)["page_no"]).alias("page_no")
+    levels = [page.select(F.lit("page").alias("level"), "doc_id", "page_no", *SUMS)]
+    levels += [d.select(F.lit(name).alias("level"), "doc_id", none, *SUMS) for name, d in (("document", document), ("running", so_far))]
+    out = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return out.withColumn("reason", F.when(F.col("corrected_blocks") > 0, "ok").otherwise("no_changes"))
+
+
 def correction_diff(lines: DataFrame) -> DataFrame:
     return lines.withColumn("diff", unified_diff("raw", "corrected"))
 

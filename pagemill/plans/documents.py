@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import alerts as al
 from ..operators import documents as dc
+from ..operators import series as sr
 from .registry import Tables, query
 
 # DuckDB: \s of RE2 is ASCII only, so Unicode separators are named
@@ -115,6 +117,21 @@ def _(t: Tables):
     return dc.retry_windows(d.withColumn("degenerate_pages", F.when(i % 2 == 0, F.array("start")).otherwise(F.expr("CAST(array() AS array<int>)"))))
 
 
+@query("W09_retry_plan", "documents", oracle="""
+WITH RECURSIVE p AS (SELECT doc_id, 0 AS round, 0 AS s, CAST(1 + n_chars % 12 AS INT) AS e FROM documents
+  UNION ALL SELECT doc_id, round + 1, CAST(CASE WHEN bad THEN s + k ELSE s + k * ((e - s) // 2) END AS INT), CAST(CASE WHEN bad THEN s + k + 1 WHEN k = 0 THEN s + (e - s) // 2 ELSE e END AS INT)
+  FROM (SELECT *, (doc_id + s + e) % 3 = 0 AS bad FROM p), (SELECT 0 AS k UNION ALL SELECT 1) WHERE e - s > 1 AND (NOT bad OR (doc_id + s + k) % 2 = 0))
+SELECT doc_id, round, s AS start, e AS "end" FROM p""")
+def _(t: Tables):
+    d = t["documents"].select("doc_id", (1 + F.col("n_chars") % 12).cast("int").alias("n"))
+    # the outcome of every window that may be asked for
+    every = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start")).select("doc_id", "start", F.explode(F.sequence(F.col("start") + 1, F.col("n"))).alias("end"))
+    k = F.col("doc_id") + F.col("start") + F.col("end")
+    bad = F.filter(F.array(F.col("start"), F.col("start") + 1), lambda p: (F.col("doc_id") + p) % 2 == 0)
+    every = every.withColumns({"pages_returned": F.when(k % 3 > 0, 0).otherwise(F.col("end") - F.col("start")), "degenerate_pages": bad})
+    return dc.retry_plan(d.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end")), every)
+
+
 def _cache(t: Tables):
     d = t["documents"].where("text IS NOT NULL").withColumn("source", F.lit("auto")).withColumn("target", F.col("lang"))
     stored = d.where("doc_id % 3 = 0").select(dc.cache_key(F.col("source"), F.col("target"), F.col("text")).alias("cache_key"), F.upper("text").alias("translated"), F.when(F.col("doc_id") % 2 == 0, F.to_timestamp(F.lit("2024-02-01"))).otherwise(F.to_timestamp(F.lit("2023-12-01"))).alias("written_at"))
@@ -164,6 +181,38 @@ def _(t: Tables):
     return dc.map_lines_to_blocks(b, t["blocks_b"].where("idx % 4 > 0").select("doc_id", F.col("idx").alias("pos"), F.col("text").alias("line")))
 
 
+_SEGMENTS = """b AS (SELECT doc_id, idx, trim(CASE WHEN idx % 5 = 4 THEN ' ' ELSE text END) AS source FROM blocks),
+n AS (SELECT *, CASE WHEN source <> '' THEN count(*) FILTER (WHERE source <> '') OVER (PARTITION BY doc_id ORDER BY idx) - 1 END AS segment FROM b),
+u AS (SELECT doc_id, segment, trim(string_agg(trim(part), ' ' ORDER BY k)) AS s FROM (SELECT doc_id, segment, k, CASE WHEN segment % 6 = 5 OR (segment + k) % 4 = 3 THEN ' ' ELSE translate(source, 'eo', 'ac') END AS part FROM n, (SELECT 0 AS k UNION ALL SELECT 1) WHERE segment % 7 < 6) GROUP BY 1, 2),
+m AS (SELECT n.doc_id, idx, source, coalesce(s, '') AS translated FROM n LEFT JOIN u ON u.doc_id = n.doc_id AND u.segment = n.segment)"""
+
+
+def _mapped(t: Tables):
+    b = t["blocks"].withColumn("text", F.when(F.col("idx") % 5 == 4, " ").otherwise(F.col("text")))
+    n = b.where(tx.trimmed(F.col("text")) != "").withColumn("segment", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1)
+    s = F.col("segment")
+    u = n.where(s % 7 < 6).select("doc_id", "segment", F.explode(F.array(F.lit(0), F.lit(1))).alias("unit_idx"), "text")
+    return dc.segments_to_blocks(b, u.withColumn("text", F.when((s % 6 == 5) | ((s + F.col("unit_idx")) % 4 == 3), " ").otherwise(F.translate("text", "eo", "ac"))))
+
+
+@query("J07_segments_to_blocks", "blocks", oracle=f"WITH {_SEGMENTS} SELECT doc_id, idx, translated, CASE WHEN translated <> '' THEN translated ELSE source END AS used FROM m")
+def _(t: Tables):
+    return _mapped(t).select("doc_id", "idx", "translated", "used")
+
+
+@query("J07_segment_texts", "blocks", oracle=f"""
+WITH {_SEGMENTS} SELECT doc_id, coalesce(string_agg(source, chr(10) ORDER BY idx) FILTER (WHERE translated <> ''), string_agg(source, chr(10) ORDER BY idx) FILTER (WHERE source <> ''), '') AS source,
+  coalesce(string_agg(translated, chr(10) ORDER BY idx) FILTER (WHERE translated <> ''), string_agg(source, chr(10) ORDER BY idx) FILTER (WHERE source <> ''), '') AS translated FROM m GROUP BY 1""")
+def _(t: Tables):
+    return dc.segment_texts(_mapped(t))
+
+
+@query("J03_drop_terminal", "jobs", oracle="SELECT event_id FROM jobs WHERE NOT (type = 'translate_pdf' AND status IN ('completed', 'failed'))")
+def _(t: Tables):
+    stored = t["jobs"].select("job_id", "event_id")
+    return dc.drop_terminal(stored, t["jobs"]).select("event_id")
+
+
 @query("F07_normalize_eval", "documents", oracle=f"SELECT doc_id, md5({collapse('text')}) AS eval_digest, md5({collapse('lower(text)')}) AS loose_digest FROM documents WHERE text IS NOT NULL")
 def _(t: Tables):
     c = F.col("text")
@@ -264,6 +313,65 @@ def _(t: Tables):
     return al.alert_eval(m, (rule,)).drop("since")
 
 
+_SERIES = "metric, label, instance"
+_GROWTH = f"""m AS (SELECT *, CAST(ceil(epoch_us(ts) / 30000000.0) AS BIGINT) AS step0, lag(value) OVER (PARTITION BY {_SERIES} ORDER BY ts, event_id) AS before FROM rule_samples),
+d AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS growth FROM m),
+steps AS (SELECT unnest(generate_series((SELECT min(step0) FROM m), (SELECT max(step0) FROM m))) AS step)"""
+
+
+def _increase_sql(window_s: int, metrics: str) -> str:
+    """Every step with the samples of its window, one join by time."""
+    return f"""SELECT {_SERIES}, step, sum(growth) AS increase FROM d JOIN steps ON epoch_us(ts) > (step * 30 - {window_s}) * 1000000 AND epoch_us(ts) <= step * 30000000
+WHERE metric IN ({metrics}) GROUP BY ALL"""
+
+
+@query("W02_rate_grid", "rule_samples", oracle=f"""
+WITH {_GROWTH} SELECT label, make_timestamp(step * 30000000) AS at, sum(increase / 300) AS rate FROM ({_increase_sql(300, "'provider_timeout_total'")}) GROUP BY label, step""")
+def _(t: Tables):
+    grid = sr.increases(t["rule_samples"], 300, ("metric", "label", "instance")).where("metric = 'provider_timeout_total'")
+    return sr.total_by(grid, ("label",)).select("label", sr.step_time("step").cast("timestamp_ntz").alias("at"), "rate")
+
+
+_CLAMP = ("adaptive_concurrency_clamp_total", "adaptive_concurrency_reduce_total", "adaptive_concurrency_boost_total")
+
+
+@query("W02_clamp_share", "rule_samples", oracle=f"""
+WITH {_GROWTH}, i AS ({_increase_sql(900, str(_CLAMP)[1:-1])})
+SELECT label, instance, a.step, a.increase / greatest(a.increase + b.increase + c.increase, 1) AS share
+FROM i AS a JOIN i AS b USING (label, instance, step) JOIN i AS c USING (label, instance, step) WHERE a.metric = '{_CLAMP[0]}' AND b.metric = '{_CLAMP[1]}' AND c.metric = '{_CLAMP[2]}'""")
+def _(t: Tables):
+    grid = sr.increases(t["rule_samples"], 900, ("metric", "label", "instance"))
+    return sr.share(grid, _CLAMP[0], _CLAMP, ("label", "instance"))
+
+
+def _rules_sql() -> str:
+    """Steps that fire, by islands of the steps that hold; one select for each operand."""
+    holds = []
+    for r in sr.RULES:
+        for i, o in enumerate(r.operands):
+            if o.metric == "up":
+                values = "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS instance, step, CASE WHEN step IN (SELECT step0 FROM m) THEN 1 ELSE 0 END AS v FROM steps"
+            elif o.window_s is None:
+                values = f"""SELECT k.label, k.instance, k.step, m.value AS v FROM (SELECT DISTINCT label, instance, step, make_timestamp(step * 30000000) AS at FROM m, steps WHERE metric = '{o.metric}') AS k
+ASOF JOIN (SELECT * FROM m WHERE metric = '{o.metric}') AS m ON k.label = m.label AND k.instance = m.instance AND k.at >= m.ts WHERE epoch_us(m.ts) > (step * 30 - {sr.LOOKBACK_S}) * 1000000"""
+            else:
+                values = f"SELECT label, instance, step, increase AS v FROM ({_increase_sql(o.window_s, repr(o.metric))})"
+                if o.total_by:
+                    values = f"SELECT label, CAST(NULL AS VARCHAR) AS instance, step, sum(v) AS v FROM ({values}) GROUP BY label, step"
+            op = "=" if o.op == "==" else o.op
+            holds.append(f"SELECT '{r.name}' AS rule, '{r.severity}' AS severity, {len(r.operands)} AS needed, {r.hold_s // 30} AS hold, {i} AS operand, label, instance, step FROM ({values}) WHERE v {op} {o.threshold}")
+    by = "rule, severity, hold, label, instance"
+    return f"""WITH {_GROWTH}, h AS ({" UNION ALL ".join(holds)}),
+both_hold AS (SELECT {by}, step FROM h GROUP BY {by}, step, needed HAVING count(*) = needed),
+g AS (SELECT *, step - row_number() OVER (PARTITION BY {by} ORDER BY step) AS island FROM both_hold)
+SELECT rule, severity, label, instance, step FROM (SELECT *, min(step) OVER (PARTITION BY {by}, island) AS since FROM g) WHERE step - since >= hold"""
+
+
+@query("W03_alert_rules", "rule_samples", oracle=_rules_sql())
+def _(t: Tables):
+    return sr.firing(t["rule_samples"])
+
+
 @query("W20_repeated_warn_promotion", "jobs", oracle="""
 WITH a AS (SELECT event_id, type AS label, updated_at AS ts, CASE WHEN status = 'failed' THEN 'warn' ELSE 'ok' END AS level FROM jobs)
 SELECT event_id, level = 'warn' AND count(*) FILTER (WHERE level = 'warn') OVER (PARTITION BY label ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) >= 3 AS escalate, coalesce(lag(level, 1) OVER o = 'ok' AND lag(level, 2) OVER o = 'ok', false) AS demote FROM a WINDOW o AS (PARTITION BY label ORDER BY ts, event_id)""")

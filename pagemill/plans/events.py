@@ -7,7 +7,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators import events as op
-from .registry import Tables, query
+from ..sources import results as rs
+from .registry import Tables, query, scratch
 
 NOW = "(SELECT max(recorded_at) FROM {})"
 OCR_NOW, REL_NOW = NOW.format("ocr_events"), NOW.format("reliability_events")
@@ -102,8 +103,10 @@ def _(t: Tables):
 
 @query("S10_retention_prune", "reliability_events", oracle=f"SELECT count(*) FILTER (WHERE recorded_at >= {REL_NOW} - INTERVAL 10 DAY) AS kept_count, count(*) FILTER (WHERE recorded_at < {REL_NOW} - INTERVAL 10 DAY) AS deleted_count FROM reliability_events")
 def _(t: Tables):
-    kept, gone = op.prune(t["reliability_events"], t.as_of("reliability_events"), timedelta(days=10))
-    return kept.agg(F.count(F.lit(1)).alias("kept_count")).crossJoin(gone)
+    path = scratch(t.spark, "retention-table")
+    rs.write_events(t["reliability_events"], path)
+    gone = rs.prune_events(t.spark, path, t.as_of("reliability_events"), timedelta(days=10))
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept_count"), F.lit(gone).cast("long").alias("deleted_count"))
 
 
 @query("W01_share_of_total", "reliability_events", oracle="SELECT event_name, count(*) AS events, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM reliability_events GROUP BY 1")

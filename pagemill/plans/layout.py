@@ -182,6 +182,11 @@ def _(t: Tables):
     return qu.confidence_means(t["blocks"])
 
 
+@query("A26_page_means", "blocks", oracle="SELECT doc_id, CAST(idx % 3 AS INT) AS page_no, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS page_mean FROM blocks GROUP BY ALL")
+def _(t: Tables):
+    return qu.page_means(t["blocks"].withColumn("page_no", (F.col("idx") % 3).cast("int")))
+
+
 @query("A26_pooled_means", "blocks", oracle="""
 WITH p AS (SELECT doc_id, idx % 3 AS page_no, CASE WHEN (doc_id + idx % 3) % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS c, confidence FROM blocks), own AS (SELECT DISTINCT doc_id, page_no, c FROM p),
 pool AS (SELECT doc_id, c FROM own WHERE c > 0 UNION ALL SELECT doc_id, confidence FROM p WHERE c = 0 AND confidence > 0) SELECT d.doc_id, round(coalesce(avg(pool.c), 0.25), 9) AS confidence FROM (SELECT DISTINCT doc_id FROM blocks) d LEFT JOIN pool USING (doc_id) GROUP BY 1""")
@@ -219,9 +224,14 @@ def _(t: Tables):
     return qu.correction_stats(_lines(t))
 
 
+@query("A31_correction_totals", "blocks")
+def _(t: Tables):
+    return qu.correction_totals(_lines(t).withColumn("page_no", (F.col("idx") % 3).cast("int")))
+
+
 @query("U03_unified_diff", "blocks")
 def _(t: Tables):
-    return _lines(t).select("doc_id", "idx", unified_diff("raw", "corrected").alias("diff"))
+    return qu.correction_diff(_lines(t)).select("doc_id", "idx", "diff")
 
 
 @query("U01_nfc", "documents", oracle="SELECT doc_id, nfc_normalize(text) AS text FROM documents")
@@ -252,7 +262,7 @@ def _(t: Tables):
 
 @query("U04_word_levenshtein", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, pos, CAST(round(wer * len(rw)) AS INT) AS edits FROM s UNION ALL SELECT doc_id, pos, 0 FROM v WHERE len(rw) = 0")
 def _(t: Tables):
-    return _pairs(t).select("doc_id", "pos", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
+    return _pairs(t).select("doc_id", "pos", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).cast("int").alias("edits"))
 
 
 @query("A27_cer_wer", "eval_pairs", oracle=f"WITH {WER} SELECT doc_id, pos, round(cer, 6) AS cer, round(wer, 6) AS wer FROM s UNION ALL SELECT doc_id, pos, 0, 0 FROM v WHERE len(rw) = 0")
@@ -265,6 +275,28 @@ def _(t: Tables):
     return ev.eval_summary(ev.cer_wer(_pairs(t)), "engine", "document_type")
 
 
+def _documents(t: Tables):
+    """Whole texts and a misread copy: letters taken for others, and every ninth line lost."""
+    lines = F.filter(F.split("text", "\n"), lambda x, i: i % 9 != 4)
+    d = t["documents"].where("text IS NOT NULL").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return d.select("doc_id", F.col("source").alias("document_type"), F.when(F.col("doc_id") % 2 == 0, "paddle").otherwise("unlimited").alias("engine"), F.col("text").alias("reference"), F.translate(F.array_join(lines, "\n"), "eo", "ac").alias("hypothesis"))
+
+
+@query("A27_document_cer_wer", "documents")
+def _(t: Tables):
+    return ev.cer_wer(_documents(t)).select("doc_id", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+@query("A28_document_summary", "documents")
+def _(t: Tables):
+    return ev.eval_summary(ev.cer_wer(_documents(t)), "engine", "document_type")
+
+
+@query("U04_document_word_edits", "documents")
+def _(t: Tables):
+    return _documents(t).select("doc_id", ev.word_distance(tx.words(F.col("reference")), tx.words(F.col("hypothesis"))).alias("edits"))
+
+
 @query("J08_pair_eval", "conversations", "documents", oracle="SELECT d.doc_id, md5(string_agg(c.text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM documents d JOIN conversations c ON c.conv_id = d.doc_id GROUP BY 1")
 def _(t: Tables):
     pages = t["conversations"].select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
@@ -308,6 +340,11 @@ def _(t: Tables):
     return qu.parse_markup(_markup(t)).select("doc_id", F.col("text_group").cast("long").alias("text_group"), F.round("x1", 6).alias("x1"), "region_class", "hierarchy_level")
 
 
+@query("F23_plain_text", "blocks", oracle="SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY idx) AS text FROM blocks WHERE trim(text) <> '' GROUP BY 1")
+def _(t: Tables):
+    return qu.plain_text(qu.parse_markup(_markup(t))).select("doc_id", "text")
+
+
 @query("W18_block_fallback_pick", "blocks", oracle="""
 WITH v AS (SELECT doc_id, idx % 2 AS page_no, idx % 5 AS variant_idx, avg(confidence) AS c, count(*) FILTER (WHERE idx % 7 > 1) AS n FROM blocks GROUP BY ALL)
 SELECT doc_id, page_no, coalesce(min(variant_idx) FILTER (WHERE c >= 0.72), arg_min(variant_idx, (1 - c) * 1000000 + variant_idx / 1000)) AS variant_idx FROM v WHERE n > 0 GROUP BY 1, 2""")

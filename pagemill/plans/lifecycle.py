@@ -122,6 +122,15 @@ def _(t: Tables):
     return jb.search_dead(d, status="failed", text=" Timed out ").select("job_id", "status", "type")
 
 
+@query("P22_dead_letter_counts", "queue_entries", "jobs", oracle="""
+WITH d AS (SELECT CASE WHEN j.event_id % 3 > 0 THEN j.status END AS status, CASE WHEN j.event_id % 5 > 0 THEN j.type END AS type FROM queue_entries q JOIN jobs j USING (job_id) WHERE q.queue = 'dead')
+SELECT 'status' AS "by", coalesce(status, 'unknown') AS name, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'type', coalesce(type, 'unknown'), count(*) FROM d GROUP BY 2""")
+def _(t: Tables):
+    i = F.col("event_id")
+    known = t["jobs"].select("job_id", F.when(i % 3 > 0, F.col("status")).alias("status"), F.when(i % 5 > 0, F.col("type")).alias("type"))
+    return jb.dead_counts(t["queue_entries"].where("queue = 'dead'").join(known, "job_id"))
+
+
 @query("A14_pipeline_snapshot", "lifecycle_events", oracle="""
 SELECT count(*) FILTER (WHERE event = 'chunk_retry') AS retries_total, count(*) FILTER (WHERE event = 'provider_failover') AS failovers_total, count(*) FILTER (WHERE event = 'chunk_started') AS chunk_started_total,
   count(*) FILTER (WHERE event = 'chunk_completed') AS chunk_completed_total, count(*) FILTER (WHERE event = 'export_started') AS export_started_total, count(*) FILTER (WHERE event = 'export_completed') AS export_completed_total,
@@ -188,6 +197,16 @@ def _(t: Tables):
     return pv.integration_counters(t["reliability_events"])
 
 
+@query("A21_positive_aggregates", "provider_attempts", oracle="""
+WITH a AS (SELECT CAST(event_id % 5 AS DOUBLE) / 4 AS c, CASE WHEN event_id % 7 = 0 THEN -1 ELSE latency_ms END AS ms, CAST(event_id % 3 - 1 AS DOUBLE) / 8 AS d FROM provider_attempts)
+SELECT count(*) FILTER (WHERE c > 0) AS confidence_count, coalesce(avg(c) FILTER (WHERE c > 0), 0) AS confidence_avg, count(*) FILTER (WHERE ms > 0) AS latency_ms_count, coalesce(avg(ms) FILTER (WHERE ms > 0), 0) AS latency_ms_avg,
+  count(*) FILTER (WHERE d <> 0) AS confidence_delta_count, coalesce(avg(d) FILTER (WHERE d <> 0), 0) AS confidence_delta_avg FROM a""")
+def _(t: Tables):
+    i = F.col("event_id")
+    a = t["provider_attempts"].select(((i % 5).cast("double") / 4).alias("confidence"), F.when(i % 7 == 0, -1).otherwise(F.col("latency_ms")).alias("latency_ms"), ((i % 3 - 1).cast("double") / 8).alias("confidence_delta"))
+    return pv.positive_aggregates(a)
+
+
 _STATS = f"""SELECT count(*) FILTER (WHERE queue = 'ready') AS queue_depth, count(*) FILTER (WHERE queue = 'inflight') AS inflight_depth, count(*) FILTER (WHERE queue = 'retry') AS retry_backlog, count(*) FILTER (WHERE queue = 'dead') AS dead_letter_count,
   count(*) FILTER (WHERE queue = 'inflight' AND score_ts <= {QUEUE_NOW} - INTERVAL 10 MINUTE) AS stuck_jobs FROM queue_entries"""
 
@@ -207,21 +226,26 @@ def _(t: Tables):
     return jb.overload_level(by)
 
 
-@query("A32_slo_attainment", "lifecycle_events", oracle="""
-WITH d AS (SELECT CAST(event_time AS DATE) AS day, """ + ", ".join(f"CASE WHEN count(*) FILTER (WHERE event = '{b}') = 0 THEN 0.0 ELSE count(*) FILTER (WHERE event = '{a}') / count(*) FILTER (WHERE event = '{b}') END AS {n}" for a, b, n in (("ocr_completed", "ocr_started", "ocr_success"), ("chunk_completed", "translation_started", "translation_completion"), ("render_completed", "render_started", "render_completion"))) + """,
+@query("A32_slo_attainment", "lifecycle_events", "jobs", oracle="""
+WITH j AS (SELECT job_id, min(event_time) FILTER (WHERE event = 'job_created') AS begun, max(event_time) FILTER (WHERE event = 'render_completed') AS rendered, max(event_time) FILTER (WHERE event = 'job_completed') AS done FROM lifecycle_events GROUP BY 1),
+l AS (SELECT CAST(begun AS DATE) AS day, CASE WHEN type = 'translate_image' THEN epoch_us(rendered) - epoch_us(begun) END AS image, CASE WHEN type = 'translate_pdf' THEN epoch_us(done) - epoch_us(begun) END AS pdf FROM j JOIN jobs USING (job_id)),
+p AS (SELECT day, quantile_cont(image / 1e6, 0.5) FILTER (WHERE image >= 0) AS image_p50_s, quantile_cont(pdf / 1e6, 0.5) FILTER (WHERE pdf >= 0) AS pdf_p50_s FROM l WHERE day IS NOT NULL GROUP BY 1),
+d AS (SELECT CAST(event_time AS DATE) AS day, """ + ", ".join(f"CASE WHEN count(*) FILTER (WHERE event = '{b}') = 0 THEN 0.0 ELSE count(*) FILTER (WHERE event = '{a}') / count(*) FILTER (WHERE event = '{b}') END AS {n}" for a, b, n in (("ocr_completed", "ocr_started", "ocr_success"), ("chunk_completed", "translation_started", "translation_completion"), ("render_completed", "render_started", "render_completion"))) + """,
   quantile_cont(retry_count, 0.95) FILTER (WHERE event = 'chunk_retry') AS retries_p95, max(queue_depth) AS max_queue_depth FROM lifecycle_events GROUP BY 1),
-m AS (SELECT *, ocr_success >= 0.99 AND translation_completion >= 0.995 AND render_completion >= 0.99 AND coalesce(retries_p95, 0) <= 3 AS met, CASE WHEN max_queue_depth > 1000 THEN 'critical' WHEN max_queue_depth > 500 THEN 'warn' ELSE 'ok' END AS backlog FROM d)
-SELECT * REPLACE (CAST(day AS VARCHAR) AS day), NOT met AND NOT coalesce(lag(met) OVER (ORDER BY day), true) AS action_item FROM m""")
+m AS (SELECT d.*, image_p50_s, pdf_p50_s, ocr_success >= 0.99 AND translation_completion >= 0.995 AND render_completion >= 0.99 AND coalesce(retries_p95, 0) <= 3 AND coalesce(image_p50_s <= 8, true) AND coalesce(pdf_p50_s <= 180, true) AS met, CASE WHEN max_queue_depth > 1000 THEN 'critical' WHEN max_queue_depth > 500 THEN 'warn' ELSE 'ok' END AS backlog FROM d LEFT JOIN p ON p.day = d.day)
+SELECT * REPLACE (CAST(day AS VARCHAR) AS day, round(image_p50_s, 6) AS image_p50_s, round(pdf_p50_s, 6) AS pdf_p50_s), NOT met AND NOT coalesce(lag(met) OVER (ORDER BY day), true) AS action_item FROM m""")
 def _(t: Tables):
-    return lc.slo_attainment(t["lifecycle_events"]).withColumn("day", F.col("day").cast("string"))
+    return lc.slo_attainment(t["lifecycle_events"], t["jobs"]).withColumns({"image_p50_s": F.round("image_p50_s", 6), "pdf_p50_s": F.round("pdf_p50_s", 6)}).withColumn("day", F.col("day").cast("string"))
 
 
 @query("A33_incident_summary", "lifecycle_events", oracle="""
 WITH s AS (SELECT correlation_id, max(queue_depth) AS q, count(*) FILTER (WHERE event = 'chunk_retry') * 40 AS r, count(*) FILTER (WHERE event = 'provider_failover') AS pt, sum(retry_count) AS pr, count(*) FILTER (WHERE event = 'job_failed') % 3 AS dg, count(*) FILTER (WHERE event = 'render_started') % 2 AS rf, count(*) AS event_count FROM lifecycle_events GROUP BY 1),
-f AS (SELECT *, q >= 1000 OR r >= 1000 OR (pt > 8 AND pr > 80) AS crit, q >= 500 OR r >= 500 AS warned FROM s)
-SELECT correlation_id, event_count, CASE WHEN crit THEN 'critical' WHEN warned OR dg > 0 OR rf > 0 THEN 'warning' ELSE 'normal' END AS severity, concat_ws(';',
+f AS (SELECT *, q >= 1000 OR r >= 1000 OR (pt > 8 AND pr > 80) AS crit, q >= 500 OR r >= 500 AS warned FROM s),
+v AS (SELECT correlation_id, concat('p', CAST(event_id % 3 AS VARCHAR)) AS provider, max(duration_ms) % 50 / 64.0 AS score FROM lifecycle_events GROUP BY ALL),
+lo AS (SELECT correlation_id, provider AS lowest_provider, CAST(score AS DOUBLE) AS lowest_score FROM v QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY score, provider) = 1)
+SELECT correlation_id, lowest_provider, lowest_score, event_count, CASE WHEN crit THEN 'critical' WHEN warned OR dg > 0 OR rf > 0 THEN 'warning' ELSE 'normal' END AS severity, concat_ws(';',
   CASE WHEN q >= 1000 THEN 'queue_depth>=1000' WHEN q >= 500 THEN 'queue_depth>=500' END, CASE WHEN r >= 1000 THEN 'retry_backlog>=1000' WHEN r >= 500 THEN 'retry_backlog>=500' END,
-  CASE WHEN pt > 8 AND pr > 80 THEN 'timeout_storm_guard_triggered' END, CASE WHEN NOT crit AND NOT warned AND dg > 0 THEN 'degraded_mode_events_present' END, CASE WHEN NOT crit AND NOT warned AND dg = 0 AND rf > 0 THEN 'render_fallback_events_present' END) AS reasons FROM f""")
+  CASE WHEN pt > 8 AND pr > 80 THEN 'timeout_storm_guard_triggered' END, CASE WHEN NOT crit AND NOT warned AND dg > 0 THEN 'degraded_mode_events_present' END, CASE WHEN NOT crit AND NOT warned AND dg = 0 AND rf > 0 THEN 'render_fallback_events_present' END) AS reasons FROM f LEFT JOIN lo USING (correlation_id)""")
 def _(t: Tables):
     e = F.col("event")
     life = t["lifecycle_events"]
@@ -229,7 +253,8 @@ def _(t: Tables):
         F.max("queue_depth").alias("queue_depth"), (lc.count_if(e == "chunk_retry") * 40).alias("retry_backlog"), lc.count_if(e == "provider_failover").alias("provider_timeouts"),
         F.sum("retry_count").alias("provider_retries"), (lc.count_if(e == "job_failed") % 3).alias("degraded"), (lc.count_if(e == "render_started") % 2).alias("render_fallback"),
     )
-    return lc.incident_summary(life, s).select("correlation_id", "event_count", "severity", F.array_join("reasons", ";").alias("reasons"))
+    scores = life.groupBy("correlation_id", F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("provider")).agg((F.max("duration_ms") % 50 / 64).alias("score"))
+    return lc.incident_summary(life, s, scores).select("correlation_id", "lowest_provider", "lowest_score", "event_count", "severity", F.array_join("reasons", ";").alias("reasons"))
 
 
 @query("A34_pressure", "reliability_events", oracle="""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -14,18 +12,7 @@ from ..operators import providers as pv
 from ..sources import logs as lg
 from ..sources import results as rs
 from ..streaming import streams as st
-from .registry import Tables, query
-
-
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that all executors share. Only a local master gets a temporary folder where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .registry import Tables, query, scratch
 
 
 def log_lines(t: Tables) -> DataFrame:
@@ -219,9 +206,13 @@ def _(t: Tables):
 
 
 @query("ST05_stream_job_changes", "jobs", oracle="""
-WITH o AS (SELECT correlation_id, status, stage, updated_at, event_id, lag(status) OVER w AS s, lag(stage) OVER w AS g, coalesce(bool_or(status IN ('completed', 'failed')) OVER (PARTITION BY correlation_id ORDER BY updated_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM jobs WINDOW w AS (PARTITION BY correlation_id ORDER BY updated_at, event_id)),
-x AS (SELECT correlation_id, status, stage FROM o WHERE NOT over AND (s IS DISTINCT FROM status OR g IS DISTINCT FROM stage)
-  UNION ALL SELECT correlation_id, 'stuck', stage FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY updated_at DESC, event_id DESC) = 1) WHERE NOT over AND status = 'processing' AND updated_at + INTERVAL 20 MINUTE <= (SELECT max(j.updated_at) FROM jobs j))
+WITH RECURSIVE o AS (SELECT correlation_id, status, stage, updated_at, row_number() OVER (PARTITION BY correlation_id ORDER BY updated_at, event_id) AS k FROM jobs),
+f AS (SELECT correlation_id, k, status, stage, updated_at AS seen, true AS news FROM o WHERE k = 1
+  UNION ALL SELECT o.correlation_id, o.k, CASE WHEN quiet THEN f.status ELSE o.status END, CASE WHEN quiet THEN f.stage ELSE o.stage END, CASE WHEN quiet THEN f.seen ELSE o.updated_at END, NOT quiet AND (forgotten OR o.status <> f.status OR o.stage <> f.stage)
+  FROM f JOIN (SELECT *, k - 1 AS before FROM o) AS o ON o.correlation_id = f.correlation_id AND o.before = f.k,
+  LATERAL (SELECT o.updated_at > f.seen + INTERVAL 24 HOUR AS forgotten), LATERAL (SELECT NOT forgotten AND f.status IN ('completed', 'failed') AS quiet)),
+x AS (SELECT correlation_id, status, stage FROM f WHERE news
+  UNION ALL SELECT correlation_id, 'stuck', stage FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY k DESC) = 1) WHERE status = 'processing' AND seen + INTERVAL 20 MINUTE <= (SELECT max(j.updated_at) FROM jobs j))
 SELECT correlation_id AS job_id, status, stage, count(*) AS n FROM x GROUP BY 1, 2, 3""")
 def _(t: Tables):
     # a user's jobs as one long job; the source is one file, so one batch sees its rows in order

@@ -6,11 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Known attributes are read as text, so that their coercion can be seen.
 FIELDS = ("time", "level", "msg", "job_id", "file", "lang", "target", "extraction_failure_reason", "outcome", "extract_ms", "ocr_ms", "translate_ms", "total_ms", "reason", "endpoint", "attempt", "status", "duration_ms", "chunk_idx", "chunk_count", "total_retry_events", "timeout_retry_count", "split_count", "backoff_ms", "err")
-SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 FALLBACK = "ocr_fallback_triggered"
 CHUNK_MESSAGES = ("chunk_translated", "chunk_translation_failed", "slow_chunk_translation")
 SLOW_MS = 30_000
@@ -18,11 +15,14 @@ INTEGER = r"^[+-]?\d+$"
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
-    """(value) -> one row per JSON object with the known fields; blank, malformed and other lines are skipped."""
+    """(value) -> one row per JSON object with the known fields as text, and the object itself (``record``); other lines are skipped.
+
+    A line is parsed once: the generator keeps later filters from pulling the parser into themselves, and fields are read from the parsed
+    object, which also knows their types.
+    """
     t = F.trim("value")
-    d = lines.where(t.startswith("{")).withColumn("r", F.from_json(t, SCHEMA)).where(F.try_parse_json(t).isNotNull() & F.col("r").isNotNull())
-    quoted = [F.get_json_object(t, f"$.{f}").alias(f) for f in FIELDS]
-    return d.select(*quoted, t.alias("raw"))
+    d = lines.where(t.startswith("{")).select(F.inline(F.array(F.struct(F.try_parse_json(t).alias("record"))))).where("record IS NOT NULL")
+    return d.select("record", *(F.try_variant_get("record", f"$.{f}", "string").alias(f) for f in FIELDS))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -43,26 +43,23 @@ def field_string(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def field_int64(c: Column, quoted: Column | None = None) -> Column:
-    """Integers as they are, floats cut off, text only if it is an integer; else 0.
-
-    quoted: whether the value was text in the log; without it, values with a point count as floats.
-    """
-    whole = F.when(c.rlike(INTEGER), c.try_cast("bigint"))
-    real = c.try_cast("double").cast("bigint")
-    if quoted is not None:
-        return F.coalesce(F.when(quoted, whole).otherwise(F.coalesce(whole, real)), F.lit(0))
-    return F.coalesce(whole, real, F.lit(0))
+def _kind(name: str) -> Column:
+    """The JSON type of a field: STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, ...; null where it is missing."""
+    return F.schema_of_variant(F.try_variant_get("record", f"$.{name}", "variant"))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("raw").rlike(rf'"{name}"\s*:\s*"')
+def field_int64(name: str) -> Column:
+    """Integers as they are, other numbers cut off, text only if it is an integer; else 0."""
+    kind, text = _kind(name), F.try_variant_get("record", f"$.{name}", "string")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    found = F.when(number, F.try_variant_get("record", f"$.{name}", "bigint")).when((kind == "STRING") & text.rlike(INTEGER), text.try_cast("bigint"))
+    return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
 def route(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """OCR events and reliability events; the exact message wins over the prefix, others are left out."""
     at = log_time(F.col("time")).alias("recorded_at")
-    num = lambda n: field_int64(F.col(n), _quoted(n)).alias(n)
+    num = lambda n: field_int64(n).alias(n)
     text = lambda n: field_string(F.col(n)).alias(n)
     ocr = records.where(F.col("msg") == FALLBACK).select(at, *(text(n) for n in ("job_id", "file", "lang", "target", "extraction_failure_reason", "outcome")), *(num(n) for n in ("extract_ms", "ocr_ms", "translate_ms", "total_ms")))
     other = records.where((F.col("msg") != FALLBACK) & (F.col("msg").startswith("litellm_") | F.col("msg").startswith("ocr_")))
@@ -72,8 +69,8 @@ def route(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _integer(name: str) -> Column:
-    """The value only if it was a bare integer in the log."""
-    return F.when(F.col(name).rlike(INTEGER) & ~_quoted(name), F.col(name).try_cast("bigint"))
+    """The value only if it is an integer in the log, not text."""
+    return F.when(_kind(name) == "BIGINT", F.try_variant_get("record", f"$.{name}", "bigint"))
 
 
 def chunk_log_summary(records: DataFrame, deduplicated: bool = False) -> DataFrame:

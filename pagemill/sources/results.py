@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def explode_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array, or JSON lines."""
-    head = spark.read.text(path, wholetext=True).select(F.trim("value").startswith("[")).first()
+    head = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").startswith("[")).first()  # the first line with text
     return spark.read.schema(MANIFEST).json(path, multiLine=bool(head and head[0]))
 
 
@@ -59,9 +61,51 @@ def check_snapshot(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("score_above_one", F.exists(scores, lambda s: s > 1)).withColumn("valid", (F.size("reasons") == 0) & ~F.col("score_above_one"))
 
 
-def write_events(events: DataFrame, path: str, column: str = "recorded_at") -> None:
-    """Append, partitioned by day."""
-    events.withColumn("event_date", F.to_date(column)).write.partitionBy("event_date").mode("append").parquet(path)
+def write_events(events: DataFrame, path: str, column: str = "recorded_at", batch: int | None = None) -> None:
+    """Append, partitioned by day. With a batch number also by batch, and what that batch has written before is replaced."""
+    d = events.withColumn("event_date", F.to_date(column))
+    if batch is None:
+        d.write.partitionBy("event_date").mode("append").parquet(path)
+    else:
+        d.withColumn("batch", F.lit(batch).cast("long")).write.partitionBy("event_date", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def prune_events(spark: SparkSession, path: str, as_of: datetime, retention: timedelta = timedelta(days=30), column: str = "recorded_at", inner: tuple[str, ...] = ()) -> int:
+    """Delete the rows of a table by day (see :func:`write_events`) that are older than the retention; their number.
+
+    Whole days before the cutoff's day lose their folders. Of that day, the rows that stay are written beside the table and then take
+    its folder's place. A run that stopped half way is taken up by the next one: if the old folder is there, what was
+    written beside is thrown away; if it is gone, that takes its place. Rows at the cutoff stay, and so do rows without a time.
+    ``inner``: columns that partition the days further.
+    """
+    cutoff = as_of - retention
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    beside = f"{path.rstrip('/')}/_retention"
+    if fs.exists(at(beside)):
+        for f in fs.listStatus(at(beside)):
+            day = f.getPath().getName()
+            if not fs.exists(at(f"{path}/{day}")) and fs.exists(at(f"{beside}/{day}/_SUCCESS")):
+                fs.rename(f.getPath(), at(f"{path}/{day}"))
+        fs.delete(at(beside), True)
+    day = F.to_date(F.col("event_date").cast("string"))
+    table = spark.read.parquet(path)
+    edge = f"event_date={cutoff.date().isoformat()}"
+    gone = table.where(day < F.lit(cutoff.date())).groupBy(day.cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each day
+    at_edge = table.where(day == F.lit(cutoff.date()))
+    old, kept = at_edge.agg(F.count(F.when(F.col(column) < F.lit(cutoff), 1)), F.count(F.when(~F.coalesce(F.col(column) < F.lit(cutoff), F.lit(False)), 1))).first()
+    if old and kept:
+        rest = at_edge.where(~F.coalesce(F.col(column) < F.lit(cutoff), F.lit(False))).drop("event_date")
+        rest.write.partitionBy(*inner).parquet(f"{beside}/{edge}") if inner else rest.write.parquet(f"{beside}/{edge}")
+    for r in gone:
+        fs.delete(at(f"{path}/event_date={r.day}"), True)
+    if old:
+        fs.delete(at(f"{path}/{edge}"), True)
+        if kept:
+            fs.rename(at(f"{beside}/{edge}"), at(f"{path}/{edge}"))
+    fs.delete(at(beside), True)
+    return sum(r.n for r in gone) + old
 
 
 def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:

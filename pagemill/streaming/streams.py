@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.lifecycle import pipeline_snapshot
 from ..operators.providers import provider_health
 from ..sources.logs import parse_log_lines, route
+from ..sources.results import write_events
 
 WATERMARK = "10 minutes"
 
@@ -21,16 +22,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def route_logs(lines: DataFrame, ocr_path: str, reliability_path: str, checkpoint: str):
-    """Both event tables from one stream of log lines."""
+def log_writer(ocr_path: str, reliability_path: str):
+    """Writes a batch of log lines to both event tables, in partitions of the day and the batch.
+
+    A batch that is run again, because a failure came between the two writes or before the stream's own commit, overwrites its
+    partitions: every line is in its table once.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        kept = parse_log_lines(batch).persist()
+    def write(batch: DataFrame, n: int) -> None:
+        kept = parse_log_lines(batch)
         for df, path in zip(route(kept), (ocr_path, reliability_path), strict=True):
-            df.withColumn("event_date", F.to_date("recorded_at")).write.partitionBy("event_date").mode("append").parquet(path)
-        kept.unpersist()
+            write_events(df, path, batch=n)
+
+    return write
+
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def route_logs(lines: DataFrame, ocr_path: str, reliability_path: str, checkpoint: str):
+    """Both event tables from one stream of log lines, each line exactly once."""
+    return lines.writeStream.foreachBatch(log_writer(ocr_path, reliability_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hourly(events: DataFrame, *by: str, column: str = "recorded_at") -> DataFrame:
@@ -63,7 +72,7 @@ class Hold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", "since long, last long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         since, last = self.run.get() if self.run.exists() else (None, None)
         for r in pd.concat(list(rows)).sort_values("evaluated").itertuples():
@@ -123,33 +132,48 @@ def provider_scores(attempts: DataFrame, path: str, checkpoint: str):
 
 
 class JobState(StatefulProcessor):
-    """Emits a job when its status or stage changes; ten minutes of event time without news in work make it stuck; a terminal status closes it."""
+    """Emits a job when its status or stage changes; ten minutes of event time without news in work make it stuck; a terminal status closes it.
+
+    A job is forgotten 24 hours after its last news, or after its end: rows up to then say nothing about a closed job, later ones
+    begin it anew. Timers delete what has been forgotten, and are themselves deleted when news move them, so state holds the jobs of one day.
+    """
 
-    STUCK = 10 * 60 * 1000
+    STUCK, TTL = 10 * 60 * 1000, 24 * 60 * 60 * 1000
+    TERMINAL = ("completed", "failed")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, stage string, due long")
+        self.last = handle.getValueState("last", "status string, stage string, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def _due(self, state: tuple) -> list[int]:
+        return [state[2] + self.TTL, *([state[2] + self.STUCK] if state[0] == "processing" else [])]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        old = self.last.get() if self.last.exists() else None
+        before = old = self.last.get() if self.last.exists() else None
         for r in pd.concat(list(rows)).sort_values(["updated_at", "event_id"]).itertuples():
-            if old is not None and old[0] in ("completed", "failed"):
-                break
+            at = r.updated_at.value // 1_000_000
+            if old is not None and at > old[2] + self.TTL:
+                old = None
+            if old is not None and old[0] in self.TERMINAL:
+                continue
             if old is None or (old[0], old[1]) != (r.status, r.stage):
                 out.append((key[0], r.status, r.stage))
-            old = (r.status, r.stage, r.updated_at.value // 1_000_000 + self.STUCK)
-        self.last.update(old)
-        if old[0] == "processing":
-            self.handle.registerTimer(old[2])
+            old = (r.status, r.stage, at)
+        if old != before:
+            for due in self._due(before) if before is not None else ():
+                self.handle.deleteTimer(due)
+            self.last.update(old)
+            for due in self._due(old):
+                self.handle.registerTimer(due)
         yield pd.DataFrame(out, columns=["job_id", "status", "stage"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        old = self.last.get() if self.last.exists() else None
-        # a timer set before the last news says nothing
-        if old is not None and old[0] == "processing" and old[2] <= expired.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        old, now = self.last.get() if self.last.exists() else None, expiredTimerInfo.getExpiryTimeInMs()
+        if old is not None and old[0] == "processing" and old[2] + self.STUCK == now:
             yield pd.DataFrame({"job_id": [key[0]], "status": ["stuck"], "stage": [old[1]]})
+        elif old is not None and old[2] + self.TTL <= now:
+            self.last.clear()
 
     def close(self) -> None:
         pass
@@ -161,6 +185,9 @@ def job_states(jobs: DataFrame) -> DataFrame:
 
 
 def job_changes(jobs: DataFrame) -> DataFrame:
-    """As :func:`job_states`, but only real changes, with timers for stuck jobs; one state round trip per job and batch."""
-    d = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", WATERMARK)
+    """As :func:`job_states`, but only real changes, with timers for stuck and forgotten jobs; one state round trip per job and batch.
+
+    Rows without a time have no place in a job's course and are left out.
+    """
+    d = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).where("updated_at IS NOT NULL").withWatermark("updated_at", WATERMARK)
     return d.groupBy("job_id").transformWithStateInPandas(JobState(), "job_id string, status string, stage string", "Append", "EventTime")
