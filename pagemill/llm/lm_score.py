@@ -466,67 +466,79 @@ class _Chunk:
         trained, vocabulary, trained_docs, hot = stats
         self.lengths = _unpack(row["lengths"]).astype(np.int64)
         self.held = np.frombuffer(row["held"], np.uint8)
-        tokens = _unpack(row["tokens"]).astype(np.int64)
-        word_id, self.counts = [], []
+        word_id, counts = [], []
         for p in ids:
             n = int.from_bytes(p[:8], "little")
             word_id.append(_unpack(p[8 : 8 + n]))
-            self.counts.append(_unpack(p[8 + n :]))
+            counts.append(_unpack(p[8 + n :]))
         word_id = np.concatenate([*word_id, np.array([BOS, END], np.uint64)])
-        counts = np.concatenate([*self.counts, np.array([trained_docs] * 2, np.uint64)]).astype(np.int64)
+        counts = np.concatenate([*counts, np.array([trained_docs] * 2, np.uint64)]).astype(np.int64)
         n, docs = len(counts) - 2, len(self.lengths)
         # two starts, the words and an end for each document
-        seq = np.full(len(tokens) + 3 * docs, n, np.int64)
+        seq = np.full(int(self.lengths.sum()) + 3 * docs, n, np.int32)
         ends = np.cumsum(self.lengths + 3) - 1
         seq[ends] = n + 1
-        inside = np.ones(len(seq), bool)
-        inside[ends] = inside[ends - self.lengths - 1] = inside[ends - self.lengths - 2] = False
-        seq[inside] = tokens
+        predicted = np.ones(len(seq), bool)
+        predicted[ends] = predicted[ends - self.lengths - 1] = predicted[ends - self.lengths - 2] = False
+        seq[predicted] = _unpack(row["tokens"])
+        predicted[ends] = True
         self.base = np.log10(counts + 0.5) - np.log10(trained + 0.5 * (vocabulary + 1))
-        keys = keyed(word_id, (counts + 0.5) / (trained + 0.5 * (vocabulary + 1)))
-        self.keys, code = np.unique(keys, return_inverse=True)
+        self.trained = counts > 0
+        self.keys, code = np.unique(keyed(word_id, (counts + 0.5) / (trained + 0.5 * (vocabulary + 1))), return_inverse=True)
         occurs = np.zeros(len(self.keys), np.int64)
         occurs[code] = counts
-        predicted = inside.copy()
-        predicted[ends] = True
-        at = np.flatnonzero(predicted)
+        at = np.flatnonzero(predicted).astype(np.int32)
+        del predicted
         self.tokens = seq[at]
-        self.known = counts[self.tokens] > 0
-        self.predicted = np.cumsum(self.lengths + 1) - self.lengths - 1  # where each document starts among the predicted tokens
-        x, size = code[seq], len(self.keys)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1  # where each document starts among the predicted tokens
+        x, size = code.astype(np.int32)[seq], len(self.keys)
+        del seq
+        key = x[at - 1].astype(np.int64)
+        key *= size
+        key += x[at - 2]
         if size < 1 << 21:
-            triple, self.of = np.unique((x[at - 1] * size + x[at - 2]) * size + x[at], return_inverse=True)
+            key *= size
+            key += x[at]
+            triple, of = np.unique(key, return_inverse=True)
             v, u, w = triple // (size * size), triple // size % size, triple % size
         else:  # three codes do not fit 63 bits
-            pair, of_pair = np.unique(x[at - 1] * size + x[at - 2], return_inverse=True)
-            triple, self.of = np.unique(of_pair * size + x[at], return_inverse=True)
+            pair, key = np.unique(key, return_inverse=True)
+            triple, of = np.unique(key * size + x[at], return_inverse=True)
             v, u, w = pair[triple // size] // size, pair[triple // size] % size, triple % size
-        kept = np.repeat(self.held == 0, self.lengths + 1)
-        c = np.bincount(self.of[kept], minlength=len(triple))
+        del key, triple, x, at
+        self.of = of.astype(np.int32)
+        c = np.bincount(self.of[np.repeat(self.held == 0, self.lengths + 1)], minlength=len(v))
         ident = self.keys & _U((1 << _ID_BITS) - 1)
-        parts = np.maximum(1, -(-occurs[v] // hot)).astype(np.uint64)
-        part = splitmix(ident[u]) % parts
-        shard = (splitmix(splitmix(ident[v]) ^ part) % _U(shards)).astype(np.int64)
+        mixed, parts = splitmix(ident), np.maximum(1, -(-occurs // hot)).astype(np.uint64)
+        part = mixed[u] % parts[v]
+        shard = (splitmix(mixed[v] ^ part) % _U(shards)).astype(np.int64)
         shard[ident[v] == UNKNOWN] = -1  # nothing is known after an unknown word
-        self.order = np.argsort(shard, kind="stable")
-        self.shard, self.c = shard[self.order], c[self.order]
-        self.v, self.u, self.w = (self.keys[k[self.order]] for k in (v, u, w))
-        self.v = np.where(parts[self.order] > 1, self.v ^ (part[self.order] << _U(_ID_BITS)), self.v)
+        self.order = np.argsort(shard, kind="stable").astype(np.int32)
+        self.shard, self.c, self.part = shard[self.order], c[self.order].astype(np.int32), part[self.order].astype(np.int32)
+        self.v, self.u, self.w = (k[self.order].astype(np.int32) for k in (v, u, w))
 
     def payloads(self, shards: int) -> Iterator[tuple[int, bytes]]:
         cuts = np.searchsorted(self.shard, np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             mine = slice(cuts[s], cuts[s + 1])
-            yield int(s), _pack_trigrams(self.v[mine], self.u[mine], self.w[mine], self.c[mine])
+            v, u, w = (self.keys[k[mine]] for k in (self.v, self.u, self.w))
+            # the classes of a frequent word are contexts of their own; a shard may have several, so its entries are sorted again
+            v ^= self.part[mine].astype(np.uint64) << _U(_ID_BITS)
+            yield int(s), _pack_trigrams(v, u, w, self.c[mine])
 
     def scores(self, answers: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For each document: tokens, base score, score, known tokens."""
         unknown = int(np.searchsorted(self.shard, 0))
-        got = np.concatenate([np.rint(own_logp(self.w[:unknown]) * STEP), *(_unpack(a).astype(np.float64) for a in answers)])
-        q = np.empty(len(got))
-        q[self.order] = got
-        at = self.predicted
-        sums = [np.add.reduceat(x, at) if len(at) else x for x in (self.base[self.tokens], -q[self.of] / STEP, self.known.astype(np.int64))]
-        return self.lengths + 1, *sums
+        q = np.empty(len(self.order), np.int32)
+        q[self.order[:unknown]] = np.rint(own_logp(self.keys[self.w[:unknown]]) * STEP)
+        at = unknown
+        for a in answers:
+            got = _unpack(a)
+            q[self.order[at : at + len(got)]] = got
+            at += len(got)
+        total = lambda x, kind: np.add.reduceat(x, self.starts, dtype=kind) if len(self.starts) else np.zeros(0, kind)
+        model = -total(q[self.of], np.int64) / STEP
+        return self.lengths + 1, total(self.base[self.tokens], np.float64), model, total(self.trained[self.tokens], np.int64)
 
 
 def _answers(rows: list[tuple[int, bytes]], fixed: tuple[float, float, float] | None) -> tuple[bytes, list[bytes]]:
