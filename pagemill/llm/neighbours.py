@@ -6,12 +6,13 @@ pivots with its place there. A query reads the files of its own nearest pivots;
 the shifts of places, a missing pivot counting as place LENGTH) ranks the vectors, and of each shard the best
 ``SHARE`` (at least ``LEAST``) are ranked again by their true distance.
 
-The rows are dealt to shards of about ``SHARD`` by a hash of vec_id, the queries to blocks of about ``BLOCK``, and
-each pair of shard and block is one task group. Recall against brute force is measured in the tests.
+Rows have a number of their own, which the written index keeps. They are dealt to shards of about ``SHARD`` by it, each vector once;
+the queries, one row in 100, are copied to every shard, where a task holds the shard's files and lets the queries stream past. Recall
+against brute force is measured in the tests.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with null
 vec_id, take no part; vectors of another length than the most frequent one take no part either; with fewer than
-``K`` candidates all are returned. A repeated vec_id is its own row; a query never finds rows of its own id.
+``K`` candidates all are returned. Rows that share a vec_id are rows like others: each one that asks has ranks of its own, and finds the others.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import materialise
 
 PIVOTS, LENGTH = 256, 128
 SHARE, LEAST = 0.1, 500
-SHARD, BLOCK = 8192, 2048
+SHARD = 8192
 K = 10
 EVERY = 100
 
@@ -80,12 +81,12 @@ def search(rows: DataFrame, k: int = K) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not widths:
         return rows.sparkSession.createDataFrame([], schema)
-    d = materialise(d.where(F.size("v") == widths[0].w), "vectors")
+    d = materialise(d.where(F.size("v") == widths[0].w).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = d.count()
     # a bounded sample: PIVOTS distinct vectors
     chosen = d.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS)
     pivots = rows.sparkSession.sparkContext.broadcast(np.array([r.v for r in chosen.collect()]))
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // (EVERY * BLOCK)))
+    shards = max(1, -(-n // SHARD))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,38 +94,55 @@ def search(rows: DataFrame, k: int = K) -> DataFrame:
                 o = orders(_matrix(pa.chunked_array([b.column(1)])), pivots.value)
                 width = o.shape[1]
                 at = pa.array(np.arange(0, o.size + 1, width, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(o.ravel()))], ["vec_id", "v", "pivots"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(o.ravel()))], ["vec_id", "v", "row", "pivots"])
 
     # written once: both sides below read it
-    indexed = materialise(d.mapInArrow(index, "vec_id long, v array<double>, pivots array<short>"), "permutations")
-    draw = F.xxhash64("vec_id", F.lit(1))
-    base = indexed.withColumn("shard", F.pmod(draw, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = indexed.where(F.col("vec_id") % EVERY == 0).withColumn("block", F.pmod(draw, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
-            files = InvertedFiles(_matrix(left.column("pivots")), len(pivots.value))
-            keep = min(len(ids), max(LEAST, int(SHARE * len(ids))))
-            for q, x, o in zip(right.column("vec_id").to_numpy(), _matrix(right.column("v")), _matrix(right.column("pivots")), strict=True):
-                ranked = files.footrule(o)
-                ranked[ids == q] = np.iinfo(np.int64).max
-                # ties by vec_id: the rows are sorted by it
-                best = np.argsort(ranked * len(ids) + np.arange(len(ids)) if ranked.max() < 1 << 40 else ranked, kind="stable")[:keep] if keep * 4 > len(ids) else _smallest(ranked, keep)
-                best = best[ids[best] != q]
-                far = np.sqrt(((v[best] - x) ** 2).sum(1))
-                first = np.lexsort((ids[best], far))[:k]
-                out += [(int(q), int(ids[best[j]]), float(far[j])) for j in first]
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
-
-    cols = ["shard", "block"]
-    found = base.groupBy(*cols).cogroup(asked.groupBy(*cols)).applyInArrow(near, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    indexed = materialise(d.mapInArrow(index, "vec_id long, v array<double>, row long, pivots array<short>"), "permutations")
+    base = indexed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    asked = indexed.where(F.col("vec_id") % EVERY == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+    dealt = base.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks", "vec_id", "row")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, files = None, [], None
+        ids = own = v = None
+        for b in batches:
+            of, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(lo, hi - lo)
+                if of[lo] != shard:
+                    shard, held, files = of[lo], [], None
+                if not asks[lo]:
+                    held.append(part)
+                    continue
+                if files is None and held:
+                    whole = pa.Table.from_batches(held)
+                    ids, own, v = whole.column("vec_id").to_numpy(), whole.column("row").to_numpy(), _matrix(whole.column("v"))
+                    files, held = InvertedFiles(_matrix(whole.column("pivots")), len(pivots.value)), []
+                if files is not None:
+                    yield _answers(part, ids, own, v, files, k)
+
+    found = dealt.mapInArrow(near, "row long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _answers(queries: pa.RecordBatch, ids: np.ndarray, own: np.ndarray, v: np.ndarray, files: InvertedFiles, k: int) -> pa.RecordBatch:
+    """The k nearest rows of a shard, sorted by vec_id, that each query finds in it."""
+    keep = min(len(ids), max(LEAST, int(SHARE * len(ids))))
+    asked, out = pa.Table.from_batches([queries]), []
+    for row, q, x, o in zip(asked.column("row").to_numpy(), asked.column("vec_id").to_numpy(), _matrix(asked.column("v")), _matrix(asked.column("pivots")), strict=True):
+        ranked = files.footrule(o)
+        ranked[own == row] = np.iinfo(np.int64).max
+        best = _smallest(ranked, keep)
+        best = best[own[best] != row]
+        far = np.sqrt(((v[best] - x) ** 2).sum(1))
+        first = np.lexsort((ids[best], far))[:k]
+        out.append((np.full(len(first), row), np.full(len(first), q), ids[best[first]], far[first]))
+    names = ["row", "query_id", "vec_id", "score"]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+
 def _smallest(values: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest values, ties by place."""
     limit = np.partition(values, n - 1)[n - 1]

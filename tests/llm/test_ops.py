@@ -273,6 +273,23 @@ def test_few_vectors(spark):
     assert sorted((x.query_id, x.rank, x.vec_id) for x in few) == [(0, 1, 100), (0, 2, 5), (100, 1, 0), (100, 2, 5)]
 
 
+def test_neighbours_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 40)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(150, 6))
+    ids = [int(i) for i in r.integers(0, 30, 150) * 50]
+    v[5], ids[5] = v[4], ids[4]  # a repeated row
+    ids[6] = ids[7] = 100
+    rows = [(i, x.tolist(), 1, "s") for i, x in zip(ids, v, strict=True)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int, shard string")).collect()
+    want = []
+    for a in range(150):
+        if ids[a] % 100 == 0:
+            far = sorted((float(np.sqrt(((v[b] - v[a]) ** 2).sum())), ids[b]) for b in range(150) if b != a)[:10]
+            want += [(ids[a], n + 1, i, d) for n, (d, i) in enumerate(far)]
+    assert sorted((x.query_id, x.rank, x.vec_id, round(x.score, 9)) for x in got) == sorted((q, n, i, round(d, 9)) for q, n, i, d in want)
+
+
 # --- tokens, files, packing
 
 
