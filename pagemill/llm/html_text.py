@@ -2,12 +2,14 @@
 
 A page becomes a small tree of elements. Elements that are never part of an article go first: by name (menus,
 asides, forms, scripts, ...) or by a word of their class, id or role (sidebar, advert, comments, ...), unless
-they hold a main element, an article or most of the page's text; page headers and footers go unless an article holds
-them. For every node left, with C characters, LC of them in links, T tags and LT link tags, the density is ``C / T *
+they hold a main element or, on a page without a main element or article elsewhere, an article or most of the page's text; page headers and
+footers go unless an article holds them. Inside of a main element or article, only a container goes by its class, and only by a
+class word that says nothing but that (``notice``, ``notice-box``, but not ``notice-board``); buttons, labels and formulas in
+its prose stay. For every node left, with C characters, LC of them in links, T tags and LT link tags, the density is ``C / T *
 log(C / LC * T / LT + 1) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e) + 1)``, where a zero count becomes 1. A node's score is the sum of its children's
 densities. The node of the largest score is the article, widened to the outermost ``article`` or ``main`` element
 around it; the least density on its path to the body is the threshold for what stands beside that path: elements
-of any name next to it whose density reaches the threshold are taken as well.
+of any name next to it whose density reaches the threshold are taken as well, and so is an ``h1`` right before it.
 
 Texts of block elements are joined by one blank in page order; white space inside a block becomes one blank,
 character references are decoded. Nothing else is dropped. Defined results: null, empty and textless pages give
@@ -38,40 +40,47 @@ MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 PIECES = re.compile(r"[a-z]+", re.I)
 #: Class words that begin so say how a page is laid out, not what the element is.
 LAYOUT = ("no-", "has-", "with-", "without-")
+#: Beside a mark in a class word, these say no more than the mark alone.
+WRAPPERS = frozenset("area bar block box btn button buttons col column container content group holder inner item items left links list main outer panel right section slot top bottom unit wrap wrapper post posts page".split())
+#: Elements that a class alone does not take out of an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th span em strong b i a code figcaption".split())
+#: Dropped elements whose words stay in the prose of an article.
+IN_PROSE = frozenset("button label math fieldset".split())
 #: A marked element with at least this share of a page's text is the page, not a part beside the article.
 WHOLE_PAGE = 0.8
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "gone", "marked", "chars", "links", "tags", "link_tags", "density")
+    __slots__ = ("name", "parent", "children", "gone", "marked", "inside", "prose", "chars", "links", "tags", "link_tags", "density")
 
     def __init__(self, name: str, parent: Node | None, gone: bool, marked: bool = False) -> None:
         self.name, self.parent, self.gone, self.marked = name, parent, gone, marked
+        #: Whether it is (in) a main element or an article, and (in) an element of prose.
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
+        self.prose = name in PROSE or parent is not None and parent.prose
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = 0.0
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, strict: bool) -> bool:
+    """Whether a class word, id or role marks the element; strictly, only by words of marks and wrappers."""
     for m in MARKED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for word in value.split():
             if word.lower().startswith(LAYOUT):
                 continue
-            pieces = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word)
-            if any(p.lower() in MARKS for p in PIECES.findall(pieces)):
+            pieces = [p.lower() for p in PIECES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word))]
+            if any(p in MARKS for p in pieces) and (not strict or all(p in MARKS or p in WRAPPERS for p in pieces)):
                 return True
     return False
 
 
 def _unwanted(name: str, parent: Node) -> bool:
     if name in DROPPED:
-        return True
+        return not (name in IN_PROSE and parent.inside and (name == "fieldset" or parent.prose))
     if name in ("header", "footer"):
-        p = parent
-        while p is not None and p.name not in ("article", "main"):
-            p = p.parent
-        return p is None or name == "footer"
+        return name == "footer" or not parent.inside
     return False
 
 
@@ -118,7 +127,9 @@ def parse(page: str) -> Node:
         if name in CLOSED_BY:
             names, stop = CLOSED_BY[name]
             pop_to(names.split(), stop)
-        marked = "=" in attributes and name != "main" and _marked(attributes)
+        marked = False
+        if "=" in attributes and name != "main":
+            marked = not (here.inside and name in PROSE) and _marked(attributes, here.inside)
         node = Node(name, here, here.gone or _unwanted(name, here), marked)
         here.children.append(node)
         if name in VOID or attributes.endswith("/"):
@@ -142,17 +153,22 @@ def _left(root: Node) -> list[Node]:
 
 
 def drop_marked(root: Node) -> None:
-    """Marked elements go, unless they hold a main element or an article that is not marked.
+    """Marked elements go, unless they hold a main element, or an article that is not marked where none is elsewhere.
 
     Where a page has neither, marked articles and elements with most of its text stay too.
     """
     chars: dict[int, int] = {}
-    holds: set[int] = set()
     order = _left(root)
+    under: set[int] = set()  # in a marked element
+    for node in order:
+        if node.marked or node.parent is not None and id(node.parent) in under:
+            under.add(id(node))
+    free = any(node.name in ("main", "article") and id(node) not in under for node in order)
+    holds: set[int] = set()
     for node in reversed(order):
         inside = [c for c in node.children if isinstance(c, Node) and not c.gone]
         chars[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inside)
-        if node.name == "main" or node.name == "article" and not node.marked or any(id(c) in holds for c in inside):
+        if node.name == "main" or node.name == "article" and not node.marked and (not free or id(node) not in under) or any(id(c) in holds for c in inside):
             holds.add(id(node))
     for node in order:
         if node.marked and id(node) not in holds:
@@ -217,9 +233,10 @@ def main_text(page: str | None) -> str:
     path = path[max((i for i, p in enumerate(path) if p.name in ("article", "main")), default=0) :]
     threshold = min(p.density for p in path)
     taken, on_path = {id(path[0])}, {id(p) for p in path[1:]}
-    for p in path[1:]:
-        for c in p.children:
-            if isinstance(c, Node) and not c.gone and id(c) not in on_path and c.chars and c.density >= threshold:
+    for below, p in zip(path, path[1:], strict=False):
+        beside = [c for c in p.children if isinstance(c, Node) and not c.gone and c.chars]
+        for c, following in zip(beside, [*beside[1:], None], strict=True):
+            if c is not below and (c.density >= threshold or c.name == "h1" and following is below):
                 taken.add(id(c))
     out: list[str] = []
 

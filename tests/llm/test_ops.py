@@ -239,6 +239,18 @@ def test_extract_keeps_every_page(spark):
     assert got[1] == ("a b", 3) and got[None] == ("", 0) and got[2][1] == 39999
 
 
+def test_marks_inside_and_beside_an_article():
+    w = "word " * 40
+    inside = f'<article><p>{w}</p><p class="side effects">effects</p><div class="notice-board">board</div><div class="notice-box">gone</div><p>Press <button>Start</button> by the <label>Label</label>.</p></article>'
+    text = html_text.main_text(inside)
+    assert all(x in text for x in ("effects", "board", "Press Start by the Label.")) and "gone" not in text
+    comments = f'<div id="comments"><article><p>reader {w}</p></article></div>'
+    assert "reader" not in html_text.main_text(f"<body><main><p>{w}</p></main>{comments}</body>")
+    assert "reader" in html_text.main_text(f"<body>{comments}</body>")
+    assert html_text.main_text(f"<body><div><h1>The title</h1><div><p>{w}</p><p>{w}</p></div></div></body>").startswith("The title word")
+    assert html_text.main_text('<div class="x">' * 100_000 + w) == w.strip()
+
+
 # --- neighbours
 
 
