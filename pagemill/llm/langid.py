@@ -1,9 +1,9 @@
 """Operator 10: language identification by n-gram filters with language bitmasks.
 
 Texts are lower-cased and everything but letters becomes one blank; the n-grams are the trigrams of code
-points of that, word edges included. A trigram is stored for a language when its share of the language's
-trigrams is at least ``RATIO`` of its largest share in any language. All languages lie in one bit-sliced
-Bloom filter of one bit per slot and language, with at least ``PER_GRAM`` slots for each trigram of the largest language and ``HASHES`` slots per trigram; the AND of a trigram's slots
+points of that, word edges included. A language's profile is its ``PROFILE`` most frequent trigrams, ties by code points, so the model
+has a bound whatever it is learnt from; a trigram is stored for every language that has it in its profile. All languages lie in one bit-sliced
+Bloom filter of ``SLOTS`` slots, with one bit per slot and language and ``HASHES`` slots per trigram; the AND of a trigram's slots
 has the bits of all languages that contain it. For a document the bits are counted per language, corrected
 by the language's false-positive rate (its fill to the power of ``HASHES``), and the largest share wins; ties go to the first
 language by code point. The score is that share over the sum of all.
@@ -20,17 +20,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, materialise, splitmix
 
 FOLDS, HELD_OUT = 4, 2
-RATIO = 0.3
-LEAST = 3
-#: The filter has at least this many slots for each trigram of the language that has most.
-PER_GRAM = 8
-LEAST_SLOTS = 1 << 16
+PROFILE = 1000
+#: 512 KB for each 63 languages.
+SLOTS = 1 << 16
 HASHES = 3
 PER_WORD = 63
 CHUNK = 1 << 20
@@ -122,27 +120,21 @@ def counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages and the filter: (words of PER_WORD languages, slots) masks.
 
-    The number of slots follows the trigrams of the language that has most, so that no language fills more than
-    HASHES / PER_GRAM of them, however much text is learnt from.
+    A language's profile is its ``PROFILE`` most frequent trigrams, so that the filter has one size however much text is learnt from. All
+    of a trigram's languages are in it.
     """
-    found = materialise(counts(docs), "trigrams")
-    totals = found.groupBy("lang").agg(F.sum("n").alias("all"))
-    langs = sorted((r.lang for r in totals.collect()), key=lambda x: x.encode())  # one row per language
+    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    members = materialise(counts(docs).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PROFILE).select("lang", "gram"), "lang-grams")
+    langs = sorted((r.lang for r in members.select("lang").distinct().collect()), key=lambda x: x.encode())  # one row per language
     if not langs:
         return [], np.zeros((1, 1), np.uint64)
-    share = found.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("all"))  # one row per language
-    most = share.groupBy("gram").agg(F.max("share").alias("most"), F.sum("n").alias("times"))
-    members = share.join(most, "gram").where((F.col("times") >= LEAST) & (F.col("share") >= RATIO * F.col("most"))).select("lang", "gram")
-    members = materialise(members, "lang-grams")
-    most = members.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    size = 1 << max(LEAST_SLOTS.bit_length() - 1, (PER_GRAM * most - 1).bit_length() if most else 0)
-    table = np.zeros((max(1, -(-len(langs) // PER_WORD)), size), np.uint64)
+    table = np.zeros((max(1, -(-len(langs) // PER_WORD)), SLOTS), np.uint64)
     index = {x: i for i, x in enumerate(langs)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
-            at = np.concatenate(slots(b.column(1).to_numpy(), size))
+            at = np.concatenate(slots(b.column(1).to_numpy(), SLOTS))
             i = np.tile(i, HASHES)
             yield pa.RecordBatch.from_arrays([pa.array(i // PER_WORD), pa.array(at), pa.array(np.int64(1) << (i % PER_WORD))], ["word", "slot", "bit"])
 
@@ -153,7 +145,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    held = docs.sparkSession.sparkContext.broadcast((langs, table))  # PER_GRAM to 2 * PER_GRAM masks for each trigram of one language
+    held = docs.sparkSession.sparkContext.broadcast((langs, table))  # SLOTS masks for each 63 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = held.value

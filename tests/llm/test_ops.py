@@ -477,8 +477,10 @@ def test_trigrams_of_long_texts_are_those_of_the_whole(monkeypatch):
             assert Counter(np.concatenate(list(langid._chunks(text))).tolist()) == want, (text, chunk)
 
 
-def test_languages_match_exact_sets(spark):
-    """The filters, corrected for false positives, against the exact sets they stand for."""
+@pytest.mark.parametrize("profile", [60, langid.PROFILE])
+def test_languages_match_exact_sets(spark, monkeypatch, profile):
+    """The filters, corrected for false positives, against the exact profiles they stand for."""
+    monkeypatch.setattr(langid, "PROFILE", profile)
     r = random.Random(18)
     make = {"xx": "aeiout", "yy": "aeioub", "zz": "klmnoae"}
     lang = [r.choice(list(make)) for _ in range(200)]
@@ -488,9 +490,7 @@ def test_languages_match_exact_sets(spark):
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 4 != 2:
             counts[lang[i]].update(_plain_trigrams(t))
-    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
-    most = {g: max(share[x].get(g, 0) for x in make) for c in counts.values() for g in c}
-    sets = {x: {g for g, v in share[x].items() if v >= langid.RATIO * most[g] and sum(counts[y][g] for y in make) >= langid.LEAST} for x in make}
+    sets = {x: {g for g, _ in sorted(c.items(), key=lambda e: (-e[1], e[0]))[:profile]} for x, c in counts.items()}
     got = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(d).collect()}
     for i, t in enumerate(texts):
         grams = _plain_trigrams(t)
@@ -499,7 +499,8 @@ def test_languages_match_exact_sets(spark):
         assert got[i][1] == pytest.approx(part[best] / sum(part.values()), abs=0.02)
         assert got[i][0] == best or part[best] - sorted(part.values())[-2] < 0.03
     langs, table = langid.learn(d)
-    assert max(((table[0] >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(langs))) <= langid.HASHES / langid.PER_GRAM
+    filled = [((table[0] >> np.uint64(k)) & np.uint64(1)).sum() for k in range(len(langs))]
+    assert all(0 < n <= langid.HASHES * profile for n in filled) and table.size == langid.SLOTS
 
 
 def test_likeness_follows_the_sets():
