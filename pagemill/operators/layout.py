@@ -147,7 +147,8 @@ def box_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
     d = joined(entered(a, "a_"), entered(b, "b_"), [*PAGE, "level", "cx", "cy"])
     corner = lambda c, m: F.floor(F.greatest(f"a_g{c}", f"b_g{c}") / (F.col(m) * F.pow(F.lit(4.0), F.col("level"))))
     d = d.where((F.col("level") == F.greatest("a_home", "b_home")) & (corner("x1", "mw") == F.col("cx")) & (corner("y1", "mh") == F.col("cy")))
-    return d.select(*(f"a_{c}" for c in a.columns), *(f"b_{c}" for c in b.columns))
+    meet = lambda s, t: (F.col(f"{s}_x1") - reach <= F.col(f"{t}_x2") + reach) & (F.col(f"{s}_y1") - reach <= F.col(f"{t}_y2") + reach)
+    return d.where(meet("a", "b") & meet("b", "a")).select(*(f"a_{c}" for c in a.columns), *(f"b_{c}" for c in b.columns))
 
 
 def _proper(blocks: DataFrame) -> DataFrame:
