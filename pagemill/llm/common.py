@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 #: Functions that free what this worker process remembers between tasks.
 CACHES: list[Callable[[], None]] = []
 _WORKING = ""
-_COLLECTORS: list[list[str]] = []
+#: Of each thread, so that pipelines in several threads of a driver keep their scratch tables apart.
+_COLLECTORS = threading.local()
 
 
 def working(operator: str) -> None:
@@ -52,7 +54,7 @@ def new_name() -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pagemill-{name}-{new_name()}"
-    for made in _COLLECTORS:
+    for made in getattr(_COLLECTORS, "lists", ()):
         made.append(path)
     return path
 
@@ -82,11 +84,12 @@ def delete(*tables: DataFrame | str) -> None:
 @contextmanager
 def collecting(made: list[str]) -> Iterator[None]:
     """Adds the paths of the scratch tables made inside to ``made``, whose owner deletes them when their results are stored."""
-    _COLLECTORS.append(made)
+    before = getattr(_COLLECTORS, "lists", ())
+    _COLLECTORS.lists = (*before, made)
     try:
         yield
     finally:
-        _COLLECTORS.pop()
+        _COLLECTORS.lists = before
 
 
 def unused(names: list[str], *wanted: str) -> list[str]:
