@@ -5,51 +5,60 @@ docs. All but the last return the columns of ``documents``. Toxic documents go,
 they leave empty), one document of each group of near copies stays, sources are mixed to their targets (a document
 taken twice is there twice), and what is left is packed into sequences of 4096 tokens.
 
-A stage deletes the scratch tables of the pipeline's stages before it, whose results are written by then, and no others.
+A stage deletes the scratch tables of the stages before it in its thread, whose results are written by then, and no others. So two
+pipelines in one driver run in threads of their own, and a stage's result is written before the next stage is called.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import common, line_dedup, mixing, near_dedup, packing, queries, toxicity
 
-#: Scratch tables of the latest stage.
-_MADE: list[str] = []
+#: Scratch tables of the thread's latest stage.
+_STATE = threading.local()
+
+
+def _made() -> list[str]:
+    if not hasattr(_STATE, "made"):
+        _STATE.made = []
+    return _STATE.made
 
 
 def _begin() -> None:
-    common.delete(*_MADE)
-    _MADE.clear()
+    common.delete(*_made())
+    _made().clear()
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
-    with common.collecting(_MADE):
+    with common.collecting(_made()):
         return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
-    with common.collecting(_MADE):
+    with common.collecting(_made()):
         return line_dedup.dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
-    with common.collecting(_MADE):
+    with common.collecting(_made()):
         return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
-    with common.collecting(_MADE):
+    with common.collecting(_made()):
         return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
-    with common.collecting(_MADE):
+    with common.collecting(_made()):
         return packing.pack(docs, queries.tokenizer_path(queries.WORD_BPE))
 
 
