@@ -93,4 +93,4 @@ def test_run_matches_a_plain_version(spark, tmp_path):
 def test_entry_lists_them(part):
     import __spark_entry__ as e
 
-    assert sum(k.startswith("op") or k == "pipeline" for k in getattr(e, part)()) == (11 if part == "queries" else 1)
+    assert sum(k.startswith("op") or k == "pipeline" for k in getattr(e, part)()) == (14 if part == "queries" else 1)
