@@ -11,7 +11,8 @@ may be linked. The work goes in three steps, each exact for what it covers:
    pair by pair.
 3. What is left of larger buckets is compared in blocks of about ``BLOCK`` items or ``BYTES`` bytes, whichever is less: a task
    holds the contents of two blocks, compares across components only, and gives a spanning forest of the links it finds. So
-   the rows made grow with the items of a bucket, not with their pairs.
+   the links made grow with the items of a bucket, not with their pairs; what is compared, and the contents copied for it (each item once for
+   every block), grow with the square of what is left of the bucket over ``BLOCK``.
 
 No bucket, pair or partner is dropped. The tables by key are reduced by combining aggregates and joined back, so that a
 hot key is split by the skew join; only the first reading of the candidates uses a window, from which keys that hold
@@ -45,7 +46,10 @@ Prepare = Callable[[list[bytes]], tuple[Callable[[int, np.ndarray], np.ndarray],
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
-    """A filter of 2^26 bits (8 MB, whatever the number of ids) that holds every value of column ``id``, a hash."""
+    """A filter of 2^26 bits (8 MB, whatever the number of ids) that holds every value of column ``id``, a hash.
+
+    It only saves work: beyond some 10^8 ids it is nearly full and lets all through, to the exact join that follows.
+    """
     top = F.shiftrightunsigned("id", 64 - BITS)
     words = ids.select(F.shiftright(top, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(id, {64 - BITS}) % 64 AS INT))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
