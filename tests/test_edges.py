@@ -325,3 +325,10 @@ def test_jobs_are_forgotten(spark, tmp_path):
     assert got == sorted(want)  # the row of a closed job says nothing, and that of a forgotten one begins it anew
     state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "last").load()
     assert {r["key"]["job_id"] for r in state.select("key").collect()} == {"j1", "next"}
+
+
+def test_markup_pieces_without_their_marks_are_left_out(spark):
+    raws = ["<BLOCK>text[0,0,9,9]<FORK>x<BLOCK>broken<BLOCK>nobox<FORK>n<BLOCK>title<LEVEL2>[0,0,99,99]<FORK>y [1]", "<|ref|>t<|/ref|>no box<|ref|>table<|/ref|> <|det|>[[0,0,9,9],[1,1,5,5]]<|/det|>z<|det|>stray", "<|det|>caption [0,0,9,9]<|/det|>c<|det|>open", None]
+    d = spark.createDataFrame([(i, 1, r, 999, 999) for i, r in enumerate(raws)], "doc_id int, page_no int, raw string, width int, height int")
+    got = sorted((r.doc_id, r.reading_order, r.text, r.region_class, r.hierarchy_level, r.x2) for r in quality.parse_markup(d).collect())
+    assert got == [(0, 1, "x", "body", 0, 9.0), (0, 2, "y [1]", "title", 2, 99.0), (1, 1, "z", "table", 0, 9.0), (1, 2, "z", "table", 0, 5.0), (2, 1, "c", "caption", 0, 9.0)]
