@@ -332,3 +332,14 @@ def test_markup_pieces_without_their_marks_are_left_out(spark):
     d = spark.createDataFrame([(i, 1, r, 999, 999) for i, r in enumerate(raws)], "doc_id int, page_no int, raw string, width int, height int")
     got = sorted((r.doc_id, r.reading_order, r.text, r.region_class, r.hierarchy_level, r.x2) for r in quality.parse_markup(d).collect())
     assert got == [(0, 1, "x", "body", 0, 9.0), (0, 2, "y [1]", "title", 2, 99.0), (1, 1, "z", "table", 0, 9.0), (1, 2, "z", "table", 0, 5.0), (2, 1, "c", "caption", 0, 9.0)]
+
+
+def test_metric_samples_count_the_errors_of_a_label(spark, tmp_path):
+    """A sample's value is the number of its label's errors so far, over hours and at equal times."""
+    from pagemill.bindings import bound
+
+    at = [datetime(2024, 1, 1, 0, 30), datetime(2024, 1, 1, 5, 0), datetime(2024, 1, 1, 0, 30), datetime(2024, 1, 3, 0, 0), datetime(2024, 1, 1, 0, 10), datetime(2024, 1, 1, 6, 0)]
+    rows = [(900 - i, t, 3 * (i % 2), "error" if i != 5 else "view") for i, t in enumerate(at)] + [(7, at[0], 1, "error"), (8, at[3], None, "error")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.label, r.value) for r in bound(spark, str(tmp_path), "metric_samples").collect()}
+    assert got == {896: ("p0", 1.0), 898: ("p0", 2.0), 900: ("p0", 3.0), 899: ("p0", 4.0), 897: ("p0", 5.0), 7: ("p1", 1.0), 8: ("p2", 1.0)}
