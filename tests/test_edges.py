@@ -343,3 +343,25 @@ def test_metric_samples_count_the_errors_of_a_label(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.label, r.value) for r in bound(spark, str(tmp_path), "metric_samples").collect()}
     assert got == {896: ("p0", 1.0), 898: ("p0", 2.0), 900: ("p0", 3.0), 899: ("p0", 4.0), 897: ("p0", 5.0), 7: ("p1", 1.0), 8: ("p2", 1.0)}
+
+
+def test_windows_full_of_samples_are_running_sums(spark):
+    """Sums over a window don't go over its rows once for each row: no frame of the plan begins at a distance."""
+    import contextlib
+    import io
+    import re
+
+    n = 6_000
+    d = spark.range(n).selectExpr("CAST(id AS INT) AS event_id", "timestamp_micros(1700000000000000 + id DIV 2 * 20000000) AS ts", "'m' AS metric", "'p' AS label", "CAST(id AS DOUBLE) AS value")
+    grown = alerts.counter_increase(d, 86_400)
+    a = alerts.promote_warnings(d.selectExpr("event_id", "label", "ts", "CASE WHEN event_id % 3 = 0 THEN 'warn' ELSE 'ok' END AS level"))
+    for frame, start in ((grown, "86400"), (a, "3600")):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            frame.explain(True)
+        plan = out.getvalue()
+        assert re.findall(r"RangeFrame, (\S+),", plan) and set(re.findall(r"RangeFrame, (\S+),", plan)) == {"unboundedpreceding$()"}, start
+    got = {r.event_id: r.increase for r in grown.collect()}
+    first = lambda i, size: max(0, (i // 2 * 20 - size + 19) // 20 * 2)
+    assert got == {i: float(sum(1 for k in range(first(i, 86_400), i // 2 * 2 + 2) if k)) for i in range(n)}
+    warns = {r.event_id: r.warns_1h for r in a.collect()}
+    assert warns == {i: sum(1 for k in range(first(i, 3_600), i // 2 * 2 + 2) if k % 3 == 0) for i in range(n)}
