@@ -365,3 +365,21 @@ def test_windows_full_of_samples_are_running_sums(spark):
     assert got == {i: float(sum(1 for k in range(first(i, 86_400), i // 2 * 2 + 2) if k)) for i in range(n)}
     warns = {r.event_id: r.warns_1h for r in a.collect()}
     assert warns == {i: sum(1 for k in range(first(i, 3_600), i // 2 * 2 + 2) if k % 3 == 0) for i in range(n)}
+
+
+def test_edit_distance_of_long_unlike_texts():
+    """Bounds that meet need no matrix, and a band that is too narrow is widened; misread texts are of any length."""
+    import time
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmno") for _ in range(6)) for _ in range(20_000)]
+    text = " ".join(words)
+    began = time.process_time()
+    assert edits(text, text.translate(str.maketrans("eo", "xy"))) == text.count("e") + text.count("o")
+    assert time.process_time() - began < 2  # the whole matrix takes more than ten times that
+    for change in (0.02, 0.2, 0.6):
+        a = words[:400]
+        b = [w[::-1] if r.random() < change else w for i, w in enumerate(a) if i % 9 != 4] + words[r.randint(390, 410) : 430]
+        x, y = " ".join(a), " ".join(b)
+        assert edits(x, y) == edits(y, x) == plain_distance(x, y)
+        assert edits(a * 4, b * 4) == plain_distance(a * 4, b * 4)
