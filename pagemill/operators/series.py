@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 STEP_S = 30
 #: How far an instant vector looks back.
 LOOKBACK_S = 300
+#: Steps that are made in one row.
+STRETCH = 1000
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,11 @@ def up(samples: DataFrame, step_s: int = STEP_S) -> DataFrame:
     """(step, end, last): at every step from the first sample to the last one, 1 if a sample came since the step before, else 0."""
     seen = samples.where("ts IS NOT NULL AND value IS NOT NULL").select(step_of(step_s).alias("step")).distinct()
     every = seen.agg(F.min("step").alias("begin"), F.max("step").alias("end")).where("begin IS NOT NULL")
-    every = every.select("end", F.explode(F.sequence("begin", "end")).alias("step"))
+    # stretches of steps are dealt over all tasks before they are filled: one row would be one task
+    every = every.select("begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / STRETCH), F.floor(F.col("end") / STRETCH))).alias("_of"))
+    every = every.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_of")
+    first = F.col("_of") * STRETCH
+    every = every.select("end", F.explode(F.sequence(F.greatest("begin", first), F.least("end", first + (STRETCH - 1)))).alias("step"))
     return every.join(seen.withColumn("_seen", F.lit(1.0)), "step", "left").select("step", "end", F.coalesce("_seen", F.lit(0.0)).alias("last"))
 
 
@@ -145,19 +151,23 @@ def firing(samples: DataFrame, rules: tuple[Rule, ...] = RULES, label: str = "la
     A summed operand has no instance.
     """
     spark, series = samples.sparkSession, ("metric", label, instance)
-    rows = [(r.name, r.severity, len(r.operands), r.hold_s // step_s, i, o.metric, o.op, float(o.threshold), o.window_s is not None, (o.window_s or LOOKBACK_S) // step_s, o.total_by) for r in rules for i, o in enumerate(r.operands)]
-    operands = F.broadcast(spark.createDataFrame(rows, "rule string, severity string, needed int, hold int, operand int, metric string, op string, threshold double, grows boolean, steps int, summed boolean"))
+    rows = [(number, r.name, r.severity, len(r.operands), r.hold_s // step_s, i, o.metric, o.op, float(o.threshold), o.window_s is not None, (o.window_s or LOOKBACK_S) // step_s, o.total_by) for number, r in enumerate(rules) for i, o in enumerate(r.operands)]
+    rows = [(n, *r) for n, r in enumerate(rows)]
+    operands = F.broadcast(spark.createDataFrame(rows, "place int, number int, rule string, severity string, needed int, hold int, operand int, metric string, op string, threshold double, grows boolean, steps int, summed boolean"))
     found = _by_step(samples.where(F.col("metric") != "up"), series, tie, step_s).select(*series, "step", "end", "growth", "last")
     alive = up(samples, step_s).select(F.lit("up").alias("metric"), F.lit(None).cast(dict(samples.dtypes)[label]).alias(label), F.lit(None).cast(dict(samples.dtypes)[instance]).alias(instance), "step", "end", F.lit(0.0).alias("growth"), "last")
-    d = found.unionByName(alive).join(operands, "metric").withColumn("_from", F.col("step")).withColumn("step", _seen_by(F.col("steps")))
-    keys = ["rule", "severity", "needed", "hold", "operand", "op", "threshold", "grows", "summed", label, instance, "step", "end"]
+    d = found.unionByName(alive).join(operands.select("place", "metric", "steps"), "metric").withColumn("_from", F.col("step")).withColumn("step", _seen_by(F.col("steps")))
+    # an operand is grouped by its place and named afterwards: narrow rows in the largest step
+    keys = ["place", label, instance, "step", "end"]
     d = d.groupBy(*keys).agg(F.sum("growth").alias("growth"), F.max_by("last", "_from").alias("last"))
+    d = d.join(operands.drop("metric", "steps"), "place")
     d = d.withColumn("value", F.when(F.col("grows"), F.col("growth")).otherwise(F.col("last"))).withColumn(instance, F.when(~F.col("summed"), F.col(instance)))
-    d = d.groupBy(*keys).agg(F.sum("value").alias("value"))
+    d = d.groupBy(*keys).agg(F.sum("value").alias("value")).join(operands.drop("metric", "steps"), "place")
     value, limit = F.col("value"), F.col("threshold")
     holds = F.when(F.col("op") == ">", value > limit).when(F.col("op") == ">=", value >= limit).when(F.col("op") == "<", value < limit).when(F.col("op") == "==", value == limit)
-    alert = ["rule", "severity", label, instance, "step"]
+    alert = ["number", label, instance, "step"]
     d = d.where(holds).groupBy(*alert, "needed", "hold", "end").agg(F.count(F.lit(1)).alias("n")).where("n = needed")
     later = d.withColumn("_from", F.col("step")).withColumn("step", _seen_by(F.col("hold") + 1))
-    d = later.groupBy(*alert, "hold").agg(F.count(F.lit(1)).alias("n"), F.max("_from").alias("_from"))
-    return d.where("n = hold + 1 AND _from = step").select(*alert)
+    d = later.groupBy(*alert).agg(F.count(F.lit(1)).alias("n"), F.max("_from").alias("_from"))
+    d = d.where("_from = step").join(operands.where("operand = 0").select("number", "rule", "severity", "hold"), "number")
+    return d.where("n = hold + 1").select("rule", "severity", label, instance, "step")

@@ -383,3 +383,14 @@ def test_edit_distance_of_long_unlike_texts():
         x, y = " ".join(a), " ".join(b)
         assert edits(x, y) == edits(y, x) == plain_distance(x, y)
         assert edits(a * 4, b * 4) == plain_distance(a * 4, b * 4)
+
+
+def test_steps_of_up_are_made_by_many_tasks(spark):
+    """Steps between the first sample and the last one are no work of a single task."""
+    rows = [sample(1, T0, 1.0), sample(2, T0 + timedelta(seconds=30 * 9_999), 1.0)]
+    d = series.up(spark.createDataFrame(rows, SAMPLE))
+    got = {r.step: (r.end, r.last) for r in d.collect()}
+    first = int(T0.timestamp()) // 30
+    assert got == {first + k: (first + 9_999, 1.0 if k in (0, 9_999) else 0.0) for k in range(10_000)}
+    sizes = [r.n for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 1
