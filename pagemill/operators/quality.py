@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..functions.pandas_udfs import sequence_ratio, unified_diff
+from ..functions.pandas_udfs import sequence_reaches, unified_diff
 
 #: Fixed values.
 NGRAM, MAX_CHARS, MAX_ROWS, MAX_LINES, MAX_NGRAMS = 35, 40_000, 200, 0.4, 0.05
@@ -79,8 +79,8 @@ def correction_stats(lines: DataFrame, *keys: str) -> DataFrame:
     """(keys, raw, corrected, confidence) -> counts for each key (doc_id if none is given); lines that changed too much are rejected."""
     keys = keys or ("doc_id",)
     changed = F.col("raw") != F.col("corrected")
-    d = lines.withColumn("sim", F.when(changed, sequence_ratio("raw", "corrected")).otherwise(1.0))
-    ok = changed & (F.col("sim") >= SIMILARITY)
+    d = lines.withColumn("alike", sequence_reaches(F.col("raw"), F.col("corrected"), SIMILARITY))
+    ok = changed & F.col("alike")
     after = F.when(ok, F.least(F.lit(1.0), F.greatest(F.col("confidence"), F.lit(BOOST)))).otherwise(F.col("confidence"))
     delta = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg(after) - F.avg("confidence")))
     per = d.groupBy(*keys).agg(

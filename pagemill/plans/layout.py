@@ -216,7 +216,9 @@ def _(t: Tables):
 
 def _lines(t: Tables):
     changed = F.when(F.col("idx") % 4 == 0, F.translate("text", "eo", "ac")).when(F.col("idx") % 4 == 1, F.lit("nothing alike")).otherwise(F.col("text"))
-    return t["blocks"].select("doc_id", "idx", F.col("text").alias("raw"), changed.alias("corrected"), "confidence")
+    lines = t["blocks"].select("doc_id", "idx", F.col("text").alias("raw"), changed.alias("corrected"), "confidence")
+    # dealt over all tasks: comparing costs far more than the move, and files may have few parts
+    return lines.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "idx")
 
 
 @query("A31_correction_stats", "blocks")

@@ -394,3 +394,19 @@ def test_steps_of_up_are_made_by_many_tasks(spark):
     assert got == {first + k: (first + 9_999, 1.0 if k in (0, 9_999) else 0.0) for k in range(10_000)}
     sizes = [r.n for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 1
+
+
+def test_ratios_by_bounds_are_those_of_difflib(monkeypatch):
+    import difflib
+
+    from pagemill.functions import pandas_udfs as udfs
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc dé") for _ in range(r.choice([0, 1, 20, 199, 200, 260]))) for _ in range(40)]
+    pairs = [(x, r.choice([x, x[: len(x) // 2], r.choice(texts), x.replace("a", "z"), x[::-1]])) for x in texts * 4]
+    for x, y in pairs:
+        want = difflib.SequenceMatcher(None, x, y).ratio()
+        assert udfs.ratio(x, y) == want
+        assert all(udfs.reaches(x, y, least) == (want >= least) for least in (0.0, 0.3, 0.55, 0.9, want, 1.0))
+    monkeypatch.setattr(udfs.difflib, "SequenceMatcher", None)  # bounds need no matching
+    assert udfs.reaches("x" * 300, "x" * 300, 0.55) and not udfs.reaches("a line of text", "no", 0.55) and not udfs.reaches("abc" * 9, "xyz" * 9, 0.55)
