@@ -30,6 +30,8 @@ from .tokens import END, encoder, in_runs
 LENGTH = 4096
 SHARD, TOKENS = 2048, 1 << 20
 QUERY = 64
+#: Characters encoded at once: each distinct pre-token of them is looked up once.
+RUN = 2_000_000
 CODE = 3
 K1, B = 1.2, 0.75
 
@@ -60,7 +62,7 @@ def tokenised(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
         row = 0
         for b in batches:
             names, k = b.column(0).to_pylist(), 0
-            for texts in in_runs(t.as_py() or "" for t in b.column(1)):
+            for texts in in_runs((t.as_py() or "" for t in b.column(1)), RUN):
                 out = []
                 for got in encode.batch(texts):
                     ids = np.frombuffer(got + end, encode.kind)

@@ -17,6 +17,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from . import common
 
@@ -24,6 +25,8 @@ END = 2
 REMEMBERED = 400_000
 #: Longer parts are not remembered.
 LONGEST = 64
+#: Longer texts are not cut in a table of their code points, which takes some 30 bytes for each.
+LONG = 4_000_000
 #: Separators that only one of Python and the library takes for white space.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Letters that every version of Unicode knows and whose lower case is one character.
@@ -40,6 +43,59 @@ _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b
 WRITTEN = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+
+
+@lru_cache(1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of the code points below 2**16; the last place stands for all beyond."""
+    kinds, lower = np.full(1 << 16, OTHER, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for i in range((1 << 16) - 1):
+        c = chr(i)
+        if c.isspace():
+            kinds[i] = SPACE
+        elif PLAIN.fullmatch(c):
+            kinds[i] = LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK
+            lower[i] = ord(c.lower())
+    return kinds, lower
+
+
+def _cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the text without white space, and where in them, and in the text, pre-tokens begin.
+
+    Plain words are lower-cased and cut as ``BARE`` does; a word with any other character stays one, as it is.
+    """
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    table, lower = _kinds()
+    at = np.minimum(points, (1 << 16) - 1)
+    kind = table[at]
+    small = np.where(points < (1 << 16), lower[at], points)
+    black = kind != SPACE
+    begins = black.copy()
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # a contraction is cut off where its apostrophe begins a pre-token
+    after = lambda i, k: small[np.minimum(i + k, len(small) - 1)] * (i + k < len(small))
+    marks = np.flatnonzero((small == ord("'")) & begins)
+    one, two = after(marks, 1), after(marks, 2)
+    long = np.zeros(len(marks), np.int64)
+    for c in _CONTRACTIONS.split("|"):
+        long[(one == ord(c[1])) & (two == ord(c[2]) if len(c) > 2 else True)] = len(c)
+    marks, long = marks[long > 0], long[long > 0]
+    begins[marks + 1] = False
+    past = marks + long
+    past = past[past < len(kind)]
+    begins[past[kind[past] == LETTER]] = True
+    if (kind == OTHER).any():
+        first = black.copy()
+        first[1:] &= ~black[:-1]
+        word = np.cumsum(first)
+        odd = np.zeros(word[-1] + 1, bool)
+        odd[word[kind == OTHER]] = True
+        odd = odd[word] & black
+        begins, small = np.where(odd, first, begins), np.where(odd, points, small)
+    return small[black], np.flatnonzero(begins[black]), np.flatnonzero(begins)
+
+
 class Runs(ValueError):
     """A run of white space, inside which no text may be cut."""
 
@@ -144,7 +200,31 @@ class Encoder:
             return self._whole(text)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return [self.ids(t) for t in texts]
+        if not self.drops:
+            return [self.ids(t) for t in texts]
+        alone = [len(t) > LONG or bool(self.added.search(t)) or any(c in t for c in ODD) for t in texts]
+        rest = iter(self._together([t for t, single in zip(texts, alone, strict=True) if not single]))
+        return [self.ids(t) if single else next(rest) for t, single in zip(texts, alone, strict=True)]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """As ``ids`` of each text, for a vocabulary that drops white space and texts without added tokens."""
+        points, begins, places = _cut("\n".join(texts))
+        if not len(begins):
+            return [b""] * len(texts)
+        # without white space, a pre-token ends where the next one begins
+        wide = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64))
+        offsets = np.append(wide[begins], wide[-1]).astype(np.int32)
+        data = points.tobytes().decode("utf-32-le").encode()
+        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        parts = list(map(self.bare.__getitem__, found.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids = np.frombuffer(b"".join(parts), self.kind)
+        sizes = np.array([len(x) for x in parts]) // ids.itemsize
+        which = found.indices.to_numpy()
+        size = sizes[which]
+        last = np.append(0, np.cumsum(size))
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - last[:-1], size) + np.arange(last[-1])]
+        ends = last[np.searchsorted(places, np.cumsum([len(t) + 1 for t in texts]))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *ends], ends)]
 
 
 @lru_cache(1)

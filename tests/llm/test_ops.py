@@ -349,6 +349,24 @@ def test_added_tokens_get_the_library_ids(name):
     assert [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(queries.tokenizer_path(name)).batch(HOLDING)] == [x.tolist() for x in want]
 
 
+def test_a_run_of_texts_is_cut_at_once():
+    """op7: memory holds pre-tokens, not words with their marks, and each distinct one of a run is looked up once; ids stay the library's."""
+    e, asked = tokens.Encoder(queries.tokenizer_path(queries.WORD_BPE)), []
+
+    class Asked(tokens._Parts):
+        def __getitem__(self, part):
+            asked.append(part)
+            return super().__getitem__(part)
+
+    e.bare = Asked(e._bare)
+    e.batch(["Stone, (stone) stone's STONE.", "stone, it's 1,000 stones"] * 50)
+    assert sorted(asked) == sorted({*e.bare}) == sorted(["stone", ",", "(", ")", "'s", ".", "it", "1", "0", "stones"])
+    r = random.Random(8)
+    pool = [*"abstrevlmdSTREVLMD''''  \n\t09.,!-_«“’éÉÀßıİžŽŉΩдЖ中🙂 ́̇\x1c٣²ªº×÷ǅK", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "'re", "'s's"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.batch(texts)] == [x.tolist() for x in _fresh_ids(queries.WORD_BPE, texts)]
+
+
 def test_added_tokens_in_files_and_packing(spark):
     got, start = {x.doc_id: x for x in token_files.read(token_files.write(docs_of(spark, HOLDING), queries.tokenizer_path(queries.BYTE_BPE), 2)).collect()}, 0
     for i, ids in enumerate(_fresh_ids(queries.BYTE_BPE, HOLDING)):
