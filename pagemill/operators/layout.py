@@ -120,41 +120,48 @@ def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> D
     return a.join(other, on, how).drop(*(f"_key_{k}" for k in keys))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, reach: float = 0.0) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame | None = None, reach: float = 0.0) -> DataFrame:
     """Pairs of boxes of one page that meet when each is drawn wider by ``reach``: the columns of a as a_*, those of b as b_*.
 
-    Boxes must have all coordinates and no side below 0. A page has grids of cells that grow fourfold from its mean box on; a box
-    is at home in the first grid whose cells are not smaller than it, so it lies in four of them at most. It is also entered in the coarser
-    grids of its page, up to the largest box, and two boxes meet in the coarser one of their homes: in the cell of their common top left corner, once.
+    Without ``b``, pairs of boxes of ``a``, a box with itself too. Boxes must have all coordinates and no side below 0. A page has grids
+    of cells that grow fourfold from its mean box on; a box is at home in the first grid whose cells are not smaller than it, so it lies in
+    four of them at most. It is also entered in the coarser grids of its page, up to the largest box, and two boxes meet in the coarser one of
+    their homes: in the cell of their common top left corner, once. Boxes cross the network once, by page; cells are groups within its task.
     """
     corners = (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))
-    wider = lambda d: d.select(*PAGE, *((F.col(c) + sign * reach).alias(c) for c, sign in corners))
-    size = {"_w": F.col("x2") - F.col("x1"), "_h": F.col("y2") - F.col("y1")}
-    page = wider(a).unionByName(wider(b)).withColumns(size).groupBy(*PAGE).agg(F.avg("_w").alias("mw"), F.avg("_h").alias("mh"), F.max("_w").alias("top_w"), F.max("_h").alias("top_h"))
-    cell = {c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0) for c in ("mw", "mh")}
-    grid = lambda w, h: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(w / F.col("mw"), h / F.col("mh"), F.lit(1.0))) / 2).cast("int"))
-    page = page.withColumns(cell).withColumn("top", grid(F.col("top_w"), F.col("top_h"))).drop("top_w", "top_h")
-
-    def entered(d: DataFrame, side: str) -> DataFrame:
-        d = d.select(*PAGE, *(F.col(c).alias(f"{side}{c}") for c in d.columns), *((F.col(c) + sign * reach).alias(f"{side}g{c}") for c, sign in corners))
-        x1, y1, x2, y2 = (F.col(f"{side}g{c}") for c, _ in corners)
-        d = joined(d, page, PAGE).withColumn(f"{side}home", grid(x2 - x1, y2 - y1)).withColumn("level", F.explode(F.sequence(f"{side}home", "top")))
-        step = F.pow(F.lit(4.0), F.col("level"))
-        at = lambda c, m: F.floor(c / (F.col(m) * step))
-        d = d.withColumn("cx", F.explode(F.sequence(at(x1, "mw"), at(x2, "mw")))).withColumn("cy", F.explode(F.sequence(at(y1, "mh"), at(y2, "mh"))))
-        return d.drop("top", f"{side}gx2", f"{side}gy2", *([] if side == "a_" else ["mw", "mh"]))
-
-    d = joined(entered(a, "a_"), entered(b, "b_"), [*PAGE, "level", "cx", "cy"])
-    corner = lambda c, m: F.floor(F.greatest(f"a_g{c}", f"b_g{c}") / (F.col(m) * F.pow(F.lit(4.0), F.col("level"))))
-    d = d.where((F.col("level") == F.greatest("a_home", "b_home")) & (corner("x1", "mw") == F.col("cx")) & (corner("y1", "mh") == F.col("cy")))
-    meet = lambda s, t: (F.col(f"{s}_x1") - reach <= F.col(f"{t}_x2") + reach) & (F.col(f"{s}_y1") - reach <= F.col(f"{t}_y2") + reach)
-    return d.where(meet("a", "b") & meet("b", "a")).select(*(f"a_{c}" for c in a.columns), *(f"b_{c}" for c in b.columns))
+    kept = lambda d: [c for c in d.columns if c not in PAGE]
+    entry = lambda d, side: d.select(*PAGE, F.struct(*kept(d)).alias(side), *((F.col(c) + sign * reach).alias(f"g{c}") for c, sign in corners))
+    d = entry(a, "a") if b is None else entry(a, "a").unionByName(entry(b, "b"), allowMissingColumns=True)
+    d = d.withColumns({"w": F.col("gx2") - F.col("gx1"), "h": F.col("gy2") - F.col("gy1")})
+    page = Window.partitionBy(*PAGE)
+    cell = {f"m{c}": F.avg(c).over(page) for c in "wh"} | {f"top_{c}": F.max(c).over(page) for c in "wh"}
+    d = d.withColumns(cell).withColumns({f"m{c}": F.when(F.col(f"m{c}") > 0, F.col(f"m{c}")).otherwise(1.0) for c in "wh"})
+    grid = lambda w, h: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(w) / F.col("mw"), F.col(h) / F.col("mh"), F.lit(1.0))) / 2).cast("int"))
+    d = d.withColumn("home", grid("w", "h")).withColumn("level", F.explode(F.sequence("home", grid("top_w", "top_h"))))
+    at = lambda c, m: F.floor(c / (F.col(m) * F.pow(F.lit(4.0), F.col("level"))))
+    d = d.withColumn("cx", F.explode(F.sequence(at(F.col("gx1"), "mw"), at(F.col("gx2"), "mw")))).withColumn("cy", F.explode(F.sequence(at(F.col("gy1"), "mh"), at(F.col("gy2"), "mh"))))
+    entered = lambda side: F.collect_list(F.when(F.col(side).isNotNull(), F.struct("home", "gx1", "gy1", "gx2", "gy2", F.col(side).alias("box"))))
+    sides = ["a"] if b is None else ["a", "b"]
+    d = d.groupBy(*PAGE, "level", "cx", "cy").agg(F.first("mw").alias("mw"), F.first("mh").alias("mh"), *(entered(c).alias(c) for c in sides))
+    # one of the two is at home in this grid: those at home meet all, the others meet those at home
+    first, other = F.col("a"), F.col(sides[-1])
+    home = lambda x: x["home"] == F.col("level")
+    parts = F.array(F.struct(F.filter(first, home).alias("i"), other.alias("j")), F.struct(F.filter(first, lambda x: ~home(x)).alias("i"), F.filter(other, home).alias("j")))
+    d = d.select(*PAGE, "level", "cx", "cy", "mw", "mh", F.inline(parts)).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    d = d.where((at(F.greatest("i.gx1", "j.gx1"), "mw") == F.col("cx")) & (at(F.greatest("i.gy1", "j.gy1"), "mh") == F.col("cy")))
+    meet = lambda s, t: (F.col(f"{s}.gx1") <= F.col(f"{t}.gx2")) & (F.col(f"{s}.gy1") <= F.col(f"{t}.gy2"))
+    out = lambda d, side, at: [F.col(c if c in PAGE else f"{at}.box.{c}").alias(f"{side}_{c}") for c in d.columns]
+    return d.where(meet("i", "j") & meet("j", "i")).select(*out(a, "a", "i"), *out(a if b is None else b, "b", "j"))
+
+
+def _is_proper() -> Column:
+    """Four finite coordinates and an area."""
+    b = geo.box()
+    return F.coalesce(geo.finite(b[0]) & geo.finite(b[1]) & geo.finite(b[2]) & geo.finite(b[3]) & (b[2] > b[0]) & (b[3] > b[1]), F.lit(False))
 
 
 def _proper(blocks: DataFrame) -> DataFrame:
-    """Blocks with four finite coordinates and an area."""
-    b = geo.box()
-    return blocks.where(geo.finite(b[0]) & geo.finite(b[1]) & geo.finite(b[2]) & geo.finite(b[3]) & (b[2] > b[0]) & (b[3] > b[1]))
+    return blocks.where(_is_proper())
 
 
 def greedy_matches(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -207,21 +214,35 @@ def overlap_suppression(blocks: DataFrame, overlap: float = MAX_OVERLAP, distanc
 
     Boxes without an area, or without all coordinates, are not kept and suppress none.
     """
-    b = blocks.withColumn("_a", geo.area(geo.box())).withColumn("_t", tx.loose(F.col("text")))
-    b = b.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("_a"), "y1", "x1", "idx")))
-    boxes = _proper(b).select(*PAGE, "_r", "_a", "_t", "x1", "y1", "x2", "y2")
+    b = blocks.withColumn("_a", geo.area(geo.box()))
+    boxes = _proper(b).select(*PAGE, "idx", "_a", tx.loose(F.col("text")).alias("_t"), "x1", "y1", "x2", "y2")
+    boxes = boxes.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("_a"), "y1", "x1", "idx")))
     i, j = geo.box("a_"), geo.box("b_")
     same = (F.col("a__t") != "") & (F.col("b__t") != "") & (F.col("a__t").contains(F.col("b__t")) | F.col("b__t").contains(F.col("a__t")))
     hit = (geo.intersection(i, j) / F.col("a__a") >= overlap) | (geo.nearby(i, j, distance) & same)
-    clash = box_pairs(boxes, boxes, distance / 2).where((F.col("b__r") < F.col("a__r")) & hit)
-    clash = clash.groupBy(*(F.col(f"a_{c}").alias(c) for c in PAGE), F.col("a__r").alias("_r")).agg(F.collect_list("b__r").alias("_x"))
-    none = F.expr("CAST(array() AS array<int>)")
-    d = joined(b, clash, [*PAGE, "_r"], "left").withColumn("_free", F.coalesce((F.col("_a") > 0) & F.col("_x").isNull(), F.lit(False)))
+    before = F.col("b__r") < F.col("a__r")
+    # a box meets itself, so it has a row without clashes too
+    pairs = box_pairs(boxes, reach=distance / 2).where((F.col("b__r") == F.col("a__r")) | (before & hit))
+    item = (F.first("a_idx").alias("idx"), F.first("a__a").alias("_a"), F.collect_list(F.when(before, F.col("b__r"))).alias("_x"))
+    clash = pairs.groupBy(*(F.col(f"a_{c}").alias(c) for c in PAGE), F.col("a__r").alias("_r")).agg(*item)
     # only boxes that clash are decided one after the other; those without a clash that stand in their way are kept from the start
-    per = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_r", "_x", "_a")))).alias("q"), F.collect_list(F.when(F.col("_free"), F.col("_r"))).alias("free"), F.array_distinct(F.flatten(F.collect_list("_x"))).alias("_named"))
-    kept = F.aggregate("q", F.array_intersect("free", "_named"), lambda acc, e: F.when((e["_a"] > 0) & ~F.arrays_overlap(acc, e["_x"]), F.concat(acc, F.array(e["_r"]))).otherwise(acc))
-    won = per.select(*PAGE, F.explode(F.array_distinct(F.concat(F.coalesce("free", none), kept))).alias("_r")).withColumn("_kept", F.lit(True))
-    return joined(d, won, [*PAGE, "_r"], "left").select(*PAGE, "idx", F.coalesce("_kept", F.lit(False)).alias("kept"))
+    per = clash.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_list(F.when(F.size("_x") > 0, F.struct("_r", "_x", "_a", "idx")))).alias("q"),
+        F.collect_list(F.when(F.size("_x") == 0, F.struct("_r", "_a", "idx"))).alias("clear"),
+        F.array_distinct(F.flatten(F.collect_list("_x"))).alias("_named"),
+    )
+    free = F.transform(F.filter("clear", lambda e: e["_a"] > 0), lambda e: e["_r"])
+    zero = F.struct(F.array_intersect(free, "_named").alias("kept"), F.expr("CAST(array() AS array<boolean>)").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        take = (e["_a"] > 0) & ~F.arrays_overlap(acc["kept"], e["_x"])
+        return F.struct(F.when(take, F.concat(acc["kept"], F.array(e["_r"]))).otherwise(acc["kept"]).alias("kept"), F.concat(acc["out"], F.array(take)).alias("out"))
+
+    per = per.withColumn("_out", F.aggregate("q", zero, step)["out"])
+    decided = F.transform("q", lambda e, k: F.struct(e["idx"].alias("idx"), F.get("_out", k).alias("kept")))
+    clear = F.transform("clear", lambda e: F.struct(e["idx"].alias("idx"), (e["_a"] > 0).alias("kept")))
+    rest = b.where(~_is_proper()).select(*PAGE, "idx", F.coalesce(F.col("_a") > 0, F.lit(False)).alias("kept"))
+    return per.select(*PAGE, F.inline(F.concat(clear, decided))).unionByName(rest)
 
 
 def lines_to_blocks(pages: DataFrame, confidence: float = 0.85) -> DataFrame:

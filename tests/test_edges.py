@@ -59,6 +59,16 @@ def test_a_page_of_20000_blocks(spark):
     assert layout.greedy_matches(b, b, 0.5).where("a_idx = b_idx AND iou = 1").count() == 20_001
 
 
+def test_boxes_cross_the_network_once(spark):
+    """Copies of a box for its cells, and texts with them, stay in the task of their page."""
+    b = blocks_of(spark, [(d, 1, t, (x, x, x + 30, x + 20)) for d in (1, 2, None) for t, x in (("a", 0), ("a b", 5), ("c", 40), ("", 300))])
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(layout.overlap_suppression(b)) == 1
+    assert exchanges(layout.greedy_matches(b, b, 0.3)) == 1
+    small = b.select("doc_id", "page_no", "idx", "x1", "y1", "x2", "y2")
+    assert sorted(map(repr, layout.box_pairs(small, reach=5.0).collect())) == sorted(map(repr, layout.box_pairs(small, small, 5.0).collect()))
+
+
 # --- documents
 
 
