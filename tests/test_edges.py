@@ -420,3 +420,60 @@ def test_ratios_by_bounds_are_those_of_difflib(monkeypatch):
         assert all(udfs.reaches(x, y, least) == (want >= least) for least in (0.0, 0.3, 0.55, 0.9, want, 1.0))
     monkeypatch.setattr(udfs.difflib, "SequenceMatcher", None)  # bounds need no matching
     assert udfs.reaches("x" * 300, "x" * 300, 0.55) and not udfs.reaches("a line of text", "no", 0.55) and not udfs.reaches("abc" * 9, "xyz" * 9, 0.55)
+
+
+def test_job_changes_asks_the_state_seldom():
+    """ST05: a new job costs one read, one write and one timer; the timer of a stuck job sets the one that forgets it."""
+    import pandas as pd
+
+    from pagemill.streaming import streams
+
+    class Handle:
+        state, timers = None, set()
+
+        def __init__(self):
+            self.calls = []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.state
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.state is not None
+
+        def update(self, new):
+            self.calls.append("update")
+            self.state = new
+
+        def clear(self):
+            self.state = None
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+            self.timers = self.timers | {at}
+
+        def deleteTimer(self, at):
+            self.timers = self.timers - {at}
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    def rows(*found):
+        return iter([pd.DataFrame([("j", i, status, "s", pd.Timestamp(ms, unit="ms")) for i, (ms, status) in enumerate(found)], columns=["job_id", "event_id", "status", "stage", "updated_at"])])
+
+    job, handle, day = streams.JobState(), Handle(), 24 * 60 * 60 * 1000
+    job.init(handle)
+    assert [list(d["status"]) for d in job.handleInputRows(("j",), rows((5, "processing"), (0, "pending")), None)] == [["pending", "processing"]]
+    assert handle.calls == ["get", "update", "timer"] and handle.timers == {5 + 600_000}
+    assert list(job.handleInputRows(("j",), rows((5, "processing")), None)) == []
+    handle.timers = set()
+    assert [list(d["status"]) for d in job.handleExpiredTimer(("j",), At(5 + 600_000), At(5 + 600_000))] == [["stuck"]]
+    assert handle.timers == {5 + day} and handle.state is not None
+    assert list(job.handleExpiredTimer(("j",), At(5 + day), At(5 + day))) == [] and handle.state is None
+    list(job.handleInputRows(("j",), rows((5, "processing")), None))
+    assert len(list(job.handleExpiredTimer(("j",), At(6 + day), At(5 + 600_000)))) == 1 and handle.state is None
